@@ -1 +1,230 @@
-QUERIES = {}
+"""Registered queries on plans, chaining, layouts, budgets and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rasterloom.operators import catalog as C
+from rasterloom.operators import intake as I
+from rasterloom.operators import planning as P
+from rasterloom.plans import views as V
+from rasterloom.plans.catalog_queries import REASON, _half, _one
+from rasterloom.sources import fixtures as X
+
+IMG = V.cte(V.IMAGES)
+
+RECIPES = [
+    ("scale-half", "scale", {}),
+    ("scale-fit", "scale", {"mode": "fit", "fitWidth": "800", "fitHeight": "600"}),
+    ("webp", "convert", {"format": "image/webp"}),
+    ("icon", "convert", {"format": "image/x-icon", "size": "300"}),
+    ("small", "compress", {"maxSize": "1000"}),
+    ("frame", "margin", {"unit": "percent", "all": "10", "opacity": "50"}),
+    ("edge", "margin", {"linked": "false", "top": "1", "right": "2", "bottom": "3", "left": "4"}),
+    ("big", "upscale", {}),
+    ("turn", "resize", {"rotate": "90"}),
+    ("cutout", "remove-background", {"tolerance": "18"}),
+    ("clean", "strip-metadata", {}),
+    ("warm", "adjust", {"sepia": "40"}),
+    ("svg", "convert-svg", {}),
+    ("text", "ocr", {}),
+]
+
+
+def recipes(spark):
+    return spark.createDataFrame(RECIPES, "recipe_id string, tool_id string, params map<string,string>")
+
+
+DUCK_RECIPES = "recipes as (select * from (values " + ", ".join(f"('{r}','{t}')" for r, t, _ in RECIPES) + ") q(recipe_id, tool_id))"
+KEEP = "case when mime in ('image/jpeg','image/png','image/webp') then mime else 'image/png' end"
+
+PLAN = f"""j as (select i.*, r.recipe_id, r.tool_id, t.suffix, t.out_ext,
+    regexp_replace(file_name, '\\.[^/.]+$', '') as stem,
+    case when recipe_id='webp' then 'image/webp' when recipe_id='icon' then 'image/x-icon' when recipe_id='svg' then 'image/svg+xml'
+      when recipe_id='text' then 'text/plain' when recipe_id in ('cutout','big','frame') then 'image/png' else {KEEP} end as out_mime
+  from images i join accepts a using (mime) join tools t using (tool_id) join recipes r using (tool_id)),
+ext as (select *, coalesce(out_ext, case out_mime when 'image/jpeg' then 'jpg' when 'image/png' then 'png' when 'image/webp' then 'webp' when 'image/x-icon' then 'ico' end) as ext,
+    least(width,height)*10.0::double/100 as pc from j),
+rendition_plan as (select image_id, album, pos, recipe_id, tool_id,
+  cast(case recipe_id when 'scale-half' then {_one('width*(50/100.0::double)')} when 'scale-fit' then {_one('width*least(800::double/width,600::double/height,1.0::double)')}
+    when 'icon' then 256 when 'small' then greatest(1, case when width<=1000 and height<=1000 then width else {_half('width*(1000::double/greatest(width,height))')} end)
+    when 'frame' then width+2*greatest(0,{_half('pc')}) when 'edge' then width+6 when 'big' then width*4 when 'turn' then height else width end as bigint) as out_width,
+  cast(case recipe_id when 'scale-half' then {_one('height*(50/100.0::double)')} when 'scale-fit' then {_one('height*least(800::double/width,600::double/height,1.0::double)')}
+    when 'icon' then 256 when 'small' then greatest(1, case when width<=1000 and height<=1000 then height else {_half('height*(1000::double/greatest(width,height))')} end)
+    when 'frame' then height+2*greatest(0,{_half('pc')}) when 'edge' then height+4 when 'big' then height*4 when 'turn' then width else height end as bigint) as out_height,
+  out_mime, case when tool_id='ocr' then concat(stem,'.txt') else concat(stem,'-',case when recipe_id='icon' then 'icon' else suffix end,'.',ext) end as out_name
+  from ext)"""
+PLAN_CTE = V.cte(V.IMAGES, V.TOOLS, DUCK_RECIPES, PLAN)
+
+
+def _plan(s, d):
+    return P.rendition_plan(X.images(s, d), recipes(s))
+
+
+def _keyed(s, d):
+    """Plan rows with the key of their input and settings (the text stands in for the file)."""
+    content = X.documents(s, d).select(F.col("doc_id").alias("image_id"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    settings = F.broadcast(recipes(s).select("recipe_id", "params"))
+    return (
+        _plan(s, d).select("image_id", "recipe_id", "tool_id").join(content, "image_id").join(settings, "recipe_id")
+        .withColumn("work_key", P.plan_key(F.col("crc"), F.col("params"))).drop("params", "crc")
+    )
+
+
+def _incremental(s, d):
+    """Labelled images are finished, but those labelled toxic were finished with old settings."""
+    plan = _keyed(s, d)
+    labels = s.read.parquet(f"{d}/labels.parquet").selectExpr("doc_id as image_id", "toxic")
+    finished = plan.join(labels, "image_id").withColumn(
+        "work_key", F.when(F.col("toxic") == 1, F.lit("older settings")).otherwise(F.col("work_key")))
+    return P.incremental_plan(plan, finished).select("image_id", "recipe_id", "tool_id")
+
+
+def _outputs(s, d):
+    return X.images(s, d).select("image_id", "album", "pos", "file_name", "mime", "size_bytes", "width", "height")
+
+
+def _album_types(s, d):
+    """Albums of one source and language, so that some hold only accepted types."""
+    return X.images(s, d).withColumn("album", F.concat("album", F.lit("/"), (F.col("image_id") % 7).cast("string")))
+
+
+LAYOUT_CTE = V.cte(V.IMAGES, """q as (select album, image_id, pos, width, height, max(width) over (partition by album) as mw, max(height) over (partition by album) as mh from images)""")
+
+
+def _layout(s, d, *args):
+    return P.merge_layout(X.images(s, d), *args).select(
+        "album", "image_id", "draw_width", "draw_height", "place_x", "place_y", "canvas_width", "canvas_height")
+
+
+def _duck_layout(horizontal, align, fill):
+    cross, main, target = ("height", "width", "mh") if horizontal else ("width", "height", "mw")
+    dw = _one(f"width*({target}::double/{cross})") if fill else "width"
+    dh = _one(f"height*({target}::double/{cross})") if fill else "height"
+    free = f"({target}-draw_{cross})"
+    off = {"start": "0", "center": _half(free + "/2.0::double"), "end": free}[align]
+    along, across = ("x", "y") if horizontal else ("y", "x")
+    return LAYOUT_CTE + f""", r as (select *, cast({dw} as bigint) as draw_width, cast({dh} as bigint) as draw_height from q)
+      select album, image_id, draw_width, draw_height,
+        cast(coalesce(sum(draw_{main}) over (partition by album order by pos rows between unbounded preceding and 1 preceding),0) as bigint) as place_{along},
+        cast({off} as bigint) as place_{across}, cast(sum(draw_{main}) over (partition by album) as bigint) as canvas_{main}, cast({target} as bigint) as canvas_{cross} from r"""
+
+
+BUDGET = V.cte(V.IMAGES, V.RUNGS, """t as (select image_id, mime, size_bytes*2//3 as budget from images),
+l as (select image_id, list(size_bytes order by k) as sizes from rungs group by 1),
+""" + ",\n".join(
+    f"s{i} as (select *, case when f then m else lo end as lo{i}, case when f then hi else m end as hi{i}, case when f then m else bst end as b{i} from "
+    f"(select * exclude ({'lo, hi, bst, m, f, lo%d, hi%d, b%d' % (i-1, i-1, i-1) if i > 1 else 'dummy'}), "
+    f"{'lo%d' % (i-1) if i > 1 else '0'} as lo, {'hi%d' % (i-1) if i > 1 else '128'} as hi, {'b%d' % (i-1) if i > 1 else '0'} as bst, "
+    f"(({'lo%d' % (i-1) if i > 1 else '0'})+({'hi%d' % (i-1) if i > 1 else '128'}))//2 as m, sizes[(({'lo%d' % (i-1) if i > 1 else '0'})+({'hi%d' % (i-1) if i > 1 else '128'}))//2+1]<=budget as f "
+    f"from {'s%d' % (i-1) if i > 1 else '(select t.*, l.sizes, 1 as dummy from t join l using (image_id))'}))"
+    for i in range(1, 8)
+))
+
+ARCHIVE = V.cte(V.IMAGES, """n as (select i.album, i.image_id, i.pos, case when k=1 then file_name else concat(substr(file_name,1,nn), '-', cast(k as varchar), substr(file_name,nn+1)) end as unique_name, bytes from
+  (select *, row_number() over (partition by album, file_name order by pos) as k,
+     case when contains(file_name,'.') then length(file_name)-position('.' in reverse(file_name)) else length(file_name) end as nn from images) i
+  join (select doc_id, octet_length(encode(text)) as bytes from documents) b on b.doc_id=i.image_id)""")
+
+
+def _entries(s, d):
+    content = X.documents(s, d).select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("content"))
+    return C.dedupe_names(X.images(s, d)).select("album", "image_id", "pos", "unique_name").join(content, "image_id")
+
+
+MESSAGE = """case reason when 'unsupported_type' then 'Unsupported image type. Use PNG, JPEG, or WebP.'
+  when 'empty' then 'Empty upload.' when 'too_large' then 'Image exceeds the 10 MB limit.' end"""
+RUN = V.cte(V.IMAGES, f"run as (select *, reason is null as ok, {MESSAGE} as message from (select *, {REASON} as reason from images))")
+
+QUERIES = {
+    "rendition_plan": (_plan, PLAN_CTE + "select * from rendition_plan"),
+    "compress_plan": (
+        lambda s, d: P.compress_plan(X.images(s, d), 1000, 72).select(
+            "image_id", "out_width", "out_height", "encoder_quality", "out_mime", "out_name"),
+        IMG + f"""select image_id, case when width<=1000 and height<=1000 then width else {_half('width*(1000::double/greatest(width,height))')} end as out_width,
+          case when width<=1000 and height<=1000 then height else {_half('height*(1000::double/greatest(width,height))')} end as out_height,
+          0.72::double as encoder_quality, {KEEP} as out_mime, concat(regexp_replace(file_name,'\\.[^/.]+$',''),'-compressed.',
+          case mime when 'image/jpeg' then 'jpg' when 'image/webp' then 'webp' else 'png' end) as out_name from images""",
+    ),
+    "incremental_plan": (
+        _incremental,
+        PLAN_CTE + """select image_id, recipe_id, tool_id from rendition_plan
+          where image_id not in (select doc_id from labels where toxic is distinct from 1)""",
+    ),
+    "chain_targets_album": (
+        lambda s, d: P.chain_targets_album(_album_types(s, d), "scale"),
+        V.cte(V.IMAGES, V.TOOLS) + """, o as (select distinct concat(album,'/',cast(image_id%7 as varchar)) as album, mime from images)
+          select a.album, t.tool_id from (select distinct album from o) a, tools t where t.batch and t.tool_id<>'scale'
+          and not exists (select 1 from o where o.album=a.album and o.mime not in (select mime from accepts c where c.tool_id=t.tool_id))""",
+    ),
+    "chain_targets_single": (
+        lambda s, d: P.chain_targets_single(_outputs(s, d), "scale"),
+        V.cte(V.IMAGES, V.TOOLS) + "select image_id, tool_id from images join accepts using (mime) where tool_id<>'scale'",
+    ),
+    "album_totals": (
+        lambda s, d: P.album_totals(_outputs(s, d)).select("album", "n_outputs", "total_bytes", "archive_name"),
+        IMG + """select album, count(*) as n_outputs, cast(sum(size_bytes) as bigint) as total_bytes,
+          concat('album-', cast(count(*) as varchar), '-images.zip') as archive_name from images group by 1""",
+    ),
+    "distinct_types": (
+        lambda s, d: P.distinct_types(_outputs(s, d)),
+        IMG + "select distinct album, mime from images",
+    ),
+    "preview_top4": (
+        lambda s, d: P.preview_top4(_outputs(s, d)).select("album", "image_id", "preview_pos"),
+        IMG + """select album, image_id, preview_pos from (select *, cast(row_number() over (partition by album order by pos) as int) as preview_pos
+          from images) where preview_pos<=4""",
+    ),
+    "batch_run": (
+        lambda s, d: P.batch_run(_outputs(s, d)).select("image_id", "album", "pos", "ok", "message"),
+        RUN + "select image_id, album, pos, ok, message from run",
+    ),
+    "batch_report": (
+        lambda s, d: P.batch_report(P.batch_run(_outputs(s, d))),
+        RUN + """, f as (select album, count(*) as total, count(*) filter (not ok) as failed,
+            list({'n': file_name, 'm': message} order by pos) filter (not ok) as fl from run group by 1)
+          select album, total, failed, case when failed=0 then '' when total=1 then fl[1].m else
+            concat(cast(failed as varchar),' of ',cast(total as varchar),' images failed (',array_to_string(list_transform(fl[1:3], lambda z: z.n), ', '),
+            case when failed>3 then concat(' and ',cast(failed-3 as varchar),' more') else '' end, '): ', fl[1].m) end as report from f""",
+    ),
+    "merge_layout": (
+        lambda s, d: _layout(s, d, "vertical", "center", "none"), _duck_layout(False, "center", False)),
+    "merge_layout_fill": (
+        lambda s, d: _layout(s, d, "horizontal", "end", "fill"), _duck_layout(True, "end", True)),
+    "merge_layout_blocks": (
+        lambda s, d: _layout(s, d, "horizontal", "start", "none", 64), _duck_layout(True, "start", False)),
+    "budget_search": (
+        lambda s, d: P.budget_search(X.images(s, d), X.rungs(s, d), F.expr("size_bytes*2 div 3")).selectExpr(
+            "image_id", "k", "size_at_k", "round(setting,9) as setting", "knob", "fits"),
+        BUDGET + """select image_id, b7 as k, sizes[b7+1] as size_at_k,
+          round(0.05::double+(case when mime in ('image/jpeg','image/webp') then 0.95::double else 1.0::double end-0.05::double)*b7/128.0::double,9) as setting,
+          case when mime in ('image/jpeg','image/webp') then 'quality' else 'scale' end as knob, sizes[b7+1]<=budget as fits from s7""",
+    ),
+    "budget_search_monotone": (
+        lambda s, d: P.budget_search_monotone(
+            X.images(s, d), X.rungs(s, d).groupBy("image_id").agg(F.max("size_bytes").alias("top")).join(
+                X.rungs(s, d).select("image_id", "k"), "image_id").selectExpr("image_id", "k", "top*(k+1) div 128 as size_bytes"),
+            F.expr("size_bytes*2 div 3")).select("image_id", "k"),
+        V.cte(V.IMAGES, V.RUNGS) + """, m as (select image_id, k, max(size_bytes) over (partition by image_id)*(k+1)//128 as sz from rungs)
+          select i.image_id, coalesce(max(k) filter (sz<=size_bytes*2//3 and k>=1),0) as k from images i join m using (image_id) group by 1""",
+    ),
+    "archive_manifest": (
+        lambda s, d: P.archive_entries(_entries(s, d)).select("album", "image_id", "unique_name", "entry_bytes", "header_offset"),
+        ARCHIVE + """select album, image_id, unique_name, bytes as entry_bytes, cast(coalesce(sum(30+octet_length(encode(unique_name))+bytes)
+          over (partition by album order by pos rows between unbounded preceding and 1 preceding),0) as bigint) as header_offset from n""",
+    ),
+    "archive_checksums": (
+        lambda s, d: P.archive_entries(_entries(s, d)).select("album", "image_id", "crc"), None),
+    "archive_totals": (
+        lambda s, d: P.archive_totals(P.archive_entries(_entries(s, d)), X.images(s, d)),
+        ARCHIVE + """select album, count(*) as n_entries, cast(sum(30+octet_length(encode(unique_name))+bytes) as bigint) as directory_offset,
+          cast(sum(46+octet_length(encode(unique_name))) as bigint) as directory_bytes,
+          cast(sum(76+2*octet_length(encode(unique_name))+bytes)+22 as bigint) as archive_bytes from n group by 1""",
+    ),
+}
+
+# the accepted part of an intake and the set operations of the guard
+QUERIES["intake_accepted"] = (
+    lambda s, d: I.accepted(I.intake_guard(X.images(s, d))).select("image_id", "album", "file_name"),
+    IMG + f"select image_id, album, file_name from images where ({REASON}) is null",
+)
