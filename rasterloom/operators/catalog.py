@@ -9,9 +9,6 @@ from rasterloom.functions import rules
 from rasterloom.functions.rounding import clamp, half_up, lit
 from rasterloom.functions.scale import numbered, pos_block
 
-W, H = F.col("width"), F.col("height")
-
-
 def output_format(images: DataFrame) -> DataFrame:
     return images.withColumn("out_mime", rules.output_format(F.col("mime")))
 
@@ -46,25 +43,25 @@ def _sized(df: DataFrame, dims: tuple[Column, Column]) -> DataFrame:
 
 
 def fit_max_side(images: DataFrame, max_side: int) -> DataFrame:
-    return _sized(images, rules.fit_max_side(W, H, max_side))
+    return _sized(images, rules.fit_max_side(F.col("width"), F.col("height"), max_side))
 
 
 def scale_dims(images: DataFrame, percent=None, fit_width=None, fit_height=None) -> DataFrame:
     if percent is not None:
-        return _sized(images, rules.scale_percent(W, H, percent))
-    return _sized(images, rules.scale_fit(W, H, fit_width, fit_height))
+        return _sized(images, rules.scale_percent(F.col("width"), F.col("height"), percent))
+    return _sized(images, rules.scale_fit(F.col("width"), F.col("height"), fit_width, fit_height))
 
 
 def upscale_dims(images: DataFrame) -> DataFrame:
-    return _sized(images, (W * rules.UPSCALE_FACTOR, H * rules.UPSCALE_FACTOR))
+    return _sized(images, (F.col("width") * rules.UPSCALE_FACTOR, F.col("height") * rules.UPSCALE_FACTOR))
 
 
 def preview_dims(images: DataFrame, max_side: int = rules.PREVIEW_SIDE) -> DataFrame:
-    return _sized(images, rules.preview_dims(W, H, max_side))
+    return _sized(images, rules.preview_dims(F.col("width"), F.col("height"), max_side))
 
 
 def crop_geometry(images: DataFrame, degrees, cx, cy, cw, ch) -> DataFrame:
-    tw, th = rules.rotated_dims(W, H, degrees)
+    tw, th = rules.rotated_dims(F.col("width"), F.col("height"), degrees)
     x, y, w, h = rules.crop_box(tw, th, cx, cy, cw, ch)
     return images.withColumns({"crop_x": x, "crop_y": y, "crop_width": w, "crop_height": h})
 
@@ -73,9 +70,9 @@ def aspect_crop(images: DataFrame) -> DataFrame:
     """One row per image and aspect preset (four fixed presets), with the centred crop."""
     presets = [F.struct(F.lit(n).alias("preset"), F.lit(a).alias("rw"), F.lit(b).alias("rh"))
                for n, (a, b) in rules.ASPECT_PRESETS.items()]
-    presets.append(F.struct(F.lit("original").alias("preset"), W.alias("rw"), H.alias("rh")))
+    presets.append(F.struct(F.lit("original").alias("preset"), F.col("width").alias("rw"), F.col("height").alias("rh")))
     per = images.withColumn("_p", F.explode(F.array(*presets))).withColumn(
-        "k", rules.aspect_factor(W, H, F.col("_p.rw"), F.col("_p.rh"))
+        "k", rules.aspect_factor(F.col("width"), F.col("height"), F.col("_p.rw"), F.col("_p.rh"))
     )
     x, y, w, h = rules.centred_crop(F.col("k"))
     return per.withColumns(
@@ -84,18 +81,18 @@ def aspect_crop(images: DataFrame) -> DataFrame:
 
 
 def icon_letterbox(images: DataFrame, size) -> DataFrame:
-    side, x, y, w, h = rules.icon_box(W, H, size)
+    side, x, y, w, h = rules.icon_box(F.col("width"), F.col("height"), size)
     return images.withColumns({"side": side, "draw_x": x, "draw_y": y, "draw_width": w, "draw_height": h})
 
 
 def margin_geometry(images: DataFrame, unit: str, opacity, all=None, top=None, right=None, bottom=None, left=None) -> DataFrame:
     """Thickness of the four sides (one linked value or four), total size, output format."""
     sides = {"top": top, "right": right, "bottom": bottom, "left": left}
-    px = {f"margin_{s}": rules.margin_side(v if all is None else all, unit, W, H) for s, v in sides.items()}
+    px = {f"margin_{s}": rules.margin_side(v if all is None else all, unit, F.col("width"), F.col("height")) for s, v in sides.items()}
     return images.withColumns(px).withColumns(
         {
-            "out_width": W + F.col("margin_left") + F.col("margin_right"),
-            "out_height": H + F.col("margin_top") + F.col("margin_bottom"),
+            "out_width": F.col("width") + F.col("margin_left") + F.col("margin_right"),
+            "out_height": F.col("height") + F.col("margin_top") + F.col("margin_bottom"),
             "out_mime": F.when(lit(opacity) < 100, F.lit("image/png")).otherwise(
                 rules.output_format(F.col("mime"))
             ),

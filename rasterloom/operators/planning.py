@@ -11,9 +11,6 @@ from rasterloom.functions.scale import BLOCK_ROWS, BROADCAST_ROWS, dimension_joi
 from rasterloom.operators import tools as T
 from rasterloom.operators.intake import REJECT_MESSAGES, intake_guard
 
-W, H = F.col("width"), F.col("height")
-
-
 # ---- renditions -------------------------------------------------------------------------
 
 
@@ -61,21 +58,21 @@ def _rendition_columns() -> list[Column]:
         rules.rename_output(F.col("file_name"), suffix, ext)
     )
 
-    percent_w, percent_h = rules.scale_percent(W, H, _param("percent", 50.0, "double"))
+    percent_w, percent_h = rules.scale_percent(F.col("width"), F.col("height"), _param("percent", 50.0, "double"))
     fit_w, fit_h = rules.scale_fit(
-        W, H, _param("fitWidth", 1920.0, "double"), _param("fitHeight", 1080.0, "double")
+        F.col("width"), F.col("height"), _param("fitWidth", 1920.0, "double"), _param("fitHeight", 1080.0, "double")
     )
     by_fit = _param("mode", "percent", "string") == "fit"
-    max_w, max_h = rules.fit_max_side(W, H, _param("maxSize", 1600, "int"))
-    side, *_ = rules.icon_box(W, H, _param("size", 256.0, "double"))
-    rot_w, rot_h = rules.rotated_dims(W, H, _param("rotate", 0, "int"))
+    max_w, max_h = rules.fit_max_side(F.col("width"), F.col("height"), _param("maxSize", 1600, "int"))
+    side, *_ = rules.icon_box(F.col("width"), F.col("height"), _param("size", 256.0, "double"))
+    rot_w, rot_h = rules.rotated_dims(F.col("width"), F.col("height"), _param("rotate", 0, "int"))
     unit_pc = _param("unit", "px", "string") == "percent"
     linked = _param("linked", True, "boolean")
 
     def side_px(name: str) -> Column:
         v = F.when(linked, _param("all", 40.0, "double")).otherwise(_param(name, 40.0, "double"))
-        return F.when(unit_pc, rules.margin_side(v, "percent", W, H)).otherwise(
-            rules.margin_side(v, "px", W, H)
+        return F.when(unit_pc, rules.margin_side(v, "percent", F.col("width"), F.col("height"))).otherwise(
+            rules.margin_side(v, "px", F.col("width"), F.col("height"))
         )
 
     one = F.lit(1).cast("bigint")
@@ -87,18 +84,18 @@ def _rendition_columns() -> list[Column]:
             .when(tool == "scale", wh(percent_w, percent_h))
             .when(tool == "compress", F.greatest(one, wh(max_w, max_h)))
             .when(is_icon, side)
-            .when(tool == "upscale", wh(W, H) * rules.UPSCALE_FACTOR)
+            .when(tool == "upscale", wh(F.col("width"), F.col("height")) * rules.UPSCALE_FACTOR)
             .when(tool == "resize", wh(rot_w, rot_h))
             .when(
                 tool == "margin",
-                wh(W + side_px("left") + side_px("right"), H + side_px("top") + side_px("bottom")),
+                wh(F.col("width") + side_px("left") + side_px("right"), F.col("height") + side_px("top") + side_px("bottom")),
             )
-            .otherwise(wh(W, H))
+            .otherwise(wh(F.col("width"), F.col("height")))
         )
 
     return [
-        dims(W, H, 0).alias("out_width"),
-        dims(W, H, 1).alias("out_height"),
+        dims(F.col("width"), F.col("height"), 0).alias("out_width"),
+        dims(F.col("width"), F.col("height"), 1).alias("out_height"),
         fmt.alias("out_mime"),
         name.alias("out_name"),
     ]
@@ -106,7 +103,7 @@ def _rendition_columns() -> list[Column]:
 
 def compress_plan(images: DataFrame, max_side: int, quality: float) -> DataFrame:
     """Fixed-quality compression: bounded size, encoder quality, format and name."""
-    w, h = rules.fit_max_side(W, H, max_side)
+    w, h = rules.fit_max_side(F.col("width"), F.col("height"), max_side)
     fmt = rules.output_format(F.col("mime"))
     return images.withColumns(
         {
