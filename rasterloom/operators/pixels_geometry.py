@@ -132,13 +132,13 @@ def lanczos(distance: Column) -> Column:
     return half_up(value * F.lit(float(LANCZOS_ONE)))
 
 
-def _lanczos_axis(px: DataFrame, axis: str, factor: int, keys, others: list[str]) -> DataFrame:
+def _lanczos_axis(px: DataFrame, axis: str, factor: Column, keys, others: list[str]) -> DataFrame:
     """Enlarge one axis; premultiplied channels p0..p3, clamped and rounded to 8 bits."""
     size = {"x": "width", "y": "height"}[axis]
     other = {"x": "y", "y": "x"}[axis]
     s = F.col(axis).cast("bigint")
     reach = F.sequence(F.greatest(F.lit(0).cast("bigint"), (s - 3) * factor), F.least(F.col(size) * factor - 1, (s + 4) * factor))
-    at = (F.col("_t") * 2 + 1) / F.lit(2.0 * factor) - (s + F.lit(0.5))
+    at = (F.col("_t") * 2 + 1) / (factor * F.lit(2.0)) - (s + F.lit(0.5))
     spread = px.withColumn("_t", F.explode(reach)).withColumn("_w", lanczos(at)).filter("_w <> 0")
     sums = spread.groupBy(*keys, *others, "width", "height", other, "_t").agg(
         F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(f"p{i}")).alias(f"_s{i}") for i in range(4)]
@@ -150,8 +150,8 @@ def _lanczos_axis(px: DataFrame, axis: str, factor: int, keys, others: list[str]
     )
 
 
-def resample_lanczos(px: DataFrame, factor: int, keys=KEYS) -> DataFrame:
-    """Enlarge by a whole factor with Lanczos-3, x then y, on alpha-premultiplied channels.
+def resample_lanczos(px: DataFrame, factor, keys=KEYS) -> DataFrame:
+    """Enlarge by a whole factor (number or column) with Lanczos-3, x then y, on alpha-premultiplied channels.
 
     Weights are integers, so the sums are exact. Pixels of a row meet in one task anyway when
     the scan keeps rows together, and partial sums are made before each shuffle.
@@ -159,7 +159,8 @@ def resample_lanczos(px: DataFrame, factor: int, keys=KEYS) -> DataFrame:
     others = [c for c in px.columns if c not in {*keys, *"xyrgba", "width", "height"}]
     pre = px.withColumns({f"p{i}": idiv(F.col(c) * F.col("a") * 2 + 255, 510).cast("int") for i, c in enumerate("rgb")})
     pre = pre.withColumn("p3", F.col("a")).drop(*"rgba")
-    big = _lanczos_axis(_lanczos_axis(pre, "x", factor, keys, others), "y", factor, keys, others)
+    times = lit(factor)
+    big = _lanczos_axis(_lanczos_axis(pre, "x", times, keys, others), "y", times, keys, others)
     back = lambda i: F.when(F.col("p3") == 0, F.lit(0)).otherwise(
         F.least(F.lit(255), idiv(F.col(f"p{i}") * 255, F.col("p3")))
     )
