@@ -1 +1,138 @@
-QUERIES = {}
+"""Registered queries on sources, sinks, metadata, tool chains and the intake stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rasterloom import schemas
+from rasterloom.functions.scale import work_dir
+from rasterloom.operators import exif as E
+from rasterloom.operators import ocr as O
+from rasterloom.operators import pixels_geometry as G
+from rasterloom.operators import pixels_point as P
+from rasterloom.operators import tools as T
+from rasterloom.plans import views as V
+from rasterloom.plans.catalog_queries import REASON
+from rasterloom.plans.ocr_queries import ALL, _texts
+from rasterloom.plans.pixel_queries import SZ, _key_sql, _sepia_sql
+from rasterloom.plans.planning_queries import PLAN_CTE, _plan
+from rasterloom.sources import fixtures as X
+from rasterloom.sources import images as S
+from rasterloom.sources import png, sinks
+from rasterloom.streaming import intake as stream
+
+LABELS = """lab as (select doc_id as image_id, 0 as ord, 'Camera' as label, concat('Cam', cast(doc_id%7 as varchar)) as value from documents
+  union all select doc_id, 6, 'Orientation', concat('Stored rotated/flipped (EXIF orientation ', cast(doc_id%9 as varchar), ')') from documents where doc_id%9>1
+  union all select doc_id, 7, 'GPS location', 'Embedded in the file' from documents where doc_id%5=0)"""
+
+
+def _tags(s, d):
+    return E.exif_scan(X.exif_files(s, d))
+
+
+def _strip(s, d):
+    """Labelled images are stripped; the audit counts what is left."""
+    tags = _tags(s, d)
+    chosen = X.images(s, d).join(s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("image_id")), "image_id", "left_semi")
+    clean, left = E.strip_metadata(chosen, tags)
+    return tags, clean, left
+
+
+def _audit(s, d):
+    tags, _, left = _strip(s, d)
+    return E.privacy_audit(E.exif_summary(tags), E.exif_summary(left))
+
+
+def _scan(s, d):
+    folder = work_dir(s, "scan")
+    png.write_pngs(X.pixels(s, d), folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return S.scan_images(s, folder)
+
+
+def _scan_pixels(s, d):
+    """The pixels read back from files; the file name is the image number."""
+    scanned = _scan(s, d)
+    names = scanned.select("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("bigint").alias("number"))
+    return S.pixels(scanned).join(names, "image_id").select(
+        F.col("number").alias("image_id"), "y", "x", *"rgba", "width", "height")
+
+
+def _renditions(s, d):
+    folder = work_dir(s, "renditions")
+    sinks.write_renditions(_plan(s, d), folder)
+    return s.read.parquet(folder).select("image_id", "album", "pos", "recipe_id", "tool_id", "out_width", "out_height", "out_mime", "out_name")
+
+
+def _named_texts(s, d):
+    named = O.text_names(X.images(s, d).select("image_id", "album", "pos", "file_name"))
+    return named.join(_texts(s, d), "image_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _export(s, d):
+    folder = work_dir(s, "texts")
+    sinks.text_export(_named_texts(s, d), folder)
+    read = s.read.schema("value string, album string, text_name string").option("wholetext", True).text(folder)
+    # the writer ends every document with a line feed
+    return read.select("album", "text_name", F.regexp_replace("value", "\n\\z", "").alias("text"))
+
+
+def _stream(s, d):
+    target, log = work_dir(s, "intake"), work_dir(s, "intake-log")
+    arrivals = stream.file_stream(s, d, schemas.DOCUMENTS, "documents.parquet")
+    query = stream.incremental_intake(arrivals, X.as_images, target, log)
+    query.awaitTermination()
+    return s.read.parquet(target).select("image_id", "album", "pos", "file_name", "mime", "size_bytes", "reason", "status")
+
+
+def _register():
+    if not T._PLUGINS:
+        T.register_tool("remove-background", P.background_key)
+        T.register_tool("sepia", P.adjust_sepia)
+        T.register_tool("margin", G.margin_paint)
+
+
+def _chain(s, d):
+    _register()
+    return T.chain_tools(
+        P.with_dims(X.pixels(s, d)),
+        ("remove-background", {"color": "#ffffff", "tolerance": 40, "smoothing": 20}),
+        ("sepia", {"percent": 75}),
+        ("margin", {"all": 2, "color": "#102030", "opacity": 100}),
+    )
+
+
+QUERIES = {
+    "exif_scan": (
+        _tags,
+        """select doc_id as image_id, 'ifd0' as ifd, 271 as tag, concat('Cam', cast(doc_id%7 as varchar)) as text, null::bigint as num from documents
+          union all select doc_id, 'ifd0', 274, null, doc_id%9 from documents union all select doc_id, 'ifd0', 34853, null, case when doc_id%5=0 then 56 else 256 end from documents
+          union all select doc_id, 'gps', 1, null, 1 from documents where doc_id%5=0"""),
+    "exif_summary": (lambda s, d: E.exif_summary(_tags(s, d)), "with " + LABELS + " select * from lab"),
+    "privacy_audit": (
+        _audit,
+        "with " + LABELS + """ select label, count(*) as images_before, count(*) filter (image_id not in (select doc_id from labels)) as images_after from lab group by 1"""),
+    "strip_metadata": (
+        lambda s, d: _strip(s, d)[1].select("image_id", "file_name", "mime", "width", "height"),
+        V.cte(V.IMAGES) + "select image_id, file_name, mime, width, height from images where image_id in (select doc_id from labels)"),
+    "scan_images": (_scan_pixels, SZ + "select image_id, y, x, r, g, b, a, width, height from sized"),
+    "write_renditions": (_renditions, PLAN_CTE + "select * from rendition_plan"),
+    "text_export": (
+        _export,
+        ALL.rstrip() + ", " + V.IMAGES + """, t as (select album, image_id, pos, regexp_replace(file_name,'\\.[^/.]+$','') as stem from images),
+          k as (select *, row_number() over (partition by album, stem order by pos) as k from t)
+          select album, case when k=1 then concat(stem,'.txt') else concat(stem,'-',cast(k as varchar),'.txt') end as text_name, coalesce(text,'') as text
+          from k left join texts using (image_id)"""),
+    "text_archives": (
+        lambda s, d: sinks.text_archives(X.images(s, d)),
+        V.cte(V.IMAGES) + "select album, count(*) as n_texts, concat('album-ocr-', cast(count(*) as varchar), '-texts.zip') as archive_name from images group by 1"),
+    "incremental_intake": (
+        _stream,
+        V.cte(V.IMAGES) + f"""select image_id, album, pos, file_name, mime, size_bytes, {REASON} as reason,
+          case when ({REASON})='too_large' then 413 when ({REASON}) is not null then 400 end as status from images"""),
+    "chain_tools": (
+        _chain,
+        SZ + "," + _key_sql((255, 255, 255), 40, 20) + ", sep as (" + _sepia_sql("keyed", 75) + """),
+          c as (select image_id, width, height, y, unnest(range(width+4)) as x from (select *, unnest(range(height+4)) as y from dims))
+          select c.image_id, cast(c.y as int) as y, cast(c.x as int) as x, coalesce(r,16) as r, coalesce(g,32) as g, coalesce(b,48) as b, coalesce(a,255) as a, c.width+4 as width, c.height+4 as height
+            from c left join sep p on p.image_id=c.image_id and p.y+2=c.y and p.x+2=c.x"""),
+}

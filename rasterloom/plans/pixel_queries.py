@@ -36,6 +36,10 @@ def _mix(src, matrix):
     return f"select {BASE}, {cols}, a from {src}"
 
 
+def _sepia_sql(src, p):
+    return _mix(src, P.sepia_matrix(p))
+
+
 def _bright(src, p):
     return f"select {BASE}, " + ", ".join(_u8(f"{c}*{p / 100!r}::double") + f" as {c}" for c in "rgb") + f", a from {src}"
 

@@ -17,7 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows; ``pos`` is the document number, so no global numbering is needed."""
-    return documents(spark, sf_dir).selectExpr(
+    return as_images(documents(spark, sf_dir))
+
+
+def as_images(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr(
         "doc_id as image_id",
         "source as album",
         "cast(doc_id as int) as pos",
