@@ -72,6 +72,15 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, ou
     return running(df, keys, order, block, F.lit(1).cast("bigint"), out, inclusive=True)
 
 
+def by_key(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition for work that costs far more time than its bytes suggest.
+
+    The number is the session's shuffle partitions, given explicitly so that adaptive execution
+    does not merge small but slow partitions into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def pos_block(col: str = "pos", rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(col) / F.lit(rows))
 

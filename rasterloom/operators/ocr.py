@@ -15,11 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
-from rasterloom.functions.scale import BLOCK_ROWS, cut, numbered, pos_block
+from rasterloom.functions.scale import BLOCK_ROWS, by_key, cut, numbered, pos_block
 
 # Level of a word, least confidence, overlap above which two words are one.
 WORD_LEVEL = 5
 MIN_CONFIDENCE = 30.0
+# The characters that count as white space around a word.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 BAND_LIMIT = 2048
 BOX = ["left_px", "top_px", "width_px", "height_px"]
@@ -28,7 +33,7 @@ WORD = ["image_id", "pass", "seq", "text", "confidence", *BOX]
 
 def ocr_filter(detections: DataFrame) -> DataFrame:
     """Word-level, non-blank detections that are certain enough; confidence to one decimal."""
-    text = F.regexp_replace("text", r"(?U)^\s+|\s+\z", "")
+    text = F.trim(F.col("text"), F.lit(BLANKS))
     conf = F.coalesce(F.col("conf").try_cast("double"), F.lit(-1.0))
     return (
         detections.filter(F.col("level") == WORD_LEVEL)
@@ -159,13 +164,18 @@ def _ranked(*more: str) -> Column:
 
 
 def _keep_best(kept: Column, word: Column) -> Column:
-    clash = F.exists(kept, lambda k: same_spot(lambda c: word[c], lambda c: k[c]))
+    def clashes(k: Column) -> Column:
+        # most words of a band are side by side, which the first two tests settle
+        beside = (k["left_px"] < word["left_px"] + word["width_px"]) & (word["left_px"] < k["left_px"] + k["width_px"])
+        return beside & same_spot(lambda c: word[c], lambda c: k[c])
+
+    clash = F.exists(kept, clashes)
     return F.when(clash, kept).otherwise(F.concat(kept, F.array(word)))
 
 
 def _fold_bands(tagged: DataFrame) -> DataFrame:
     """(image_id, band, kept): surviving words of every ordinary band, one array per band."""
-    grouped = tagged.groupBy("image_id", "band").agg(F.array_sort(F.collect_list(_ranked())).alias("_words"))
+    grouped = by_key(tagged, "image_id", "band").groupBy("image_id", "band").agg(F.array_sort(F.collect_list(_ranked())).alias("_words"))
     # an empty slice of the words gives the start value their type
     start = F.slice("_words", 1, 0)
     return grouped.select("image_id", "band", F.aggregate("_words", start, _keep_best).alias("kept"))
@@ -260,7 +270,7 @@ def _line_fold(words: Column) -> Column:
 def _line_rows(words: DataFrame) -> DataFrame:
     """(image_id, band, lined): the band's words, each with its line within the band."""
     order = F.struct("top_px", "left_px", (-F.col("confidence")).alias("rank"), "pass", "seq", "text", "width_px", "height_px")
-    return words.groupBy("image_id", "band").agg(F.array_sort(F.collect_list(order)).alias("_words")).select(
+    return by_key(words, "image_id", "band").groupBy("image_id", "band").agg(F.array_sort(F.collect_list(order)).alias("_words")).select(
         "image_id", "band", F.arrays_zip(F.col("_words").alias("w"), _line_fold(F.col("_words")).alias("line")).alias("lined")
     )
 
@@ -281,7 +291,7 @@ def _lines_streamed(words: DataFrame) -> DataFrame:
                 lines.append(hit)
             yield pdf.assign(line_in_band=lines)
 
-    ordered = words.select(*WORD, "band").repartition("image_id", "band").withColumn("_nc", -F.col("confidence")).sortWithinPartitions(
+    ordered = by_key(words.select(*WORD, "band"), "image_id", "band").withColumn("_nc", -F.col("confidence")).sortWithinPartitions(
         "image_id", "band", "top_px", "left_px", "_nc", "pass", "seq").drop("_nc")
     types = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
     schema = ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", line_in_band int"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.rounding import clamp, idiv, ratio
+from rasterloom.functions.scale import by_key
 from rasterloom.operators import pixels_point as P
 
 TILE = 256
@@ -34,7 +35,7 @@ def with_halo(px: DataFrame, pad: int, tile: int = TILE) -> DataFrame:
         return F.sequence(idiv(F.greatest(c - pad, F.lit(0)), tile), idiv(c + pad, tile))
 
     spread = px.withColumn("_ty", F.explode(reach("y"))).withColumn("_tx", F.explode(reach("x")))
-    return spread.repartition(*KEYS)
+    return by_key(spread, *KEYS)
 
 
 def core(tiled: DataFrame, tile: int = TILE) -> DataFrame:
@@ -102,24 +103,25 @@ def mode5(px: DataFrame, tile: int = TILE) -> DataFrame:
     window = [f"_h{i}" for i in range(5)] + list(across)
     t = t.withColumn("_near", F.array_compact(F.array(*window)))
 
+    # state of the fold over the sorted values: best count, best value, run length, last value,
+    # packed into one number; a longer run wins, so a tie stays with the smaller value
     def common(c: str) -> Column:
         values = F.sort_array(F.transform("_near", lambda v: unpack(v, c)))
-        start = F.struct(
-            F.lit(-1).alias("v"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("n")
-        )
 
         def step(acc: Column, v: Column) -> Column:
-            run = F.when(acc["v"] == v, acc["run"] + 1).otherwise(F.lit(1))
-            better = run > acc["n"]
-            return F.struct(
-                v.alias("v"), run.alias("run"),
-                F.when(better, v).otherwise(acc["best"]).alias("best"), F.greatest(run, acc["n"]).alias("n"),
-            )
-
-        picked = F.aggregate(values, start, step)
-        return F.when(picked["n"] > 2, picked["best"]).otherwise(F.col(c))
-
-    return _restore(px, t.withColumns({c: common(c) for c in "rgb"}))
+            run = F.when(acc.bitwiseAND(F.lit(0xFF)) == v, F.shiftright(acc, 8).bitwiseAND(F.lit(0x1F)) + 1).otherwise(F.lit(1))
+            longer = run > F.shiftright(acc, 21)
+            best = F.when(longer, F.shiftleft(run, 21) + F.shiftleft(v, 13)).otherwise(acc.bitwiseAND(F.lit(~0x1FFF)))
+            return best + F.shiftleft(run, 8) + v
+
+        return F.aggregate(values, F.lit(0), step)
+
+    t = t.withColumns({f"_m{c}": common(c) for c in "rgb"})
+    majority = {
+        c: F.when(F.shiftright(f"_m{c}", 21) > 2, F.shiftright(f"_m{c}", 13).bitwiseAND(F.lit(0xFF))).otherwise(F.col(c))
+        for c in "rgb"
+    }
+    return _restore(px, t.withColumns(majority))
 
 
 def blur_weights(sigma: float) -> list[int]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
 from rasterloom.functions.rounding import idiv, lit
+from rasterloom.functions.scale import by_key
 from rasterloom.functions.ship import ship_package
 
 # Tile side and padding of the upscaler.
@@ -133,4 +134,4 @@ def tiled_inference(px: DataFrame, loader=nearest_model, tile: int = TILE, pad:
 
     schema = "image_id bigint, y int, x int, r int, g int, b int, a int, width int, height int"
     tiles = tile_explode(px.select("image_id", "y", "x", *"rgba", "width", "height"), tile, pad)
-    return tiles.groupBy("image_id", "ty", "tx").applyInPandas(enlarge, schema)
+    return by_key(tiles, "image_id", "ty", "tx").groupBy("image_id", "ty", "tx").applyInPandas(enlarge, schema)

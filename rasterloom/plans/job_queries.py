@@ -71,7 +71,7 @@ def _named_texts(s, d):
 def _export(s, d):
     folder = work_dir(s, "texts")
     sinks.text_export(_named_texts(s, d), folder)
-    read = s.read.schema("value string, album string, text_name string").option("wholetext", True).text(folder)
+    read = s.read.schema("value string, album string, text_name string").text(folder, wholetext=True)
     # the writer ends every document with a line feed
     return read.select("album", "text_name", F.regexp_replace("value", "\n\\z", "").alias("text"))
 

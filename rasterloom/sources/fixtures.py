@@ -12,7 +12,13 @@ from rasterloom import schemas
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(schemas.DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.schema(schemas.DOCUMENTS).parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a source of few files, before rows are exploded; else leave it alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     Flat art where ``image_id % 3 = 0``, alpha below 255 in odd images.
     """
     return (
-        spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+        spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
         .selectExpr("vec_id", "embedding", "posexplode(embedding) as (p, v)")
         .selectExpr("vec_id", "p", "v", "embedding[size(embedding)-1-p] as v2")
         .selectExpr(
