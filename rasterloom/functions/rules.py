@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,6 +145,23 @@ def margin_side(value, unit: str, width: Column, height: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), half_up(v))
 
 
+def hex_value(color: str) -> tuple[int, int, int]:
+    """:func:`hex_color` of a constant, worked out while the plan is built."""
+    bare = color.replace("#", "", 1)
+    if len(bare) == 3:
+        bare = "".join(ch * 2 for ch in bare)
+    number = re.match(r"\s*([+-]?)(?:0x)?+([0-9a-f]+)", bare, re.IGNORECASE)
+    if number is None:
+        return 255, 255, 255
+    value = int(number[1] + number[2], 16)
+    return (value >> 16) & 255, (value >> 8) & 255, value & 255
+
+
+def channels(color) -> tuple[Column, Column, Column]:
+    """Red, green and blue of a constant colour or of a colour column."""
+    return tuple(F.lit(v) for v in hex_value(color)) if isinstance(color, str) else hex_color(color)
+
+
 def hex_color(color: Column) -> tuple[Column, Column, Column]:
     """``#rgb`` / ``#rrggbb`` to channels; leading hex digits count, none at all is white.
 

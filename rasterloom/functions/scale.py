@@ -127,6 +127,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, and the known file size lets Spark choose a broadcast
+    join only where the table really is small.
+    """
+    folder = work_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage with a reliable checkpoint."""
     checkpoint_root(df.sparkSession)

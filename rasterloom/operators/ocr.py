@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
-from rasterloom.functions.scale import BLOCK_ROWS, by_key, cut, numbered, pos_block
+from rasterloom.functions.scale import BLOCK_ROWS, by_key, cut, numbered, pos_block, stored
 
 # Level of a word, least confidence, overlap above which two words are one.
 WORD_LEVEL = 5
@@ -57,13 +57,17 @@ def overlap(a, b) -> tuple[Column, Column]:
         return F.greatest(F.lit(0), end - F.greatest(a(low), b(low))).cast("bigint")
 
     inter = span("left_px", "width_px") * span("top_px", "height_px")
-    area = lambda w: w("width_px").cast("bigint") * w("height_px")
-    return inter, area(a) + area(b) - inter
+    return inter, _area(a) + _area(b) - inter
 
 
 def same_spot(a, b) -> Column:
-    inter, union = overlap(a, b)
-    return inter * 2 > union
+    """More than half of the union is shared: 2 i > A + B - i, without computing i twice."""
+    inter, _ = overlap(a, b)
+    return inter * 3 > _area(a) + _area(b)
+
+
+def _area(w) -> Column:
+    return w("width_px").cast("bigint") * w("height_px")
 
 
 # ---- cells for pairs of similar boxes ---------------------------------------------------
@@ -126,30 +130,36 @@ def iou_pairs(words: DataFrame) -> DataFrame:
 # ---- bands ------------------------------------------------------------------------------
 
 
+def _strip() -> Column:
+    """Pixel lines are looked at in strips of eight; a gap inside a strip is not needed."""
+    return F.floor(F.col("top_px") / F.lit(8)).cast("int")
+
+
 def bands(words: DataFrame) -> DataFrame:
-    """(image_id, top_px, band, band_words): vertical islands of every image.
+    """(image_id, strip, band, band_words): vertical islands of every image.
 
-    Words are first reduced to one row per image and top line (map-side combine). That leaves at
-    most one row per pixel line of an image, which bounds the window below.
+    Words are first reduced to one row per image and strip of top lines (map-side combine). That
+    leaves at most one row per eight pixel lines of an image, which bounds the window below. A
+    strip opens a band when all its words begin below every earlier word.
     """
-    lines = words.groupBy("image_id", "top_px").agg(
-        F.max(F.col("top_px") + F.col("height_px")).alias("_bottom"), F.count(F.lit(1)).alias("_n")
+    strips = words.groupBy("image_id", _strip().alias("strip")).agg(
+        F.min("top_px").alias("_top"), F.max(F.col("top_px") + F.col("height_px")).alias("_bottom"), F.count(F.lit(1)).alias("_n")
     )
-    down = Window.partitionBy("image_id").orderBy("top_px")
+    down = Window.partitionBy("image_id").orderBy("strip")
     before = F.max("_bottom").over(down.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(before.isNull() | (F.col("top_px") > before), 1).otherwise(0)
+    opened = F.when(before.isNull() | (F.col("_top") > before), 1).otherwise(0)
     return (
-        lines.withColumn("_open", opened)
-        .withColumn("band", F.sum("_open").over(down.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+        strips.withColumn("_open", opened)
+        .withColumn("band", F.sum("_open").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
         .withColumn("band_words", F.sum("_n").over(Window.partitionBy("image_id", "band")))
-        .select("image_id", "top_px", "band", "band_words")
+        .select("image_id", "strip", "band", "band_words")
     )
 
 
 def with_bands(words: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Words with their band, split into ordinary bands and (None if there are none) huge ones."""
-    found = cut(bands(words))
-    tagged = words.join(found, ["image_id", "top_px"])
+    found = stored(bands(words), "bands")
+    tagged = words.withColumn("strip", _strip()).join(found, ["image_id", "strip"]).drop("strip")
     if found.filter(F.col("band_words") > limit).isEmpty():
         return tagged, None
     return tagged.filter(F.col("band_words") <= limit), tagged.filter(F.col("band_words") > limit)
@@ -245,6 +255,17 @@ def reading_order(words: DataFrame, rows_per_block: int = 1 << 12) -> DataFrame:
 # ---- lines ------------------------------------------------------------------------------
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once (a one-element array holds it)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _one_line(words: Column) -> Column:
+    """True when every box reaches below every centre: then all words share the first line."""
+    bottom = F.array_min(F.transform(words, lambda w: (w["top_px"] + w["height_px"]) * 2))
+    return bottom >= F.array_max(F.transform(words, lambda w: w["top_px"] * 2 + w["height_px"]))
+
+
 def _line_fold(words: Column) -> Column:
     """Line number of every word of a band (words in top, left order).
 
@@ -257,14 +278,23 @@ def _line_fold(words: Column) -> Column:
     def step(state: Column, w: Column) -> Column:
         bottom = w["top_px"] + w["height_px"]
         centre2 = w["top_px"] * 2 + w["height_px"]
-        at = F.array_position(F.transform(state["low"], lambda low: low * 2 >= centre2), True).cast("int")
-        low = F.when(at == 0, F.concat(state["low"], F.array(bottom))).otherwise(
-            F.transform(state["low"], lambda v, i: F.when(i + 1 == at, F.greatest(v, bottom)).otherwise(v))
-        )
-        line = F.when(at == 0, F.size(state["low"])).otherwise(at - 1)
-        return F.struct(low.alias("low"), F.concat(state["line"], F.array(line)).alias("line"))
+        reached = F.array_position(F.transform(state["low"], lambda low: low * 2 >= centre2), True).cast("int")
+
+        def put(at: Column) -> Column:
+            fresh = F.struct(
+                F.concat(state["low"], F.array(bottom)).alias("low"),
+                F.concat(state["line"], F.array(F.size(state["low"]))).alias("line"),
+            )
+            joined = F.struct(
+                F.transform(state["low"], lambda v, i: F.when(i + 1 == at, F.greatest(v, bottom)).otherwise(v)).alias("low"),
+                F.concat(state["line"], F.array(at - 1)).alias("line"),
+            )
+            return F.when(at == 0, fresh).otherwise(joined)
 
-    return F.aggregate(words, start, step)["line"]
+        return bind(reached, put)
+
+    folded = F.aggregate(words, start, step)["line"]
+    return F.when(_one_line(words), F.array_repeat(F.lit(0), F.size(words))).otherwise(folded)
 
 
 def _line_rows(words: DataFrame) -> DataFrame:
@@ -356,32 +386,26 @@ def _joined(words: Column) -> Column:
 
 def _band_texts(tagged: DataFrame) -> DataFrame:
     """(image_id, band_top, part, text): finished text of every ordinary band."""
-    kept = _fold_bands(tagged)
-    ordered = kept.withColumn(
-        "_words",
-        F.array_sort(F.transform("kept", lambda w: F.struct(
-            w["top_px"].alias("top_px"), w["left_px"].alias("left_px"), w["rank"].alias("rank"), w["pass"].alias("pass"),
-            w["seq"].alias("seq"), w["text"].alias("text"), w["height_px"].alias("height_px")))),
-    ).withColumn("_line", _line_fold(F.col("_words")))
-    placed = F.array_sort(
-        F.transform(
-            F.arrays_zip(F.col("_words").alias("w"), F.col("_line").alias("line")),
-            lambda z, i: F.struct(z["line"].alias("line"), z["w"]["left_px"].alias("left"), i.alias("i"), z["w"]["text"].alias("text")),
-        )
-    )
-    joined = F.aggregate(
-        placed,
-        F.struct(F.lit(0).alias("line"), F.lit("").alias("text")),
-        lambda acc, w: F.struct(
-            w["line"].alias("line"),
-            F.when(acc["text"] == "", w["text"])
-            .when(w["line"] == acc["line"], F.concat(acc["text"], F.lit(" "), w["text"]))
-            .otherwise(F.concat(acc["text"], F.lit("\n"), w["text"])).alias("text"),
-        ),
-    )["text"]
-    return ordered.select(
-        "image_id", F.col("_words")[0]["top_px"].alias("band_top"), F.lit(0).alias("part"), joined.alias("text")
-    )
+    fields = ["top_px", "left_px", "rank", "pass", "seq", "text", "height_px"]
+
+    def by(*first: str):
+        order = [*first, *[f for f in fields if f not in first]]
+        return lambda words: F.array_sort(F.transform(words, lambda w: F.struct(*[w[f].alias(f) for f in order])))
+
+    spoken = lambda words: F.array_join(F.transform(words, lambda w: w["text"]), " ")
+    one = spoken(by("left_px", "top_px")(F.col("kept")))
+
+    def several(words: Column) -> Column:
+        def texts(lines: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.array_max(lines))
+            return F.array_join(F.transform(numbers, lambda n: spoken(
+                by("left_px", "top_px")(F.filter(words, lambda w, i: F.get(lines, i) == n)))), "\n")
+
+        return bind(_line_fold(words), texts)
+
+    text = F.when(_one_line(F.col("kept")), one).otherwise(bind(by("top_px", "left_px")(F.col("kept")), several))
+    top = F.array_min(F.transform("kept", lambda w: w["top_px"]))
+    return _fold_bands(tagged).select("image_id", top.alias("band_top"), F.lit(0).alias("part"), text.alias("text"))
 
 
 # ---- results ----------------------------------------------------------------------------

@@ -217,7 +217,7 @@ def margin_paint(px: DataFrame, unit="px", all=None, top=0, right=0, bottom=0, l
     """Add margins; the colour covers the border only and never tints the image."""
     value = {"top": top, "right": right, "bottom": bottom, "left": left}
     t, r, b, l = (rules.margin_side(v if all is None else all, unit, F.col("width"), F.col("height")) for v in value.values())
-    red, green, blue = rules.hex_color(lit(color))
+    red, green, blue = rules.channels(color)
     alpha = F.lit(int(max(0.0, min(1.0, opacity / 100)) * 255 + 0.5))
     return frame(px, l, t, r, b, {"r": red, "g": green, "b": blue, "a": alpha})
 

@@ -10,7 +10,7 @@ from rasterloom.functions.rounding import byte, half_up, idiv, lit
 
 def background_key(px: DataFrame, color="#ffffff", tolerance=10, smoothing=0) -> DataFrame:
     """Make pixels near the key colour transparent, with an optional soft band."""
-    kr, kg, kb = rules.hex_color(lit(color))
+    kr, kg, kb = rules.channels(color)
     distance = F.sqrt((F.col("r") - kr) * (F.col("r") - kr) + (F.col("g") - kg) * (F.col("g") - kg) + (F.col("b") - kb) * (F.col("b") - kb))
     limit = max(0, min(100, tolerance)) / 100 * rules.KEY_DISTANCE_SCALE
     band = max(0, min(100, smoothing)) / 100 * rules.KEY_SMOOTHING_SCALE
@@ -96,7 +96,7 @@ def composite_over(px: DataFrame, color: str | None) -> DataFrame:
     """Source-over on an opaque background; no colour keeps the transparency."""
     if color is None:
         return px
-    bg = dict(zip("rgb", rules.hex_color(lit(color))))
+    bg = dict(zip("rgb", rules.channels(color)))
     over = {c: idiv((F.col(c) * F.col("a") + bg[c] * (F.lit(255) - F.col("a"))) * 2 + 255, 510).cast("int") for c in "rgb"}
     return px.withColumns({**over, "a": F.lit(255)})
 

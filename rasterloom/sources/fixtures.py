@@ -89,7 +89,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = (
         documents(spark, sf_dir)
         .selectExpr("doc_id", "filter(split(text, '[ \\\\n\\\\t\\\\r]+'), z -> z<>'') as ws")
-        .selectExpr("doc_id", "posexplode(ws) as (i, w)")
+        # the outer form keeps the optimizer from splitting every text a second time in a filter
+        .selectExpr("doc_id", "posexplode_outer(ws) as (i, w)")
+        .filter("i is not null")
         .selectExpr("doc_id", "i", "w", "length(w) as n")
     )
     # both passes come from one scan: each word is exploded into its one or two detections

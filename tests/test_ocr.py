@@ -57,8 +57,7 @@ def pages(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("limit", [10_000, 12, 0])
+@pytest.mark.parametrize("seed,limit", [(1, 10_000), (2, 12), (3, 0)])
 def test_dedup_lines_text(spark, seed, limit):
     data = pages(seed)
     rows = [(i, p, s, t, c, l, tp, w, h) for i, ws in data.items() for c, (p, s), l, tp, w, h, t in ws]
