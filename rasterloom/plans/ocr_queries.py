@@ -94,10 +94,10 @@ QUERIES = {
             F.array_join(F.transform("words", lambda w: F.concat(w["line"].cast("string"), F.lit(":"), w["text"])), "|").alias("flat")),
         V.cte(V.DETECTIONS, WORDS, BANDS, KEEP, LINES, V.OCR_SIZES, V.IMAGES) + """, f as (select image_id, count(*) as n,
             string_agg(concat(cast(line as varchar),':',text), '|' order by line, left_px, i) as flat from lines group by 1)
-          select i.image_id, i.file_name, s.width, s.height, coalesce(t.text,'') as text, coalesce(n,0) as n_words, coalesce(flat,'') as flat
+          select i.image_id, i.file_name, s.width, s.height, coalesce(t.text,'') as text, cast(coalesce(n,0) as int) as n_words, coalesce(flat,'') as flat
             from images i join ocr_sizes s using (image_id) left join texts t using (image_id) left join f using (image_id)"""),
     "char_count": (
-        lambda s, d: O.char_count(_texts(s, d)).select("image_id", "n_chars"), ALL + "select image_id, length(text) as n_chars from texts"),
+        lambda s, d: O.char_count(_texts(s, d)).select("image_id", "n_chars"), ALL + "select image_id, cast(length(text) as int) as n_chars from texts"),
     "text_names": (
         lambda s, d: O.text_names(_named(s, d)).select("album", "image_id", "text_name"),
         V.cte(V.IMAGES) + """, t as (select album, image_id, pos, regexp_replace(file_name,'\\.[^/.]+$','') as stem from images),

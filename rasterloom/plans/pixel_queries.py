@@ -282,7 +282,8 @@ QUERIES = {
             "image_id", "ty", "tx", "py0", "px0", "py1", "px1", "oy0", "ox0"),
         V.cte(V.IMAGES) + """, g as (select image_id, width, height, case when greatest(width,height)<=256 then 0 else 16 end as p, ty, unnest(range((width-1)//256+1)) as tx
             from (select *, unnest(range((height-1)//256+1)) as ty from images)),
-          q as (select image_id, cast(ty as int) as ty, cast(tx as int) as tx, greatest(ty*256-p,0) as py0, greatest(tx*256-p,0) as px0, least(least(ty*256+256,height)+p,height) as py1, least(least(tx*256+256,width)+p,width) as px1 from g)
+          q as (select image_id, cast(ty as int) as ty, cast(tx as int) as tx, cast(greatest(ty*256-p,0) as int) as py0, cast(greatest(tx*256-p,0) as int) as px0,
+            cast(least(least(ty*256+256,height)+p,height) as int) as py1, cast(least(least(tx*256+256,width)+p,width) as int) as px1 from g)
           select *, (ty*256-py0)*4 as oy0, (tx*256-px0)*4 as ox0 from q"""),
     "tile_explode": (
         lambda s, d: TI.tile_explode(_sized(s, d), 16, 4).drop("width", "height"),

@@ -210,7 +210,7 @@ QUERIES = {
     ),
     "archive_manifest": (
         lambda s, d: P.archive_entries(_entries(s, d)).select("album", "image_id", "unique_name", "entry_bytes", "header_offset"),
-        ARCHIVE + """select album, image_id, unique_name, bytes as entry_bytes, cast(coalesce(sum(30+octet_length(encode(unique_name))+bytes)
+        ARCHIVE + """select album, image_id, unique_name, cast(bytes as int) as entry_bytes, cast(coalesce(sum(30+octet_length(encode(unique_name))+bytes)
           over (partition by album order by pos rows between unbounded preceding and 1 preceding),0) as bigint) as header_offset from n""",
     ),
     "archive_checksums": (
