@@ -235,25 +235,25 @@ def merge_layout(
 ) -> DataFrame:
     """Placement of every image of an album on the common canvas, in list order.
 
-    Sizes of the canvas are aggregates (map-side combine); only the running offset along the
-    stack direction needs the order, and it is accumulated block by block.
+    The canvas size is one aggregate with map-side combine (two where the images are scaled);
+    only the running offset along the stack needs the order, and it is summed block by block.
     """
     horizontal = direction == "horizontal"
     cross, main = ("height", "width") if horizontal else ("width", "height")
-    widest = members.groupBy("album").agg(F.max(cross).alias("_target"))
-    sized = members.join(widest, "album")
+    stats = members.groupBy("album").agg(F.max(cross).alias("_target"), F.sum(main).alias("_main"))
+    sized = members.join(stats, "album")
     if resize == "fill":
         scale = F.when(F.col(cross) > 0, F.col("_target").cast("double") / F.col(cross)).otherwise(F.lit(1.0))
-        drawn = {f"draw_{s}": rules.at_least_one(F.col(s) * scale) for s in ("width", "height")}
+        sized = sized.withColumns({f"draw_{s}": rules.at_least_one(F.col(s) * scale) for s in ("width", "height")})
+        scaled = sized.groupBy("album").agg(F.sum(f"draw_{main}").alias("_main"))
+        sized = sized.drop("_main").join(scaled, "album")
     else:
-        drawn = {f"draw_{s}": F.col(s).cast("bigint") for s in ("width", "height")}
-    sized = sized.withColumns(drawn)
-    total = members_total(sized, f"draw_{main}")
+        sized = sized.withColumns({f"draw_{s}": F.col(s).cast("bigint") for s in ("width", "height")})
     free = F.col("_target") - F.col(f"draw_{cross}")
     offset = {"start": F.lit(0).cast("bigint"), "center": half_up(free / F.lit(2.0)), "end": free}[alignment]
     placed = running(
         sized, ["album"], ["pos"], pos_block("pos", rows_per_block), F.col(f"draw_{main}"), "_cursor"
-    ).join(total, "album")
+    )
     along, across = ("x", "y") if horizontal else ("y", "x")
     return placed.withColumns(
         {
@@ -265,10 +265,6 @@ def merge_layout(
     ).drop("_target", "_cursor", "_main")
 
 
-def members_total(sized: DataFrame, column: str) -> DataFrame:
-    return sized.groupBy("album").agg(F.sum(column).alias("_main"))
-
-
 def budget_search(images: DataFrame, rungs: DataFrame, target: Column, steps: int = 7) -> DataFrame:
     """Replay the bisection over measured rungs: exact for any sizes, monotone or not.
 

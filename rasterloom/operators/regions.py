@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.scale import cut
+from rasterloom.functions.scale import cut, stored
 from rasterloom.operators import catalog, pixels_geometry, pixels_neighborhood
 from rasterloom.operators.pixels_point import alpha_extrema, color_histogram
 
@@ -92,7 +92,7 @@ def trace_prepare(px: DataFrame) -> DataFrame:
     Flat and opaque: enlarge, majority filter, 16-colour palette. Flat with alpha: enlarge.
     Photo: median filter. Enlarged images keep their former size in ``orig_width/height``.
     """
-    flags = trace_flags(px).select("image_id", "flat", "has_alpha", "factor")
+    flags = stored(trace_flags(px).select("image_id", "flat", "has_alpha", "factor"), "flags")
     tagged = px.join(flags, "image_id").withColumns({"orig_width": F.col("width"), "orig_height": F.col("height")})
     out = [c for c in px.columns] + ["orig_width", "orig_height"]
     flat = pixels_geometry.resample_lanczos(tagged.filter("flat"), F.col("factor"))

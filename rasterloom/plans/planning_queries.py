@@ -58,7 +58,7 @@ PLAN_CTE = V.cte(V.IMAGES, V.TOOLS, DUCK_RECIPES, PLAN)
 
 
 def _plan(s, d):
-    return P.rendition_plan(X.images(s, d), recipes(s))
+    return P.rendition_plan(X.spread(X.images(s, d)), recipes(s))
 
 
 def _keyed(s, d):

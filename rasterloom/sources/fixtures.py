@@ -12,7 +12,7 @@ from rasterloom import schemas
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.schema(schemas.DOCUMENTS).parquet(f"{sf_dir}/documents.parquet"))
+    return spark.read.schema(schemas.DOCUMENTS).parquet(f"{sf_dir}/documents.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured size at each of the 128 steps of the budget ladder."""
     return (
-        documents(spark, sf_dir)
+        spread(documents(spark, sf_dir).select("doc_id", "n_chars"))
         .selectExpr("doc_id", "n_chars", "explode(sequence(0,127)) as k")
         .selectExpr(
             "doc_id as image_id",
@@ -87,7 +87,7 @@ def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw recogniser output over the whole text: two passes whose boxes partly overlap."""
     words = (
-        documents(spark, sf_dir)
+        spread(documents(spark, sf_dir).select("doc_id", "text"))
         .selectExpr("doc_id", "filter(split(text, '[ \\\\n\\\\t\\\\r]+'), z -> z<>'') as ws")
         # the outer form keeps the optimizer from splitting every text a second time in a filter
         .selectExpr("doc_id", "posexplode_outer(ws) as (i, w)")
