@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
-from rasterloom.functions.rounding import clamp, half_up, lit
+from rasterloom.functions.rounding import clamp, lit
 from rasterloom.functions.scale import numbered, pos_block
 
 def output_format(images: DataFrame) -> DataFrame:

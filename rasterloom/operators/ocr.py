@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
+from rasterloom.functions.rounding import one_decimal
 from rasterloom.functions.scale import BLOCK_ROWS, by_key, cut, numbered, pos_block, stored
 
 # Level of a word, least confidence, overlap above which two words are one.
@@ -40,7 +41,7 @@ def ocr_filter(detections: DataFrame) -> DataFrame:
         .withColumn("text", text)
         .withColumn("confidence", conf)
         .filter((F.col("text") != "") & (F.col("confidence") >= MIN_CONFIDENCE))
-        .withColumn("confidence", F.bround("confidence", 1))
+        .withColumn("confidence", one_decimal(F.col("confidence")))
         .select(*WORD)
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
-from rasterloom.functions.rounding import byte, half_up, idiv, lit
+from rasterloom.functions.rounding import byte, half_up, idiv
 
 def background_key(px: DataFrame, color="#ffffff", tolerance=10, smoothing=0) -> DataFrame:
     """Make pixels near the key colour transparent, with an optional soft band."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
-from rasterloom.functions.rounding import half_up, lit
+from rasterloom.functions.rounding import half_up
 from rasterloom.functions.scale import BLOCK_ROWS, BROADCAST_ROWS, dimension_join, pos_block, running
 from rasterloom.operators import tools as T
 from rasterloom.operators.intake import REJECT_MESSAGES, intake_guard
@@ -174,7 +174,7 @@ def preview_top4(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("preview_pos", rank).filter("preview_pos <= 4")
 
 
-def batch_run(images: DataFrame, step: str = "run") -> DataFrame:
+def batch_run(images: DataFrame) -> DataFrame:
     """Every file is attempted; ``ok`` and ``message`` tell how it went, in list order."""
     guarded = intake_guard(images)
     message = F.lit(None).cast("string")

@@ -150,6 +150,15 @@ MEMBERS = """m as (select image_id, width, height, concat('album', cast(image_id
   painted as (select c.album, cast(c.y as int) as y, cast(c.x as int) as x, coalesce(r,0) as r, coalesce(g,0) as g, coalesce(b,0) as b, coalesce(a,0) as a, cast(cw as int) as width, cast(ch as int) as height
     from cells c left join spot s on s.album=c.album and s.y=c.y and s.x=c.x)"""
 
+FILLED = """cropped as (select image_id, y, x, r, g, b, a, cast(floor((1.0::double-(image_id%3)*0.25::double)*width+0.5) as int) as width, height from sized),
+  fm as (select distinct image_id, width, height, concat('album', cast(image_id//4 as varchar)) as album, image_id%4 as pos from cropped),
+  ft as (select *, max(height) over (partition by album) as ch from fm),
+  fd as (select *, cast(greatest(1,floor(width*(ch::double/height)+0.5)) as bigint) as dw, cast(greatest(1,floor(height*(ch::double/height)+0.5)) as bigint) as dh from ft),
+  fl as (select image_id, album, dw, dh, ch, cast(sum(dw) over (partition by album) as bigint) as cw,
+    cast(coalesce(sum(dw) over (partition by album order by pos rows between unbounded preceding and 1 preceding),0) as bigint) as px from fd),
+  placed as (select c.*, fl.album, fl.px, fl.cw, fl.ch, fl.dw, fl.dh from cropped c join fl using (image_id) where c.x<c.width),
+  """
+
 MEDIAN = """c as (select p.image_id, p.y, p.x, p.a, d.width, d.height, p.r, p.g, p.b from sized p join dims d using (image_id)),
   o as (select c.*, dy, dx from c, (values (-1),(0),(1)) u(dy), (values (-1),(0),(1)) v(dx)),
   nb as (select o.image_id, o.y, o.x, o.a, q.r, q.g, q.b from o join pixels q on q.image_id=o.image_id
@@ -260,7 +269,11 @@ QUERIES = {
     "merge_images": (
         lambda s, d: _merged(s, d, "vertical", "center", "none", None).drop("out_name"),
         SZ + "," + MEMBERS + "select * from painted"),
-    "merge_images_fill": (lambda s, d: _merged(s, d, "horizontal", "start", "fill", "#336699"), None),
+    "merge_images_fill": (
+        lambda s, d: _merged(s, d, "horizontal", "start", "fill", "#336699").drop("out_name"),
+        SZ + "," + FILLED + _resample_sql("placed", "dw", "dh", "image_id, album, px, cw, ch") + f"""
+          select album, y, cast(x+px as int) as x, {', '.join(f"cast((2*({c}*a+{v}*(255-a))+255)//510 as int) as {c}" for c, v in zip('rgb', (51, 102, 153)))},
+            255 as a, cast(cw as int) as width, cast(ch as int) as height from scaled"""),
     "sharpen": (
         lambda s, d: N.sharpen(_px(s, d), 0.8), PX + "," + _sharpen_sql("pixels", 0.8) + "select * from sharp"),
     "sharpen_small_tiles": (

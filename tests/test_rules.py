@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
+from rasterloom.functions.rounding import one_decimal
 from rasterloom.functions.scale import dimension_join, numbered, pos_block, running
 from rasterloom.operators import catalog as C
 from rasterloom.operators import intake as I
@@ -43,6 +44,17 @@ def test_hex_colors(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "color string")
     assert {r.color: (r.red, r.green, r.blue) for r in C.parse_hex_color(df).collect()} == cases
+    assert {text: rules.hex_value(text) for text in cases} == cases
+
+
+def test_one_decimal(spark):
+    rng = random.Random(2)
+    numbers = [rng.randrange(0, 10001) / 100 for _ in range(3000)] + [rng.uniform(0, 100) for _ in range(500)]
+    numbers += [96.25, 96.35, 0.05, 0.15, 0.25, 99.95, 30.0]
+    rows = spark.createDataFrame([(v,) for v in numbers], "v double").select("v", one_decimal(F.col("v")).alias("r")).collect()
+    assert all(r.r == round(r.v, 1) for r in rows)
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),)], "v double").select(one_decimal(F.col("v")).alias("r")).collect()
+    assert odd[0].r == float("inf") and odd[1].r != odd[1].r
 
 
 def test_aspect(spark):
