@@ -70,8 +70,11 @@ def palette(boxes: DataFrame) -> DataFrame:
 
 def quantize(px: DataFrame, rounds: int = PALETTE_ROUNDS) -> DataFrame:
     """Every pixel takes its palette colour. A common colour is spread over several salts."""
-    boxes = median_cut(color_histogram(px), rounds)
-    mapping = boxes.join(palette(boxes), ["image_id", "box"]).select("image_id", "r", "g", "b", "pr", "pg", "pb")
+    box = Window.partitionBy("image_id", "box")  # inside the partitioning of the rounds
+    mean = lambda c: F.bround(F.sum(F.col(c) * F.col("n")).over(box) / F.sum("n").over(box), 0).cast("int")
+    mapping = median_cut(color_histogram(px), rounds).select(
+        "image_id", "r", "g", "b", *[mean(c).alias(f"p{c}") for c in "rgb"]
+    )
     salted = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PALETTE_SALTS - 1))))
     spread = px.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(PALETTE_SALTS)).cast("int"))
     new = {"r": F.col("pr"), "g": F.col("pg"), "b": F.col("pb")}
@@ -96,7 +99,8 @@ def trace_prepare(px: DataFrame) -> DataFrame:
     tagged = px.join(flags, "image_id").withColumns({"orig_width": F.col("width"), "orig_height": F.col("height")})
     out = [c for c in px.columns] + ["orig_width", "orig_height"]
     flat = pixels_geometry.resample_lanczos(tagged.filter("flat"), F.col("factor"))
-    opaque = quantize(pixels_neighborhood.mode5(flat.filter("not has_alpha")))
+    # the palette reads its input twice (colours, then pixels), so the filtered pixels are written once
+    opaque = quantize(stored(pixels_neighborhood.mode5(flat.filter("not has_alpha")), "majority"))
     photo = pixels_neighborhood.median3(tagged.filter("not flat").withColumn("a", F.lit(255)))
     return opaque.select(out).unionByName(flat.filter("has_alpha").select(out)).unionByName(photo.select(out))
 
