@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,25 +106,30 @@ def dimension_join(
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, local
-    runs) a temporary one is made and set as the checkpoint folder.
-    """
+    """A fresh folder under the cluster's shared checkpoint folder (see :func:`checkpoint_root`)."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(shared)
-        return shared
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The shared folder for intermediate tables.
+
+    It is ``spark.checkpoint.dir``, else the folder the context already has, else one below the
+    session's warehouse. That last one is refused where it lies on a local disk while the
+    executors run on other machines.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        refuse_local(root, spark.sparkContext.master)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def refuse_local(folder: str, master: str) -> None:
+    """Raise where ``folder`` is on this machine's disk but the executors may be elsewhere."""
+    if not re.match(r"local(\[.*\])?$", master) and re.match(r"file:|/(?!/)", folder):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; {folder} is on one machine only")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -86,3 +86,15 @@ def test_stream_appends_only_new_files(spark, tmp_path):
 def test_plugins(spark):
     T.register_tool("double", lambda df, by=2: df.withColumn("id", F.col("id") * by))
     assert [r.id for r in T.chain_tools(spark.range(3), ("double", {}), ("double", {"by": 5})).collect()] == [0, 10, 20]
+
+
+def test_work_folder_must_be_shared():
+    from rasterloom.functions.scale import refuse_local
+
+    refuse_local("file:/tmp/x", "local[4]")
+    refuse_local("hdfs://store/x", "yarn")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            refuse_local("file:/tmp/x", master)
+        with pytest.raises(ValueError):
+            refuse_local("/tmp/x", master)
