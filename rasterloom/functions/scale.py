@@ -128,7 +128,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def refuse_local(folder: str, master: str) -> None:
     """Raise where ``folder`` is on this machine's disk but the executors may be elsewhere."""
-    if not re.match(r"local(\[.*\])?$", master) and re.match(r"file:|/(?!/)", folder):
+    if not re.match(r"local(\[.*\])?$", master) and folder.startswith("file:"):
         raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; {folder} is on one machine only")
 
 
