@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scale import stored
@@ -36,17 +37,18 @@ def repeated_ids(df: DataFrame, key: str) -> bool:
     return not df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).isEmpty()
 
 
-def one_row_per_id(df: DataFrame, key: str, value: str, order: Column | None = None) -> DataFrame:
-    """``key`` and ``value``, one row for each key that is not null.
+def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row for each key; rows without a key stay.
 
-    Rows that repeat a key are one record: its least value counts (null only if all are null).
-    Nothing is shuffled where the key is unique already.
+    Rows that repeat a key are one record: the one with the least value counts (null only if all
+    are null, then the least row). Nothing is shuffled where the key is unique already.
     """
-    df = df.select(key, value).filter(F.col(key).isNotNull())
     if not repeated_ids(df, key):
         return df
-    least = F.min(value) if order is None else F.min_by(value, order)
-    return df.groupBy(key).agg(least.alias(value))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    order = F.struct(F.col(value).isNull(), F.col(value), F.to_json(row))
+    least = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(row, order).alias("_row"))
+    return least.select("_row.*").unionByName(df.filter(F.col(key).isNull()))
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -134,7 +136,7 @@ def group_starts(rows: pa.RecordBatch | pa.Table, *keys: str) -> np.ndarray:
     for k in keys:
         column = rows.column(k)
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        differs = pa.compute.not_equal(column.slice(0, n - 1), column.slice(1)).fill_null(True)
+        differs = pc.not_equal(column.slice(0, n - 1), column.slice(1)).fill_null(True)
         new[1:] |= differs.to_numpy(zero_copy_only=False)
     return np.flatnonzero(new)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterloom.llm import line_dedup as L
 from rasterloom.llm import toxicity as T
 from rasterloom.llm.common import table
 
@@ -20,6 +21,24 @@ def op10_toxicity(s, d):
         "doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op8_line_dedup(s, d):
+    return L.line_report(table(s, d, "documents"))
+
+
+OP8_SQL = r"""with lines as (
+  select doc_id, pos, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+bad as (select key, max(doc_id) as largest from lines where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+judged as (select l.doc_id, l.pos, l.line, bad.key is not null and l.doc_id <> bad.largest as gone
+  from lines l left join bad using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from judged group by doc_id"""
+
+
 QUERIES = {
+    "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op10_toxicity": (op10_toxicity, None),
 }
