@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterloom.llm import jaccard_join as J
 from rasterloom.llm import line_dedup as L
 from rasterloom.llm import toxicity as T
 from rasterloom.llm.common import table
@@ -21,6 +22,10 @@ def op10_toxicity(s, d):
         "doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_jaccard_join(s, d):
+    return J.jaccard_join(table(s, d, "documents"))
+
+
 def op8_line_dedup(s, d):
     return L.line_report(table(s, d, "documents"))
 
@@ -39,6 +44,7 @@ from judged group by doc_id"""
 
 
 QUERIES = {
+    "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op10_toxicity": (op10_toxicity, None),
 }
