@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard_join as J
 from rasterloom.llm import line_dedup as L
+from rasterloom.llm import mixing as M
 from rasterloom.llm import toxicity as T
 from rasterloom.llm.common import table
 
@@ -22,6 +23,35 @@ def op10_toxicity(s, d):
         "doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_mixing(s, d):
+    return M.mix_report(table(s, d, "documents"))
+
+
+OP5_SQL = r"""with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+    substring(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as h from documents),
+sources as (
+  select source, cast(sum(size) as bigint) as source_size,
+    case (row_number() over (order by source is null, encode(source)) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w
+  from sized group by source),
+ordered as (
+  select *, 2.0::double * source_size as cap, 1.5::double * sum(source_size) over () as total,
+    coalesce(sum(2.0::double * source_size) over before, 0) as held, sum(w) over () - coalesce(sum(w) over before, 0) as left_w
+  from sources window before as (order by 2.0::double * source_size / w, source nulls last rows between unbounded preceding and 1 preceding)),
+level as (select arg_min((total - held) / left_w, cap / w) as level from ordered where cap / w > (total - held) / left_w),
+goals as (
+  select source, source_size, w, least(cap, w * coalesce(level, 1e300)) as target,
+    case when source_size > 0 then cast(floor(least(cap, w * coalesce(level, 1e300)) / source_size + 1e-9) as bigint) else 0 end as fold
+  from ordered, level),
+running as (
+  select s.doc_id, s.size, g.source_size, g.target, g.fold, g.target - g.fold * g.source_size as budget,
+    sum(s.size) over (partition by s.source order by s.h range between unbounded preceding and current row) as up_to
+  from sized s join goals g on s.source is not distinct from g.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+  cast(size * (fold + case when up_to <= budget then 1 else 0 end) as bigint) as taken
+from running"""
+
+
 def op7_jaccard_join(s, d):
     return J.jaccard_join(table(s, d, "documents"))
 
@@ -44,6 +74,7 @@ from judged group by doc_id"""
 
 
 QUERIES = {
+    "op5_mixing": (op5_mixing, OP5_SQL),
     "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op10_toxicity": (op10_toxicity, None),
