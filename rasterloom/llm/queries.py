@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard_join as J
 from rasterloom.llm import line_dedup as L
 from rasterloom.llm import mixing as M
+from rasterloom.llm import segmentation as S
 from rasterloom.llm import toxicity as T
 from rasterloom.llm.common import table
 
@@ -15,6 +17,11 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op9_segmentation(s, d):
+    """Every whole text, encoded with its four best segmentations and decoded again."""
+    return S.report(S.encode(table(s, d, "documents")))
+
+
 def op10_toxicity(s, d):
     """Score of every document; labels whose remainder by 3 is 1 are held out."""
     docs, held = table(s, d, "documents"), F.coalesce(_remainder(3) == 1, F.lit(False))
@@ -74,8 +81,10 @@ from judged group by doc_id"""
 
 
 QUERIES = {
+    "op9_segmentation": (op9_segmentation, None),
     "op5_mixing": (op5_mixing, OP5_SQL),
     "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
