@@ -10,6 +10,7 @@ from rasterloom.llm import jaccard_join as J
 from rasterloom.llm import line_dedup as L
 from rasterloom.llm import mixing as M
 from rasterloom.llm import segmentation as S
+from rasterloom.llm import substring_dedup as D
 from rasterloom.llm import toxicity as T
 from rasterloom.llm.common import table
 
@@ -31,6 +32,10 @@ def op10_toxicity(s, d):
         "doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op1_substring_dedup(s, d):
+    return D.substring_report(table(s, d, "documents"))
+
+
 def op2_chat(s, d):
     """All conversations and number -1, whose turns consist of control strings; read back from the formatted ids."""
     given = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
@@ -104,6 +109,7 @@ from judged group by doc_id"""
 
 
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_chat": (op2_chat, OP2_SQL),
     "op9_segmentation": (op9_segmentation, None),
     "op5_mixing": (op5_mixing, OP5_SQL),
