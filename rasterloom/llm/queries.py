@@ -9,6 +9,8 @@ from rasterloom.llm import chat as C
 from rasterloom.llm import jaccard_join as J
 from rasterloom.llm import line_dedup as L
 from rasterloom.llm import mixing as M
+from rasterloom.llm import pivot_search as P
+from rasterloom.llm import rp_forest as R
 from rasterloom.llm import segmentation as S
 from rasterloom.llm import substring_dedup as D
 from rasterloom.llm import toxicity as T
@@ -58,6 +60,24 @@ select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), tex
 from ordered group by conv_id"""
 
 
+def op3_rp_forest(s, d):
+    return R.near_duplicates(table(s, d, "embeddings"))
+
+
+def op4_pivot_search(s, d):
+    return P.search(table(s, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP4_SQL = """with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5"""
+
+
 def op5_mixing(s, d):
     return M.mix_report(table(s, d, "documents"))
 
@@ -109,6 +129,8 @@ from judged group by doc_id"""
 
 
 QUERIES = {
+    "op3_rp_forest": (op3_rp_forest, None),
+    "op4_pivot_search": (op4_pivot_search, OP4_SQL),
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_chat": (op2_chat, OP2_SQL),
     "op9_segmentation": (op9_segmentation, None),
