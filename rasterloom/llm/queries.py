@@ -10,6 +10,7 @@ from rasterloom.llm import jaccard_join as J
 from rasterloom.llm import line_dedup as L
 from rasterloom.llm import mixing as M
 from rasterloom.llm import pivot_search as P
+from rasterloom.llm import quality as Y
 from rasterloom.llm import rp_forest as R
 from rasterloom.llm import segmentation as S
 from rasterloom.llm import substring_dedup as D
@@ -107,6 +108,13 @@ select doc_id, cast(size as bigint) as size, source_size, target,
 from running"""
 
 
+def op6_quality(s, d):
+    """Score of every document; labels whose remainder by 5 is 0 are held out."""
+    docs, held = table(s, d, "documents"), F.coalesce(_remainder(5) == 0, F.lit(False))
+    trees = Y.fit(docs, table(s, d, "labels"), ~held)
+    return Y.quality(docs.select("doc_id", "text"), trees).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_jaccard_join(s, d):
     return J.jaccard_join(table(s, d, "documents"))
 
@@ -129,14 +137,15 @@ from judged group by doc_id"""
 
 
 QUERIES = {
-    "op3_rp_forest": (op3_rp_forest, None),
-    "op4_pivot_search": (op4_pivot_search, OP4_SQL),
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_chat": (op2_chat, OP2_SQL),
-    "op9_segmentation": (op9_segmentation, None),
+    "op3_rp_forest": (op3_rp_forest, None),
+    "op4_pivot_search": (op4_pivot_search, OP4_SQL),
     "op5_mixing": (op5_mixing, OP5_SQL),
+    "op6_quality": (op6_quality, None),
     "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
+    "op9_segmentation": (op9_segmentation, None),
     "op10_toxicity": (op10_toxicity, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
