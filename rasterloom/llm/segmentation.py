@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,19 @@ _ARROW = pa.list_(pa.struct([
 LOWEST = float("-inf")
 
 
+def _fixed(tree: dict) -> dict:
+    return {c: (_fixed(children), score, piece) for c, (children, score, piece) in tree.items()}
+
+
 class Pieces:
-    """The vocabulary as one table of all pieces and their beginnings, with blanks in plain form."""
+    """The vocabulary as a tree of characters, with blanks in plain form: character -> (children, score or None, id)."""
 
     def __init__(self, path: str = MODEL):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_: dict[int, int] = {}
-        self.known: dict[str, tuple[float, int] | None] = {}
         self.spelled: dict[int, bytes] = {}
-        lowest = 0.0
+        tree: dict = {}
+        lowest, split, self.longest = 0.0, True, 1
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -56,72 +61,85 @@ class Pieces:
                 self.spelled[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain = piece.replace("▁", " ")
-                self.known[plain] = (model.get_score(i), i)
                 self.spelled[i] = plain.encode()
+                split = split and " " not in plain.lstrip(" ")
                 lowest = min(lowest, model.get_score(i)) if model.get_score(i) > -1e8 else lowest
+                self.longest = max(self.longest, len(plain))
+                children = tree
+                for c in plain[:-1]:
+                    children = children.setdefault(c, [{}, None, 0])[0]
+                children.setdefault(plain[-1], [{}, None, 0])[1:] = [model.get_score(i), i]
         if len(self.bytes_) < 256:
             raise ValueError("the model has no byte pieces, so not every text can be encoded")
-        for plain in list(self.known):
-            for n in range(1, len(plain)):
-                self.known.setdefault(plain[:n], None)
+        self.tree = _fixed(tree)
         self.other = lowest - 10.0
-        split = all(" " not in p.lstrip(" ") for p in self.known)
         self.chunks = re.compile(r" *[^ ]+| +" if split else r"(?s).+").findall
 
+    def byte_ids(self, character: str) -> list[int]:
+        return [self.bytes_[b] for b in character.encode()]
+
+    def starting(self, text: str, i: int):
+        """(end, score, id) of every piece that starts at ``i``."""
+        children = self.tree
+        for j in range(i, len(text)):
+            found = children.get(text[j])
+            if found is None:
+                return
+            children, score, piece = found
+            if score is not None:
+                yield j + 1, score, piece
+
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For every end position the edges (start, score, ids) that reach it."""
         into: list = [[] for _ in range(len(text) + 1)]
         for i in range(len(text)):
-            single = False
-            for j in range(i + 1, len(text) + 1):
-                found = self.known.get(text[i:j], 0)
-                if found == 0:
-                    break
-                if found:
-                    into[j].append((i, found[0], (found[1],)))
-                    single = single or j == i + 1
-            if not single:
-                into[i + 1].append((i, self.other, tuple(self.bytes_[b] for b in text[i].encode())))
+            found = list(self.starting(text, i))
+            for j, score, piece in found:
+                into[j].append((i, score, (piece,)))
+            if not found or found[0][0] > i + 1:
+                into[i + 1].append((i, self.other, tuple(self.byte_ids(text[i]))))
         return into
 
     def forward(self, text: str) -> tuple[bytes, float, float]:
         """Best segmentation as int32 ids, its score, and how much the second best loses (infinite if there is none)."""
         n = len(text)
         best, second = [LOWEST] * (n + 1), [LOWEST] * (n + 1)
-        back: list = [None] * (n + 1)
+        back, by = [0] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        get = self.known.get
         for i in range(n):
-            here, there = best[i], second[i]
-            single = False
-            for j in range(i + 1, n + 1):
-                found = get(text[i:j], 0)
-                if found == 0:
-                    break
+            # The tree is walked in place: this is the innermost loop of the operator.
+            here, there, children, j, single = best[i], second[i], self.tree, i, False
+            for c in text[i : i + self.longest]:
+                found = children.get(c)
                 if found is None:
+                    break
+                j += 1
+                children, score, piece = found
+                if score is None:
                     continue
-                if j == i + 1:
-                    single = True
-                score = here + found[0]
-                if score > best[j]:
-                    second[j] = max(best[j], there + found[0])
-                    best[j], back[j] = score, (i, found[1])
-                elif score > second[j]:
-                    second[j] = score
+                single = single or j == i + 1
+                total = here + score
+                if total > best[j]:
+                    second[j] = max(best[j], there + score)
+                    best[j], back[j], by[j] = total, i, piece
+                elif total > second[j]:
+                    second[j] = total
             if not single:
-                j, score = i + 1, here + self.other
-                if score > best[j]:
+                j, total = i + 1, here + self.other
+                if total > best[j]:
                     second[j] = max(best[j], there + self.other)
-                    best[j], back[j] = score, (i, -1)
-                elif score > second[j]:
-                    second[j] = score
+                    best[j], back[j], by[j] = total, i, -1
+                elif total > second[j]:
+                    second[j] = total
         ids: list[int] = []
         while n:
-            i, piece = back[n]
-            ids.extend((piece,) if piece >= 0 else reversed([self.bytes_[b] for b in text[i].encode()]))
-            n = i
+            if by[n] >= 0:
+                ids.append(by[n])
+            else:
+                ids.extend(reversed(self.byte_ids(text[back[n]])))
+            n = back[n]
         ids.reverse()
-        return np.array(ids, np.int32).tobytes(), best[-1], best[-1] - second[-1]
+        return array("i", ids).tobytes(), best[-1], best[-1] - second[-1]
 
     def nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations with their scores: backward A* under the forward scores."""
