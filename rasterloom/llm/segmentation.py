@@ -32,7 +32,7 @@ from rasterloom.llm.common import lists, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHE = 200_000
+CACHE = 150_000
 SWAPS = "array<struct<start int, length int, ids array<int>>>"
 ALTERNATIVES = f"array<struct<score double, swaps {SWAPS}>>"
 _ARROW = pa.list_(pa.struct([
@@ -71,6 +71,10 @@ class Pieces:
                 children.setdefault(plain[-1], [{}, None, 0])[1:] = [model.get_score(i), i]
         if len(self.bytes_) < 256:
             raise ValueError("the model has no byte pieces, so not every text can be encoded")
+        spelled = [self.spelled.get(i, b"") for i in range(model.get_piece_size())]
+        self.lengths = np.array([len(x) for x in spelled])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
         self.tree = _fixed(tree)
         self.other = lowest - 10.0
         self.chunks = re.compile(r" *[^ ]+| +" if split else r"(?s).+").findall
@@ -165,25 +169,41 @@ class Pieces:
 
     def decode(self, ids) -> bytes:
         """The text of a segmentation, without the blank that encoding puts in front."""
-        return b"".join(map(self.spelled.__getitem__, ids))[1:]
+        ids = np.asarray(ids, np.int64)
+        lengths = self.lengths[ids]
+        # Every byte comes from its piece's start plus its place in the piece.
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - ends + lengths, lengths)
+        return self.letters[at].tobytes()[1:]
 
 
 class Chunks(dict):
-    """Forward results per chunk, for a bounded number of chunks."""
+    """Forward results per chunk, for a bounded number of chunks; those of the generation before are still known."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.before = pieces, {}
 
     def __missing__(self, chunk: str):
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
-        value = self.pieces.forward(chunk)
+        value = self.before.get(chunk) or self.pieces.forward(chunk)
         if len(chunk) < 64:
             self[chunk] = value
         return value
 
 
+def nearest(losses: np.ndarray, n: int) -> list[int]:
+    """Positions of the ``n`` least finite losses, the first ones among equals, in order of position."""
+    if len(losses) > n:
+        limit = np.partition(losses, n - 1)[n - 1] if n else LOWEST
+        at = np.concatenate([np.flatnonzero(losses < limit), np.flatnonzero(losses == limit)])[:n]
+    else:
+        at = np.arange(len(losses))
+    return sorted(at[losses[at] < float("inf")].tolist())
+
+
 def segment(text: str, chunks: Chunks, n: int) -> tuple[np.ndarray, float, list[dict]]:
     """Best ids, their score and the alternatives of a text."""
     if not text:
@@ -193,9 +213,8 @@ def segment(text: str, chunks: Chunks, n: int) -> tuple[np.ndarray, float, list[
     ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
     total = sum([f[1] for f in found])
     # One swap in each of the n - 1 cheapest chunks gives n - 1 alternatives already; others lose more.
-    nearest = heapq.nsmallest(n - 1, [(f[2], i) for i, f in enumerate(found) if f[2] < float("inf")])
     ways: list[tuple[float, tuple]] = [(0.0, ())]
-    for _, i in sorted(nearest, key=lambda x: x[1]):
+    for i in nearest(np.array([f[2] for f in found]), n - 1):
         options = chunks.pieces.nbest(parts[i], n)
         best = options[0][0]
         ways = sorted(
