@@ -12,8 +12,7 @@ from rasterloom import schemas
 from rasterloom.functions.ship import ship_package
 from rasterloom.sources import exif as reader
 
-# Only this much of a file is read for metadata; tags and their labels in order.
-HEADER_BYTES = 256 * 1024
+# Tags and their labels in order.
 TAGS = {
     "description": 0x010E, "make": 0x010F, "model": 0x0110, "orientation": 0x0112, "software": 0x0131,
     "date": 0x0132, "artist": 0x013B, "copyright": 0x8298, "original_date": 0x9003,
@@ -21,11 +20,11 @@ TAGS = {
 LABELS = ["Camera", "Taken", "Software", "Author", "Copyright", "Description", "Orientation", "GPS location"]
 
 
-def exif_scan(files: DataFrame) -> DataFrame:
+def exif_scan(files: DataFrame, header_bytes: int | None = None) -> DataFrame:
     """Tag rows of JPEG files (image_id, mime, content); anything malformed has no rows.
 
-    Non-JPEG files, files that do not start like one and everything past the header are left
-    out on the JVM side, before bytes reach a Python worker.
+    Non-JPEG files and files that do not start like one are left out on the JVM side, before bytes
+    reach a Python worker. Files are read whole unless ``header_bytes`` says how much to look at.
     """
     ship_package(files.sparkSession)
 
@@ -35,9 +34,8 @@ def exif_scan(files: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["image_id", "ifd", "tag", "text", "num"])
             yield out.astype({"image_id": "int64", "tag": "int32", "num": "Int64"})
 
-    heads = files.filter(F.col("mime") == "image/jpeg").select(
-        "image_id", F.substring("content", 1, HEADER_BYTES).alias("content")
-    ).filter(F.hex(F.substring("content", 1, 2)) == "FFD8")
+    head = F.col("content") if header_bytes is None else F.substring("content", 1, header_bytes)
+    heads = files.filter(F.col("mime") == "image/jpeg").select("image_id", head.alias("content")).filter(F.hex(F.substring("content", 1, 2)) == "FFD8")
     return heads.mapInPandas(parse, schemas.EXIF_TAGS)
 
 

@@ -449,7 +449,8 @@ def ocr_result(images: DataFrame, lined: DataFrame, texts: DataFrame) -> DataFra
 
 
 def char_count(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("n_chars", F.length("text"))
+    """Length of each text in UTF-16 units."""
+    return texts.withColumn("n_chars", (F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("int"))
 
 
 def text_names(results: DataFrame, archive: str = "album", rows_per_block: int = BLOCK_ROWS) -> DataFrame:

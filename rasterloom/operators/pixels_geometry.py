@@ -154,8 +154,15 @@ def resample_lanczos(px: DataFrame, factor, keys=KEYS) -> DataFrame:
     """Enlarge by a whole factor (number or column) with Lanczos-3, x then y, on alpha-premultiplied channels.
 
     Weights are integers, so the sums are exact. Pixels of a row meet in one task anyway when
-    the scan keeps rows together, and partial sums are made before each shuffle.
+    the scan keeps rows together, and partial sums are made before each shuffle. Factor 1 changes
+    nothing and shuffles nothing.
     """
+    if isinstance(factor, int):
+        return px if factor == 1 else _enlarged(px, factor, keys)
+    return px.filter(factor == 1).unionByName(_enlarged(px.filter(factor != 1), factor, keys))
+
+
+def _enlarged(px: DataFrame, factor, keys) -> DataFrame:
     others = [c for c in px.columns if c not in {*keys, *"xyrgba", "width", "height"}]
     pre = px.withColumns({f"p{i}": idiv(F.col(c) * F.col("a") * 2 + 255, 510).cast("int") for i, c in enumerate("rgb")})
     pre = pre.withColumn("p3", F.col("a")).drop(*"rgba")
@@ -172,15 +179,20 @@ def thumbnail(px: DataFrame, max_side: int = 128) -> DataFrame:
     """Shrink so that both sides fit; smaller images are left alone."""
     w, h = rules.fit_max_side(F.col("width"), F.col("height"), max_side)
     one = F.lit(1).cast("bigint")
-    return resample(px, F.greatest(one, w), F.greatest(one, h))
+    fits = F.greatest("width", "height") <= max_side
+    return px.filter(fits).unionByName(resample(px.filter(~fits), F.greatest(one, w), F.greatest(one, h)))
 
 
 def edit_image(px: DataFrame, degrees=0, flip_h=False, flip_v=False, crop=(0, 0, 1, 1), width=None, height=None) -> DataFrame:
-    """Rotate/flip, crop and resize; the first two fold into one projection and filter."""
+    """Rotate/flip, crop and resize; the first two fold into one projection and filter.
+
+    A side that is not given keeps the length it has after the crop.
+    """
     cut = crop_pixels(rotate_flip(px, degrees, flip_h, flip_v), *crop)
     if width is None and height is None:
         return cut
-    return resample(cut, rules.at_least_one(lit(width).cast("double")), rules.at_least_one(lit(height).cast("double")))
+    side = lambda given, own: F.col(own).cast("bigint") if given is None else rules.at_least_one(lit(given).cast("double"))
+    return resample(cut, side(width, "width"), side(height, "height"))
 
 
 def frame(px: DataFrame, left, top, right, bottom, rgba: dict) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +18,8 @@ from rasterloom.functions.ship import ship_package
 # Tile side and padding of the upscaler.
 TILE, PAD = 256, 16
 FACTOR = rules.UPSCALE_FACTOR
+
+
 def tile_grid(sizes: DataFrame, tile: int = TILE, pad: int = PAD) -> DataFrame:
     """Core and padded box of every tile, and the core's offset in the enlarged padded tile."""
     step = lambda n: F.sequence(F.lit(0), idiv(n - 1, tile).cast("int"))
@@ -67,12 +70,12 @@ def nearest_model() -> Callable[[np.ndarray], np.ndarray]:
 _LOADED: dict = {}
 
 
-def _model(loader):
-    """Load a model once per Python worker."""
-    key = f"{loader.__module__}.{loader.__qualname__}"
-    if key not in _LOADED:
-        _LOADED[key] = loader()
-    return _LOADED[key]
+def _model(loader, token: str):
+    """Load a model once per Python worker and call of :func:`tiled_inference`; only the last one is kept."""
+    if token not in _LOADED:
+        _LOADED.clear()
+        _LOADED[token] = loader()
+    return _LOADED[token]
 
 
 def _lanczos_matrix(size: int) -> np.ndarray:
@@ -108,22 +111,23 @@ def tiled_inference(px: DataFrame, loader=nearest_model, tile: int = TILE, pad:
         raise ValueError("the padding must cover the reach of the alpha filter (3 pixels)")
 
     ship_package(px.sparkSession)
+    token = uuid.uuid4().hex
 
     def enlarge(key, pdf):
         image_id, ty, tx = (int(k) for k in key)
         pdf = pdf.sort_values(["y", "x"])
-        py0, px0 = int(pdf.y.iloc[0]), int(pdf.x.iloc[0])
-        shape = (int(pdf.y.iloc[-1]) - py0 + 1, int(pdf.x.iloc[-1]) - px0 + 1)
+        rows, columns = pdf.y.to_numpy(), pdf.x.to_numpy()
+        shape = (rows[-1] - rows[0] + 1, columns[-1] - columns[0] + 1)
         width, height = int(pdf.width.iloc[0]), int(pdf.height.iloc[0])
         rgb = pdf[["r", "g", "b"]].to_numpy(np.float32).reshape(*shape, 3) / 255.0
-        up = np.clip(_model(loader)(rgb), 0.0, 1.0)
+        up = np.clip(_model(loader, token)(rgb), 0.0, 1.0)
         alpha = _enlarge_alpha(pdf["a"].to_numpy(np.float64).reshape(shape))
-        y0, x0 = ty * tile, tx * tile
-        y1, x1 = min(y0 + tile, height), min(x0 + tile, width)
-        ys = slice((y0 - py0) * FACTOR, (y1 - py0) * FACTOR)
-        xs = slice((x0 - px0) * FACTOR, (x1 - px0) * FACTOR)
+        # Only what belongs to the tile itself stays of its enlarged surroundings.
+        own_y, own_x = (np.repeat(axis[0] + np.arange(n), FACTOR) // tile == t for axis, n, t in ((rows, shape[0], ty), (columns, shape[1], tx)))
+        ys, xs = (slice(*np.flatnonzero(own)[[0, -1]] + [0, 1]) for own in (own_y, own_x))
         out = (up[ys, xs] * 255.0 + 0.5).astype(np.int32)
-        yy, xx = np.mgrid[y0 * FACTOR : y1 * FACTOR, x0 * FACTOR : x1 * FACTOR]
+        yy, xx = np.mgrid[ys, xs]
+        yy, xx = yy + rows[0] * FACTOR, xx + columns[0] * FACTOR
         return pd.DataFrame(
             {
                 "image_id": image_id, "y": yy.ravel(), "x": xx.ravel(),

@@ -85,10 +85,9 @@ def _stream(s, d):
 
 
 def _register():
-    if not T._PLUGINS:
-        T.register_tool("remove-background", P.background_key)
-        T.register_tool("sepia", P.adjust_sepia)
-        T.register_tool("margin", G.margin_paint)
+    for name, transform in (("remove-background", P.background_key), ("sepia", P.adjust_sepia), ("margin", G.margin_paint)):
+        if name not in T._PLUGINS:
+            T.register_tool(name, transform)
 
 
 def _chain(s, d):

@@ -68,8 +68,8 @@ QUERIES = {
     "ocr_union_passes": (
         lambda s, d: O.ocr_union_passes(
             O.ocr_filter(X.detections(s, d).filter("pass = 0")), O.ocr_filter(X.detections(s, d).filter("pass = 1"))
-        ).groupBy("image_id", "pass").agg(F.count(F.lit(1)).alias("n_words")),
-        DET + "select image_id, pass, count(*) as n_words from words group by 1,2"),
+        ),
+        DET + f"select {WCOLS} from words"),
     "iou_pairs": (
         lambda s, d: O.iou_pairs(_words(s, d)).withColumn("iou", F.round("iou", 6)),
         V.cte(V.DETECTIONS, WORDS, BANDS) + f""", p as (select image_id, band, pass, seq, left_px as l, top_px as t, width_px as w, height_px as h from bw)
@@ -83,6 +83,9 @@ QUERIES = {
         DET + "select image_id, pass, seq, row_number() over (partition by image_id order by top_px, left_px, confidence desc, pass, seq) as reading_pos from words"),
     "ocr_lines": (_lines, ALL + f"select {WCOLS}, line from lines"),
     "ocr_text": (_texts, ALL + "select image_id, text from texts"),
+    # The routes that bands of any size take, forced for all bands.
+    "ocr_dedup_rounds": (lambda s, d: O.ocr_dedup(_words(s, d), 0), V.cte(V.DETECTIONS, WORDS, BANDS, KEEP) + f"select {WCOLS} from kept"),
+    "ocr_lines_streamed": (lambda s, d: O.ocr_lines(_kept(s, d), 0), ALL + f"select {WCOLS}, line from lines"),
     "ocr_fractions": (
         lambda s, d: O.ocr_fractions(_words(s, d), X.ocr_sizes(s, d)).selectExpr(
             "image_id", "pass", "seq", "left", "top", "box_width", "box_height"),
@@ -97,7 +100,7 @@ QUERIES = {
           select i.image_id, i.file_name, s.width, s.height, coalesce(t.text,'') as text, cast(coalesce(n,0) as int) as n_words, coalesce(flat,'') as flat
             from images i join ocr_sizes s using (image_id) left join texts t using (image_id) left join f using (image_id)"""),
     "char_count": (
-        lambda s, d: O.char_count(_texts(s, d)).select("image_id", "n_chars"), ALL + "select image_id, cast(length(text) as int) as n_chars from texts"),
+        lambda s, d: O.char_count(_texts(s, d)).select("image_id", "n_chars"), ALL + r"select image_id, cast(length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) as int) as n_chars from texts"),
     "text_names": (
         lambda s, d: O.text_names(_named(s, d)).select("album", "image_id", "text_name"),
         V.cte(V.IMAGES) + """, t as (select album, image_id, pos, regexp_replace(file_name,'\\.[^/.]+$','') as stem from images),

@@ -108,6 +108,20 @@ def _lanczos_sql(f):
         cast(pa as int) as a, cast(width*{f} as int) as width, cast(height*{f} as int) as height from l2)"""
 
 
+def _thumbnail_sql(source, side):
+    """Images that fit as they are, the others scaled."""
+    size = lambda n: f"greatest(1,floor({n}*({side}::double/greatest(width,height))+0.5))"
+    return (f"large as (select * from {source} where width>{side} or height>{side})," + _resample_sql("large", size("width"), size("height"))
+            + f"select {SCOLS} from scaled union all select {SCOLS} from {source} where width<={side} and height<={side}")
+
+
+def _two_sizes(s, d):
+    """Every second image cut to 16 x 12; the others as they are."""
+    even = F.col("image_id") % 2 == 0
+    cut = _sized(s, d).filter(~even | ((F.col("x") < 16) & (F.col("y") < 12)))
+    return cut.withColumns({"width": F.when(even, 16).otherwise(F.col("width")), "height": F.when(even, 12).otherwise(F.col("height"))})
+
+
 PCOLS = f"{BASE}, r, g, b, a"
 SCOLS = PCOLS + ", width, height"
 DIST = "sqrt(({r}-{0})*({r}-{0})+({g}-{1})*({g}-{1})+({b}-{2})*({b}-{2}))"
@@ -246,8 +260,18 @@ QUERIES = {
         lambda s, d: G.resample_lanczos(_sized(s, d), 3), SZ + "," + _lanczos_sql(3) + f"select {SCOLS} from lanczos"),
     "thumbnail": (
         lambda s, d: G.thumbnail(_sized(s, d), 20),
-        SZ + "," + _resample_sql("sized", "case when width<=20 and height<=20 then width else greatest(1,floor(width*(20::double/greatest(width,height))+0.5)) end",
-                                 "case when width<=20 and height<=20 then height else greatest(1,floor(height*(20::double/greatest(width,height))+0.5)) end") + f"select {SCOLS} from scaled"),
+        SZ + "," + _thumbnail_sql("sized", 20)),
+    "thumbnail_keep": (
+        lambda s, d: G.thumbnail(_two_sizes(s, d), 20),
+        SZ + """, mixed as (select image_id, y, x, r, g, b, a, case when image_id%2=0 then 16 else width end as width, case when image_id%2=0 then 12 else height end as height
+            from sized where image_id%2=1 or (x<16 and y<12)),""" + _thumbnail_sql("mixed", 20)),
+    "resample_lanczos_keep": (
+        lambda s, d: G.resample_lanczos(_sized(s, d), F.when(F.col("image_id") % 2 == 0, 1).otherwise(2)),
+        SZ.replace("sized as (", "all_sized as (") + ", sized as (select * from all_sized where image_id%2=1)," + _lanczos_sql(2)
+        + f"select {SCOLS} from lanczos union all select {SCOLS} from all_sized where image_id%2=0"),
+    "edit_image_width": (
+        lambda s, d: G.edit_image(_sized(s, d), width=20),
+        SZ + "," + _resample_sql("sized", "20", "height") + f"select {SCOLS} from scaled"),
     "edit_image": (
         lambda s, d: G.edit_image(_sized(s, d), 270, crop=(0.25, 0, 0.5, 1), width=24, height=40),
         SZ + """, rot as (select image_id, width-1-x as y, y as x, r, g, b, a, height as width, width as height from sized),

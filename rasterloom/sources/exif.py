@@ -1,67 +1,81 @@
-"""Reads the tag directories of JPEG headers (runs inside tasks, no Spark here)."""
+"""Tag directories of JPEG files, decoded inside tasks (no Spark here).
+
+A JPEG file is a list of segments (marker, body); the first body that starts with ``Exif`` holds a TIFF
+block. A directory in there is a table of 12-byte records, read as one array and decoded by type.
+"""
 
 from __future__ import annotations
 
-import struct
-
-# Tag numbers of the two sub-directories.
-EXIF_POINTER, GPS_POINTER = 0x8769, 0x8825
-
-
-def tiff_start(data: bytes) -> int | None:
-    """Offset of the TIFF header in the first Exif segment, None if there is none."""
-    if data[:2] != b"\xff\xd8":
-        return None
-    at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        kind = data[at + 1]
-        if kind == 0x01 or 0xD0 <= kind <= 0xD9:
-            at += 2
-            continue
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        if kind == 0xDA or size < 2 or at + 2 + size > len(data):
-            return None
-        if kind == 0xE1 and size >= 10 and data[at + 4 : at + 10] == b"Exif\0\0":
-            return at + 10
-        at += 2 + size
-    return None
-
-
-def directory(data: bytes, base: int, offset: int, order: str) -> dict[int, tuple[str | None, int | None]]:
-    """Tags of one directory: ASCII text, one SHORT or LONG, or just the presence."""
-    tags: dict[int, tuple[str | None, int | None]] = {}
-    start = base + offset
-    if start + 2 > len(data):
-        return tags
-    (count,) = struct.unpack_from(order + "H", data, start)
-    for at in range(start + 2, min(start + 2 + 12 * count, len(data) - 11), 12):
-        tag, kind, length, value = struct.unpack_from(order + "HHII", data, at)
-        if kind == 2:
-            where = at + 8 if length <= 4 else base + value
-            if where + length <= len(data):
-                text = data[where : where + length].decode("latin-1").rstrip("\0").strip()
-                if text:
-                    tags[tag] = (text, None)
-        elif kind in (3, 4) and length == 1:
-            number = struct.unpack_from(order + "H", data, at + 8)[0] if kind == 3 else value
-            tags[tag] = (None, number)
+from collections.abc import Iterator
+
+import numpy as np
+
+# Fixed values of the file formats: markers without a body, start of the image data, the segment that
+# holds Exif and its title, byte orders, types and the tags that point to other directories.
+STANDALONE = {0x01, *range(0xD0, 0xDA)}
+IMAGE_DATA, APPLICATION_1, TITLE = 0xDA, 0xE1, b"Exif\0\0"
+BYTE_ORDER = {b"II": "<", b"MM": ">"}
+ASCII, SHORT, LONG = 2, 3, 4
+POINTERS = {"exif": 0x8769, "gps": 0x8825}
+
+
+def segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and body of every whole segment before the image data."""
+    rest = data[2:] if data.startswith(b"\xff\xd8") else b""
+    while len(rest) > 3 and rest[0] == 0xFF:
+        marker, length = rest[1], int.from_bytes(rest[2:4], "big")
+        if marker in STANDALONE:
+            length = 0
+        elif marker == IMAGE_DATA or not 2 <= length <= len(rest) - 2:
+            return
         else:
-            tags[tag] = (None, None)
-    return tags
+            yield marker, rest[4 : length + 2]
+        rest = rest[length + 2 :]
+
+
+class Block:
+    """A TIFF block: numbers in its byte order, and directories."""
+
+    def __init__(self, data: bytes):
+        self.data, self.order = data, BYTE_ORDER.get(data[:2], "")
+        self.record = np.dtype([("tag", "u2"), ("type", "u2"), ("count", "u4"), ("value", "V4")]).newbyteorder(self.order or "=")
+
+    def number(self, raw: bytes, size: int) -> int:
+        return int(np.frombuffer(raw[:size], f"{self.order}u{size}")[0])
+
+    def valid(self) -> bool:
+        return bool(self.order) and len(self.data) >= 8 and self.number(self.data[2:], 2) == 42
+
+    def directory(self, offset: int) -> dict[int, tuple[str | None, int | None]]:
+        """tag -> (text, number): a text, a single number, or nothing but the presence."""
+        if offset + 2 > len(self.data):
+            return {}
+        body = self.data[offset + 2 :][: 12 * self.number(self.data[offset:], 2)]
+        found = {}
+        for record in np.frombuffer(body[: len(body) // 12 * 12], self.record):
+            value = self.decoded(int(record["type"]), int(record["count"]), record["value"].tobytes())
+            if value is not None:
+                found[int(record["tag"])] = value
+        return found
+
+    def decoded(self, kind: int, count: int, raw: bytes) -> tuple[str | None, int | None] | None:
+        """None where a text is empty or lies outside the block."""
+        if kind in (SHORT, LONG) and count == 1:
+            return None, self.number(raw, 2 if kind == SHORT else 4)
+        if kind != ASCII:
+            return None, None
+        place = self.number(raw, 4)
+        letters = raw[:count] if count <= 4 else self.data[place : place + count]
+        text = letters.decode("latin-1").rstrip("\0").strip()
+        return (text, None) if text and len(letters) == count else None
 
 
 def read_tags(data: bytes) -> list[tuple[str, int, str | None, int | None]]:
     """(directory, tag, text, number) of the main, EXIF and GPS directories; [] if malformed."""
-    base = tiff_start(data)
-    if base is None or base + 8 > len(data):
-        return []
-    order = {b"II": "<", b"MM": ">"}.get(data[base : base + 2])
-    if order is None or struct.unpack_from(order + "H", data, base + 2)[0] != 42:
+    block = Block(next((b[len(TITLE) :] for m, b in segments(data) if m == APPLICATION_1 and b.startswith(TITLE)), b""))
+    if not block.valid():
         return []
-    main = directory(data, base, struct.unpack_from(order + "I", data, base + 4)[0], order)
-    found = {"ifd0": main}
-    for name, pointer in (("exif", EXIF_POINTER), ("gps", GPS_POINTER)):
-        where = main.get(pointer, (None, None))[1]
-        if where is not None:
-            found[name] = directory(data, base, where, order)
-    return [(name, tag, text, number) for name, tags in found.items() for tag, (text, number) in tags.items()]
+    main = block.directory(block.number(block.data[4:], 4))
+    pointed = {name: main[tag][1] for name, tag in POINTERS.items() if main.get(tag, (None, None))[1] is not None}
+    tables = {"ifd0": main} | {name: block.directory(offset) for name, offset in pointed.items()}
+    return [(name, tag, *value) for name, table in tables.items() for tag, value in table.items()]

@@ -17,9 +17,17 @@ BATCH_PIXELS = 1 << 18
 
 
 def scan_files(spark: SparkSession, path: str, max_bytes: int | None = MAX_UPLOAD_BYTES) -> DataFrame:
-    """Raw files (path, length, content); the size limit is pushed to the file listing."""
-    files = spark.read.format("binaryFile").load(path)
-    return files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    """Raw files (path, length, content, reason); a file above the limit is listed as ``too_large``, without its content.
+
+    The limit is pushed to the file listing on both sides, so large files are never read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    if max_bytes is None:
+        return files.withColumn("reason", F.lit(None).cast("string"))
+    small = files.filter(F.col("length") <= max_bytes).withColumn("reason", F.lit(None).cast("string"))
+    large = files.filter(F.col("length") > max_bytes).select(
+        "path", "length", F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("reason"))
+    return small.unionByName(large)
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_renditions(renditions: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by recipe. Rows are spread over (recipe, image) salts first, so that a recipe
-    with most of the rows is written by many tasks and small recipes by few."""
-    spread = renditions.repartition("recipe_id", F.pmod(F.xxhash64("image_id"), F.lit(64)))
-    spread.write.mode(mode).partitionBy("recipe_id").parquet(path)
+def write_renditions(renditions: DataFrame, path: str) -> None:
+    """Partitioned by recipe; a rerun replaces the recipes it writes and leaves the others.
+
+    Rows are rebalanced by size before, so that a recipe with most of the rows is written by many
+    tasks and small recipes by few."""
+    spread = renditions.hint("rebalance", "recipe_id")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recipe_id").parquet(path)
 
 
 def text_export(texts: DataFrame, path: str, archive: str = "album") -> None:
-    """One UTF-8 text document per row, in a folder named after the document."""
-    texts.select(archive, "text_name", F.col("text").alias("value")).write.mode("append").partitionBy(
-        archive, "text_name"
-    ).text(path)
+    """One UTF-8 text document per row, in a folder named after the document; a rerun replaces it."""
+    texts.select(archive, "text_name", F.col("text").alias("value")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(archive, "text_name").text(path)
 
 
 def text_archives(texts: DataFrame, archive: str = "album", prefix: str = "album") -> DataFrame:

@@ -1,7 +1,9 @@
-"""Detected text against direct loops, on the fold and on the routes for huge bands."""
+"""Properties of detected text, on the fold and on the routes for huge bands."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,30 +11,35 @@ from rasterloom import schemas
 from rasterloom.operators import ocr as O
 
 
-def iou(a, b):
-    ix = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]))
-    iy = max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
-    return ix * iy / (a[4] * a[5] + b[4] * b[5] - ix * iy) if ix * iy else 0.0
-
-
-def expected(words):
-    """words: (conf, (pass, seq), left, top, width, height, text) -> kept with line, text."""
-    kept = []
-    for w in sorted(words, key=lambda w: (-w[0], w[1])):
-        if not any(iou(w, k) > 0.5 for k in kept):
-            kept.append(w)
-    kept.sort(key=lambda w: (w[3], w[2]))
-    lines = []
-    for w in kept:
-        cy = w[3] + w[5] / 2
-        for line in lines:
-            if min(v[3] for v in line) <= cy <= max(v[3] + v[5] for v in line):
-                line.append(w)
-                break
-        else:
-            lines.append([w])
-    text = "\n".join(" ".join(w[6] for w in sorted(line, key=lambda w: w[2])) for line in lines)
-    return {w[1]: i for i, line in enumerate(lines) for w in line}, text
+WORDS = "image_id bigint, pass int, seq int, text string, confidence double, left_px int, top_px int, width_px int, height_px int"
+
+
+def clash(a, b):
+    """Whether two boxes (left, top, width, height) share more than half of the area they cover together."""
+    cells = lambda box: np.array([box[0], box[1], box[0] + box[2], box[1] + box[3]])
+    one, two = cells(a), cells(b)
+    common = np.prod(np.clip(np.minimum(one, two)[2:] - np.maximum(one, two)[:2], 0, None))
+    return 3 * common > a[2] * a[3] + b[2] * b[3]
+
+
+def check_page(words, lined, text):
+    """Properties of a page. ``words``: rank -> (box, text), best first; ``lined``: rank -> line."""
+    kept = [r for r in words if r in lined]
+    dropped = [r for r in words if r not in lined]
+    assert not any(clash(words[a][0], words[b][0]) for a, b in itertools.combinations(kept, 2))
+    order = {r: i for i, r in enumerate(words)}
+    assert all(any(order[k] < order[d] and clash(words[k][0], words[d][0]) for k in kept) for d in dropped)
+    # From top to bottom, a word joins the first line whose extent holds its middle, else it opens one.
+    extent: list = []
+    for r in sorted(kept, key=lambda r: (words[r][0][1], words[r][0][0], order[r])):
+        (_, top, _, height), line = words[r][0], lined[r]
+        twice = 2 * top + height
+        holds = [2 * lo <= twice <= 2 * hi for lo, hi in extent]
+        assert line == (holds.index(True) if any(holds) else len(extent))
+        extent[line : line + 1] = [(min(top, *extent[line][:1]), max(top + height, extent[line][1]))] if line < len(extent) else [(top, top + height)]
+    rows = [[words[r][1] for r in sorted((r for r in kept if lined[r] == line), key=lambda r: (words[r][0][0], words[r][0][1], order[r]))]
+            for line in range(len(extent))]
+    assert [row.split(" ") for row in text.split("\n")] == (rows or [[""]])
 
 
 def pages(seed):
@@ -61,24 +68,29 @@ def pages(seed):
 def test_dedup_lines_text(spark, seed, limit):
     data = pages(seed)
     rows = [(i, p, s, t, c, l, tp, w, h) for i, ws in data.items() for c, (p, s), l, tp, w, h, t in ws]
-    words = spark.createDataFrame(
-        rows, "image_id bigint, pass int, seq int, text string, confidence double, left_px int, top_px int, width_px int, height_px int")
+    words = spark.createDataFrame(rows, WORDS)
     lined = O.ocr_lines(O.ocr_dedup(words, limit), limit).collect()
     texts = {r.image_id: r.text for r in O.ocr_text(words, limit).collect()}
     for image, ws in data.items():
-        lines, text = expected(ws)
-        assert {(r["pass"], r.seq): r.line for r in lined if r.image_id == image} == lines
-        assert texts.get(image, "") == text
+        ranked = {w[1]: (w[2:6], w[6]) for w in sorted(ws, key=lambda w: (-w[0], w[1]))}
+        check_page(ranked, {(r["pass"], r.seq): r.line for r in lined if r.image_id == image}, texts.get(image, ""))
+
+
+def test_known_page(spark):
+    boxes = [("Hello", 90.0, 10, 10, 50, 12), ("world", 80.0, 70, 12, 50, 12), ("Hella", 60.0, 11, 10, 50, 12),
+             ("below", 85.0, 10, 40, 40, 10), ("left", 70.0, 0, 41, 8, 10), ("tail", 50.0, 60, 39, 30, 10)]
+    words = spark.createDataFrame([(1, 0, i, t, c, *box) for i, (t, c, *box) in enumerate(boxes)], WORDS)
+    for limit in (10_000, 0):
+        assert [r.text for r in O.ocr_text(words, limit).collect()] == ["Hello world\nleft below tail"]
 
 
 def test_iou_pairs_any_size(spark):
     rng = random.Random(4)
     boxes = [(rng.randrange(-50, 400), rng.randrange(400), rng.randrange(0, 200), rng.randrange(0, 300)) for _ in range(250)]
     rows = [(7, 0, i, "t", 50.0, *b) for i, b in enumerate(boxes)]
-    words = spark.createDataFrame(
-        rows, "image_id bigint, pass int, seq int, text string, confidence double, left_px int, top_px int, width_px int, height_px int")
+    words = spark.createDataFrame(rows, WORDS)
     got = sorted((r.seq_a, r.seq_b) for r in O.iou_pairs(words).collect())
-    want = [(i, j) for i in range(250) for j in range(i + 1, 250) if iou((0, 0, *boxes[i]), (0, 0, *boxes[j])) > 0.5]
+    want = [(i, j) for i in range(250) for j in range(i + 1, 250) if clash(boxes[i], boxes[j])]
     assert got == want and len(want) > 10
 
 

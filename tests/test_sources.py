@@ -30,7 +30,8 @@ def test_scan_images(spark, tmp_path):
     assert len(rows) == 15
     for r in rows:
         assert (r.r, r.g, r.b, r.a) == tuple(int(v) for v in rgba[r.y, r.x])
-    assert S.scan_files(spark, str(tmp_path), 8).count() == 1
+    listed = {(r.path.rsplit("/", 1)[1], r.reason, r.content is None) for r in S.scan_files(spark, str(tmp_path), 8).collect()}
+    assert ("bad.png", None, False) in listed and {x[1:] for x in listed - {("bad.png", None, False)}} == {("too_large", True)}
 
 
 def tiff(order, entries, extra=b""):
