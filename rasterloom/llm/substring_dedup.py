@@ -9,9 +9,10 @@ also starts earlier (in a document of smaller number, or earlier in the same one
    those that occur again are candidates, each with the first document that holds it.
 2. Passages. Runs of windows whose anchors recur are cut out of the texts and sent to the shard of that
    first document; a shard with many runs is split, and only its first document's runs are copied.
-3. Automata. A shard confirms passages on the words themselves: the windows of its first document become
-   an automaton over word numbers, and all runs of the shard are streamed through it. A hit at an earlier place is a
-   repetition. Windows that differ from the first document (copies of an edited copy) are left over.
+3. Automata. A shard confirms passages on the words themselves: the anchor phrases of its first document become
+   an automaton over word numbers, and all runs of the shard are streamed through it. Every hit lines a run up with a
+   passage; stretches of equal words there are repetitions. Windows that differ from the first document (copies of an
+   edited copy) are left over, and so are those whose anchor phrase has too many places in it.
 4. The few left-over windows are matched among each other by 128-bit digests, range-partitioned as in 1.
 
 Documents without recurring anchors never leave the first join. Null and empty texts have no words. Rows that repeat a
@@ -36,8 +37,8 @@ from rasterloom.llm.common import (
 )
 
 WIDTH, GRAM = 20, 8
-# Anchors of one shard part, windows and different words of one automaton.
-PART_ANCHORS, AUTOMATON_WINDOWS, AUTOMATON_WORDS = 50_000, 20_000, 400_000
+# Anchors of one shard part; phrases, different words and streamed bytes of one automaton; places of a phrase.
+PART_ANCHORS, AUTOMATON_PHRASES, AUTOMATON_WORDS, AUTOMATON_BYTES, PLACES = 50_000, 20_000, 400_000, 8_000_000, 16
 
 
 def anchor_of_windows(words: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -159,115 +160,143 @@ def _passages(width: int):
                         continue
                     own, copies = int(shard[a]), int(parts[at[a]])
                     text = b" ".join(words[a : b + width - 1])
+                    anchors = (np.unique(where[a:b]) - a).astype(np.int32).tobytes() if own == doc else b""
                     for part in range(copies) if own == doc else [doc % copies]:
-                        rows.append((own, part, own != doc, doc, int(a), text))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["first", "part", "later", "doc_id", "start", "words"])
+                        rows.append((own, part, own != doc, doc, int(a), text, anchors))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=RUN)
 
     return run
 
 
-PASSAGES = "first long, part int, later boolean, doc_id long, start int, words binary"
+RUN = ["first", "part", "later", "doc_id", "start", "words", "anchors"]
+PASSAGES = "first long, part int, later boolean, doc_id long, start int, words binary, anchors binary"
 
 
 class Shard:
-    """Passages of some first documents as an automaton over word numbers, written as characters."""
+    """Passages of some first documents, their anchor phrases as an automaton over word numbers written as characters."""
 
     def __init__(self, width: int):
-        self.width, self.numbers, self.places, self.runs = width, {}, {}, []
-
-    def spelled(self, words: list[bytes], add: bool) -> str:
+        self.width = width
+        self.empty()
+
+    def empty(self) -> None:
+        self.numbers: dict[bytes, str] = {}
+        self.phrases: dict[str, list[tuple[int, int]]] = {}
+        self.passages: list[tuple[int, int, np.ndarray]] = []
+
+    def learn(self, doc: int, start: int, raw: bytes, anchors: np.ndarray) -> None:
+        numbers = self.numbers
+        text = "".join([numbers.setdefault(w, chr(_code(len(numbers)))) for w in raw.split(b" ")])
+        for at in anchors.tolist():
+            self.phrases.setdefault(text[at : at + GRAM], []).append((len(self.passages), at))
+        self.passages.append((doc, start, _codes(text)))
+
+    def spelled(self, raw: bytes) -> str:
+        """Word numbers of a run as text; words that no passage holds are all alike."""
         get = self.numbers.get
-        if add:
-            return "".join([chr(self.numbers.setdefault(w, _code(len(self.numbers)))) for w in words])
-        return "".join([chr(get(w, 0)) for w in words])
-
-    def learn(self, doc: int, start: int, words: list[bytes]) -> None:
-        text = self.spelled(words, True)
-        for i in range(len(words) - self.width + 1):
-            place, window = (doc, start + i), text[i : i + self.width]
-            self.places[window] = min(place, self.places.get(window, place))
+        return "".join([get(w, "\0") for w in raw.split(b" ")])
 
     def full(self) -> bool:
-        return len(self.places) >= AUTOMATON_WINDOWS or len(self.numbers) >= AUTOMATON_WORDS
+        return len(self.phrases) >= AUTOMATON_PHRASES or len(self.numbers) >= AUTOMATON_WORDS
 
     def compiled(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for window, place in self.places.items():
-            found.add_word(window, place)
+        for phrase, places in self.phrases.items():
+            found.add_word(phrase, places)
         found.make_automaton()
         return found
 
+    def locate(self, automaton: ahocorasick.Automaton, doc: int, start: int, raw: bytes, known: np.ndarray) -> None:
+        """Marks the windows of a run: 2 repeated, 1 the passage itself; those of crowded phrases stay as they are."""
+        text = self.spelled(raw)
+        codes, lined_up, crowded = _codes(text), set(), []
+        for end, places in automaton.iter(text):
+            at = end - GRAM + 1
+            if len(places) > PLACES:
+                crowded.append(at)
+            else:
+                lined_up.update((k, at - pos) for k, pos in places)
+        for k, shift in lined_up:
+            of, begin, passage = self.passages[k]
+            if of == doc and begin - shift >= start:
+                # Not earlier: the passage itself, or the mirror image of a repetition inside a document.
+                if shift == 0 and begin == start:
+                    np.maximum(known, 1, out=known)
+                continue
+            a, b = max(0, shift), min(len(codes), len(passage) + shift)
+            differs = np.flatnonzero(codes[a:b] != passage[a - shift : b - shift])
+            borders = np.concatenate([[-1], differs, [b - a]])
+            for i in np.flatnonzero(np.diff(borders) > self.width):
+                known[a + borders[i] + 1 : a + borders[i + 1] - self.width + 1] = 2
+        for at in crowded:
+            around = known[max(0, at - self.width + GRAM) : at + 1]
+            around[around == 1] = 3  # the passage itself, yet left over
+
 
 def _code(n: int) -> int:
     """Character number of a word number; 0 and the surrogates are left out."""
     return n + 1 if n + 1 < 0xD800 else n + 1 + 0x800
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 def _located(width: int):
     """Stream the passages of each shard through its automata: covered words, and digests of left-over windows."""
     names = ["doc_id", "pos", "last", "h1", "h2"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=names)
+    def settle(shard: Shard, runs: list) -> None:
+        if shard.phrases:
+            automaton = shard.compiled()
+            for doc, start, raw, known in runs:
+                shard.locate(automaton, doc, start, raw, known)
+        shard.empty()
 
-    def settle(shard: Shard):
-        """Search all waiting runs; afterwards the shard is empty."""
-        if not shard.places:
-            return
-        automaton = shard.compiled()
-        for run in shard.runs:
-            doc, start, part, words, known = run
-            for end, place in automaton.iter(shard.spelled(words, False)):
-                at = end - width + 1
-                known[at] = max(known[at], 2 if place < (doc, start + at) else 1)
-        shard.places, shard.numbers = {}, {}
-
-    def rows_of(run):
-        doc, start, part, words, known = run
+    def rows_of(doc, start, raw, known):
         covered = np.flatnonzero(known == 2)
         # Neighbouring windows make one stretch.
         for some in np.split(covered, np.flatnonzero(np.diff(covered) > 1) + 1) if len(covered) else ():
             yield doc, start + int(some[0]), start + int(some[-1]) + width, None, None
-        for i in np.flatnonzero(known == 0):
+        left_over = np.flatnonzero((known == 0) | (known == 3))
+        words = raw.split(b" ") if len(left_over) else []
+        for i in left_over:
             h = hashlib.blake2b(b" ".join(words[i : i + width]), digest_size=16).digest()
             yield doc, start + int(i), None, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
+    def flushed(runs: list):
+        rows = [r for run in runs for r in rows_of(*run)]
+        runs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=names)
+
     def run(batches):
-        shard, out = Shard(width), []
+        shard, runs, waiting = Shard(width), [], 0
         for rows in whole_groups(batches, "first", "part"):
             rows = rows.combine_chunks()
             starts = group_starts(rows, "first", "part")
-            columns = [rows.column(c).to_pylist() for c in ("first", "part", "later", "doc_id", "start", "words")]
             for a, b in zip(starts, [*starts[1:], rows.num_rows]):
-                mine = []
-                for i in range(a, b):
-                    first, part, later, doc, start, raw = (c[i] for c in columns)
-                    words = raw.split(b" ")
-                    # The first document is reported by one part only.
-                    if later or part == 0:
-                        mine.append((doc, start, part, words, np.zeros(len(words) - width + 1, np.int8)))
-                for i in range(a, b):
-                    first, part, later, doc, start, raw = (c[i] for c in columns)
-                    if later:
-                        break
-                    shard.learn(doc, start, raw.split(b" "))
+                group = rows.slice(a, b - a)
+                later, docs, at = (group.column(c).to_pylist() for c in ("later", "doc_id", "start"))
+                raws, part = group.column("words").to_pylist(), group.column("part")[0].as_py()
+                # The first document is reported by one part only.
+                mine = [(docs[i], at[i], raws[i], np.zeros(raws[i].count(b" ") + 2 - width, np.int8))
+                        for i in range(len(raws)) if later[i] or part == 0]
+                for i in range(later.index(True) if True in later else len(later)):
+                    shard.learn(docs[i], at[i], raws[i], np.frombuffer(group.column("anchors")[i].as_py(), np.int32))
                     if shard.full():
                         # A large first document takes several automata, one after the other.
-                        shard.runs += mine
-                        settle(shard)
-                        shard.runs = shard.runs[: len(shard.runs) - len(mine)]
-                shard.runs += mine
-                if shard.full() or len(shard.runs) > 20_000:
-                    settle(shard)
-                    out = [r for one in shard.runs for r in rows_of(one)]
-                    shard.runs = []
-                    yield batch_of(out)
-        settle(shard)
-        yield batch_of([r for one in shard.runs for r in rows_of(one)])
+                        settle(shard, [*runs, *mine])
+                runs += mine
+                waiting += sum(len(r[2]) for r in mine)
+                if shard.full() or waiting > AUTOMATON_BYTES:
+                    settle(shard, runs)
+                    waiting = 0
+                    yield flushed(runs)
+        settle(shard, runs)
+        yield flushed(runs)
 
     return run
 
@@ -275,7 +304,8 @@ def _located(width: int):
 def _search(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(documents parted by :func:`_parted`, covered stretches as doc_id, pos, last)."""
     known = docs.filter("doc_id is not null")
-    anchors = known.mapInArrow(_anchors(width), "anchor long, doc_id long, pos int")
+    # Written first: ranges are drawn from it, which would else mean to read all texts twice.
+    anchors = stored(known.mapInArrow(_anchors(width), "anchor long, doc_id long, pos int"), "all-anchors")
     again = stored(recurring(anchors, ["anchor"], "anchors").select("doc_id", "pos", "first"), "recurring")
     large = again.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") > PART_ANCHORS).select(
         "first", F.ceil(F.col("n") / PART_ANCHORS).cast("int").alias("parts"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,9 +62,29 @@ def test_substring_parts_and_small_automata(spark, rows, monkeypatch):
     want = sorted(map(tuple, substring_dedup.substring_report(frame(spark, rows)).collect()))
     monkeypatch.setattr(substring_dedup, "PART_ANCHORS", 4)
     assert sorted(map(tuple, substring_dedup.substring_report(frame(spark, rows)).collect())) == want
-    shard = substring_dedup.Shard(3)
-    shard.learn(1, 0, [b"a", b"b", b"a", b"b", b"a"])
-    assert sorted(shard.places.values()) == [(1, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("vocabulary,places", [(500, 16), (3, 16), (3, 1), (2, 2)])
+def test_shard_misses_nothing(vocabulary, places, monkeypatch):
+    """Equal windows are found, or both sides are left over for the digests."""
+    monkeypatch.setattr(substring_dedup, "PLACES", places)
+    rng, hashes, width = random.Random(vocabulary), substring_dedup.WordHashes(), 20
+    for _ in range(30):
+        source = [b"%d" % rng.randrange(vocabulary) for _ in range(120)]
+        other = source[10:60] + [b"x"] * rng.randrange(3) + source[rng.randrange(60) :]
+        anchors = np.unique(substring_dedup.anchor_of_windows(hashes.of(source))[0])
+        shard = substring_dedup.Shard(width)
+        shard.learn(1, 0, b" ".join(source), anchors)
+        automaton, known = shard.compiled(), {}
+        for doc, words in ((1, source), (2, other)):
+            known[doc] = np.zeros(len(words) - width + 1, np.int8)
+            shard.locate(automaton, doc, 0, b" ".join(words), known[doc])
+        windows = {doc: [tuple(w[i : i + width]) for i in range(len(w) - width + 1)] for doc, w in ((1, source), (2, other))}
+        for doc in known:
+            for i, window in enumerate(windows[doc]):
+                earlier = [j for j, w in enumerate(windows[1]) if w == window and (1, j) < (doc, i)]
+                assert known[doc][i] != 2 or earlier
+                assert known[doc][i] == 2 or not earlier or (known[doc][i] in (0, 3) and any(known[1][j] in (0, 2, 3) for j in earlier))
 
 
 def test_line_dedup(spark, rows):
