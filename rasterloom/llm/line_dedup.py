@@ -88,10 +88,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     ranges = lines.repartitionByRange(shuffle_partitions(docs), *order).sortWithinPartitions(*order)
     seen = stored(ranges.mapInArrow(_stream(min_docs), "h1 long, h2 long, doc_id long, pos int, open boolean"), "lines")
     edge = seen.filter("open")
-    keys = (
+    # Written, so that its size is known before the join and a common line's rows need not be shuffled.
+    keys = stored(
         edge.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
-        .agg(F.count("*").alias("docs"), F.max("doc_id").alias("largest")).filter(F.col("docs") >= min_docs)
-    )
+        .agg(F.count("*").alias("docs"), F.max("doc_id").alias("largest")).filter(F.col("docs") >= min_docs), "edges")
     late = edge.join(keys, ["h1", "h2"]).filter("doc_id <> largest")
     return seen.filter("not open").select("doc_id", "pos").unionByName(late.select("doc_id", "pos"))
 

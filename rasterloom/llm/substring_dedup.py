@@ -104,8 +104,9 @@ def recurring(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     ranges = rows.select(*order).repartitionByRange(shuffle_partitions(rows), *order).sortWithinPartitions(*order)
     seen = stored(ranges.mapInArrow(_recurring(keys, columns), schema), name)
     edge = seen.filter("open").select(*order)
-    settled = edge.groupBy(*keys).agg(
-        F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")).filter("n > 1")
+    # Written, so that its size is known before the join and a common key's rows need not be shuffled.
+    settled = stored(edge.groupBy(*keys).agg(
+        F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")).filter("n > 1"), name)
     late = edge.join(settled, keys).select(*order, F.col("at.doc_id").alias("first"), F.col("at.pos").alias("first_pos"))
     return seen.filter("not open").drop("open").unionByName(late)
 
@@ -307,8 +308,8 @@ def _search(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     # Written first: ranges are drawn from it, which would else mean to read all texts twice.
     anchors = stored(known.mapInArrow(_anchors(width), "anchor long, doc_id long, pos int"), "all-anchors")
     again = stored(recurring(anchors, ["anchor"], "anchors").select("doc_id", "pos", "first"), "recurring")
-    large = again.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") > PART_ANCHORS).select(
-        "first", F.ceil(F.col("n") / PART_ANCHORS).cast("int").alias("parts"))
+    large = stored(again.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") > PART_ANCHORS).select(
+        "first", F.ceil(F.col("n") / PART_ANCHORS).cast("int").alias("parts")), "large")
     marks = again.join(large, "first", "left").groupBy("doc_id").agg(
         F.collect_list(F.struct("pos", "first", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("at"))
     squeezed = docs.mapInArrow(_squeezed, "doc_id long, z binary")
