@@ -9,7 +9,7 @@ from rasterloom.functions import rules
 from rasterloom.functions.rounding import half_up
 from rasterloom.functions.scale import BLOCK_ROWS, BROADCAST_ROWS, dimension_join, pos_block, running
 from rasterloom.operators import tools as T
-from rasterloom.operators.intake import REJECT_MESSAGES, intake_guard
+from rasterloom.operators.intake import REJECT_MESSAGES, intake_guard, reject_reason
 
 # ---- renditions -------------------------------------------------------------------------
 
@@ -17,6 +17,9 @@ from rasterloom.operators.intake import REJECT_MESSAGES, intake_guard
 def rendition_plan(images: DataFrame, recipes: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """One row per accepted image and per-image recipe: output size, format and name.
 
+    Work that its tool refuses (see :func:`refusal`) stays in the plan with its ``reason`` and no
+    output size. ``images`` has ``size_bytes`` besides the catalogue's columns.
+
     ``recipes`` is (recipe_id, tool_id, params). The theta condition "the tool accepts the
     type" becomes an equi-join by listing each recipe under the types its tool accepts. Merge
     makes one output per album and is planned by :func:`merge_layout` instead.
@@ -29,11 +32,24 @@ def rendition_plan(images: DataFrame, recipes: DataFrame, max_broadcast: int = B
         .select("recipe_id", "tool_id", "params", "mime", "suffix", "out_ext")
     )
     planned = dimension_join(images, listed, ["mime"], F.col("image_id"), max_broadcast)
-    return planned.select(
-        "image_id", "album", "pos", "recipe_id", "tool_id", *_rendition_columns()
+    planned = planned.withColumn("reason", refusal(F.col("tool_id")))
+    open_ = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return planned.select("image_id", "album", "pos", "recipe_id", "tool_id", "reason", *_rendition_columns()).select(
+        "image_id", "album", "pos", "recipe_id", "tool_id", open_("out_width"), open_("out_height"), "out_mime", "out_name", "reason"
     )
 
 
+# The tools that a service runs, with its limits on files.
+SERVICE_TOOLS = ("convert-svg", "upscale", "ocr")
+
+
+def refusal(tool: Column) -> Column:
+    """Why a tool refuses an image of an accepted type, null if it does not."""
+    file = F.when(tool.isin(*SERVICE_TOOLS), reject_reason(F.col("mime"), F.col("size_bytes")))
+    long = F.greatest("width", "height") > rules.MAX_UPSCALE_SIDE
+    return F.coalesce(file, F.when((tool == "upscale") & long, F.lit("side_too_long")))
+
+
 def _param(name: str, default, kind: str) -> Column:
     return F.coalesce(F.col("params")[name].try_cast(kind), F.lit(default).cast(kind))
 
@@ -66,6 +82,11 @@ def _rendition_columns() -> list[Column]:
     max_w, max_h = rules.fit_max_side(F.col("width"), F.col("height"), _param("maxSize", 1600, "int"))
     side, *_ = rules.icon_box(F.col("width"), F.col("height"), _param("size", 256.0, "double"))
     rot_w, rot_h = rules.rotated_dims(F.col("width"), F.col("height"), _param("rotate", 0, "int"))
+    # A side of the edited image that the recipe leaves open is the crop's own.
+    box = rules.crop_box(rot_w, rot_h, *[_param(f"crop{c}", d, "double") for c, d in (("X", 0.0), ("Y", 0.0), ("Width", 1.0), ("Height", 1.0))])
+    asked = lambda name: F.col("params")[name].try_cast("double")
+    given = lambda name, own: F.when(asked(name).isNotNull(), rules.at_least_one(asked(name))).otherwise(own)
+    edit_w, edit_h = given("width", box[2].cast("bigint")), given("height", box[3].cast("bigint"))
     unit_pc = _param("unit", "px", "string") == "percent"
     linked = _param("linked", True, "boolean")
 
@@ -85,7 +106,7 @@ def _rendition_columns() -> list[Column]:
             .when(tool == "compress", F.greatest(one, wh(max_w, max_h)))
             .when(is_icon, side)
             .when(tool == "upscale", wh(F.col("width"), F.col("height")) * rules.UPSCALE_FACTOR)
-            .when(tool == "resize", wh(rot_w, rot_h))
+            .when(tool == "resize", wh(edit_w, edit_h))
             .when(
                 tool == "margin",
                 wh(F.col("width") + side_px("left") + side_px("right"), F.col("height") + side_px("top") + side_px("bottom")),
@@ -174,9 +195,13 @@ def preview_top4(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("preview_pos", rank).filter("preview_pos <= 4")
 
 
-def batch_run(images: DataFrame) -> DataFrame:
-    """Every file is attempted; ``ok`` and ``message`` tell how it went, in list order."""
+def batch_run(images: DataFrame, tool_id: str | None = None) -> DataFrame:
+    """Every file is attempted; ``ok`` and ``message`` tell how it went, in list order.
+
+    With a tool, what that tool refuses fails too."""
     guarded = intake_guard(images)
+    if tool_id is not None:
+        guarded = guarded.withColumn("reason", F.coalesce("reason", refusal(F.lit(tool_id))))
     message = F.lit(None).cast("string")
     for reason, text in REJECT_MESSAGES.items():
         message = F.when(F.col("reason") == reason, F.lit(text)).otherwise(message)

@@ -60,7 +60,7 @@ def _scan_pixels(s, d):
 def _renditions(s, d):
     folder = work_dir(s, "renditions")
     sinks.write_renditions(_plan(s, d), folder)
-    return s.read.parquet(folder).select("image_id", "album", "pos", "recipe_id", "tool_id", "out_width", "out_height", "out_mime", "out_name")
+    return s.read.parquet(folder).select("image_id", "album", "pos", "recipe_id", "tool_id", "out_width", "out_height", "out_mime", "out_name", "reason")
 
 
 def _named_texts(s, d):

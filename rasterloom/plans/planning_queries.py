@@ -23,6 +23,8 @@ RECIPES = [
     ("edge", "margin", {"linked": "false", "top": "1", "right": "2", "bottom": "3", "left": "4"}),
     ("big", "upscale", {}),
     ("turn", "resize", {"rotate": "90"}),
+    ("cut", "resize", {"rotate": "270", "cropX": "0.1", "cropY": "0.25", "cropWidth": "0.5", "cropHeight": "0.6"}),
+    ("cut-wide", "resize", {"cropX": "0.5", "cropWidth": "0.9", "width": "640.4"}),
     ("cutout", "remove-background", {"tolerance": "18"}),
     ("clean", "strip-metadata", {}),
     ("warm", "adjust", {"sepia": "40"}),
@@ -38,6 +40,11 @@ def recipes(spark):
 DUCK_RECIPES = "recipes as (select * from (values " + ", ".join(f"('{r}','{t}')" for r, t, _ in RECIPES) + ") q(recipe_id, tool_id))"
 KEEP = "case when mime in ('image/jpeg','image/png','image/webp') then mime else 'image/png' end"
 
+def _crop(side, at, part):
+    start = f"greatest(0,least({_half(f'{side}*{at}::double')},{side}-1))"
+    return f"greatest(1,least({_half(f'{side}*{part}::double')},{side}-{start}))"
+
+
 PLAN = f"""j as (select i.*, r.recipe_id, r.tool_id, t.suffix, t.out_ext,
     regexp_replace(file_name, '\\.[^/.]+$', '') as stem,
     case when recipe_id='webp' then 'image/webp' when recipe_id='icon' then 'image/x-icon' when recipe_id='svg' then 'image/svg+xml'
@@ -45,15 +52,18 @@ PLAN = f"""j as (select i.*, r.recipe_id, r.tool_id, t.suffix, t.out_ext,
   from images i join accepts a using (mime) join tools t using (tool_id) join recipes r using (tool_id)),
 ext as (select *, coalesce(out_ext, case out_mime when 'image/jpeg' then 'jpg' when 'image/png' then 'png' when 'image/webp' then 'webp' when 'image/x-icon' then 'ico' end) as ext,
     least(width,height)*10.0::double/100 as pc from j),
-rendition_plan as (select image_id, album, pos, recipe_id, tool_id,
+sized_plan as (select image_id, album, pos, recipe_id, tool_id,
   cast(case recipe_id when 'scale-half' then {_one('width*(50/100.0::double)')} when 'scale-fit' then {_one('width*least(800::double/width,600::double/height,1.0::double)')}
     when 'icon' then 256 when 'small' then greatest(1, case when width<=1000 and height<=1000 then width else {_half('width*(1000::double/greatest(width,height))')} end)
-    when 'frame' then width+2*greatest(0,{_half('pc')}) when 'edge' then width+6 when 'big' then width*4 when 'turn' then height else width end as bigint) as out_width,
+    when 'frame' then width+2*greatest(0,{_half('pc')}) when 'edge' then width+6 when 'big' then width*4 when 'turn' then height when 'cut' then {_crop('height', 0.1, 0.5)} when 'cut-wide' then 640 else width end as bigint) as out_width,
   cast(case recipe_id when 'scale-half' then {_one('height*(50/100.0::double)')} when 'scale-fit' then {_one('height*least(800::double/width,600::double/height,1.0::double)')}
     when 'icon' then 256 when 'small' then greatest(1, case when width<=1000 and height<=1000 then height else {_half('height*(1000::double/greatest(width,height))')} end)
-    when 'frame' then height+2*greatest(0,{_half('pc')}) when 'edge' then height+4 when 'big' then height*4 when 'turn' then width else height end as bigint) as out_height,
-  out_mime, case when tool_id='ocr' then concat(stem,'.txt') else concat(stem,'-',case when recipe_id='icon' then 'icon' else suffix end,'.',ext) end as out_name
-  from ext)"""
+    when 'frame' then height+2*greatest(0,{_half('pc')}) when 'edge' then height+4 when 'big' then height*4 when 'turn' then width when 'cut' then {_crop('width', 0.25, 0.6)} else height end as bigint) as out_height,
+  out_mime, case when tool_id='ocr' then concat(stem,'.txt') else concat(stem,'-',case when recipe_id='icon' then 'icon' else suffix end,'.',ext) end as out_name,
+  case when tool_id in ('convert-svg','upscale','ocr') and size_bytes=0 then 'empty' when tool_id in ('convert-svg','upscale','ocr') and size_bytes>10*1024*1024 then 'too_large'
+    when tool_id='upscale' and greatest(width,height)>1500 then 'side_too_long' end as reason
+  from ext),
+rendition_plan as (select * replace (case when reason is null then out_width end as out_width, case when reason is null then out_height end as out_height) from sized_plan)"""
 PLAN_CTE = V.cte(V.IMAGES, V.TOOLS, DUCK_RECIPES, PLAN)
 
 
@@ -138,6 +148,9 @@ RUN = V.cte(V.IMAGES, f"run as (select *, reason is null as ok, {MESSAGE} as mes
 
 QUERIES = {
     "rendition_plan": (_plan, PLAN_CTE + "select * from rendition_plan"),
+    # The route of a recipe table too large to broadcast, forced.
+    "rendition_plan_salted": (
+        lambda s, d: P.rendition_plan(X.spread(X.images(s, d)), recipes(s), 0), PLAN_CTE + "select * from rendition_plan"),
     "compress_plan": (
         lambda s, d: P.compress_plan(X.images(s, d), 1000, 72).select(
             "image_id", "out_width", "out_height", "encoder_quality", "out_mime", "out_name"),
@@ -179,6 +192,11 @@ QUERIES = {
         lambda s, d: P.batch_run(_outputs(s, d)).select("image_id", "album", "pos", "ok", "message"),
         RUN + "select image_id, album, pos, ok, message from run",
     ),
+    "batch_run_upscale": (
+        lambda s, d: P.batch_run(_outputs(s, d), "upscale").select("image_id", "album", "pos", "ok", "message"),
+        RUN + """select image_id, album, pos, ok and greatest(width,height)<=1500 as ok, coalesce(message, case when greatest(width,height)>1500
+          then 'Image is too large to upscale. The longest side must be at most 1500px.' end) as message from run""",
+    ),
     "batch_report": (
         lambda s, d: P.batch_report(P.batch_run(_outputs(s, d))),
         RUN + """, f as (select album, count(*) as total, count(*) filter (not ok) as failed,

@@ -104,8 +104,8 @@ def test_dimension_join_large_side(spark):
 
 def test_rendition_plan_without_broadcast(spark):
     images = spark.createDataFrame(
-        [(i, "z", i, f"p{i}.png", "image/png" if i % 2 else "image/gif", 100 + i, 50) for i in range(40)],
-        "image_id bigint, album string, pos int, file_name string, mime string, width int, height int")
+        [(i, "z", i, f"p{i}.png", "image/png" if i % 2 else "image/gif", 100 + i, 50, 9) for i in range(40)],
+        "image_id bigint, album string, pos int, file_name string, mime string, width int, height int, size_bytes long")
     recipes = spark.createDataFrame([("r1", "scale", {}), ("r2", "margin", {"all": "3"}), ("r3", "merge", {})],
                                     "recipe_id string, tool_id string, params map<string,string>")
     a, b = (sorted(map(tuple, P.rendition_plan(images, recipes, n).collect())) for n in (1000, 0))
