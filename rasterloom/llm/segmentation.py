@@ -32,7 +32,7 @@ from rasterloom.llm.common import lists, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-CACHE = 150_000
+CACHE = 300_000
 SWAPS = "array<struct<start int, length int, ids array<int>>>"
 ALTERNATIVES = f"array<struct<score double, swaps {SWAPS}>>"
 _ARROW = pa.list_(pa.struct([
@@ -121,11 +121,15 @@ class Pieces:
                 children, score, piece = found
                 if score is None:
                     continue
-                single = single or j == i + 1
-                total = here + score
-                if total > best[j]:
-                    second[j] = max(best[j], there + score)
-                    best[j], back[j], by[j] = total, i, piece
+                if j == i + 1:
+                    single = True
+                total, old = here + score, best[j]
+                if total > old:
+                    other = there + score
+                    second[j] = old if old > other else other
+                    best[j] = total
+                    back[j] = i
+                    by[j] = piece
                 elif total > second[j]:
                     second[j] = total
             if not single:
