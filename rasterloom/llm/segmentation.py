@@ -168,7 +168,8 @@ class Pieces:
                 continue
             for i, score, ids in into[at]:
                 met += 1
-                heapq.heappush(agenda, (-(ahead[i] + score + done), met, i, done + score, (ids, path)))
+                # Of equal scores the latest first: a tie is followed to its end, not widened.
+                heapq.heappush(agenda, (-(ahead[i] + score + done), -met, i, done + score, (ids, path)))
         return out
 
     def decode(self, ids) -> bytes:
@@ -219,8 +220,9 @@ def segment(text: str, chunks: Chunks, n: int) -> tuple[np.ndarray, float, list[
     # One swap in each of the n - 1 cheapest chunks gives n - 1 alternatives already; others lose more.
     ways: list[tuple[float, tuple]] = [(0.0, ())]
     for i in nearest(np.array([f[2] for f in found]), n - 1):
-        options = chunks.pieces.nbest(parts[i], n)
-        best = options[0][0]
+        own, best = tuple(np.frombuffer(found[i][0], np.int32).tolist()), found[i][1]
+        # Among equal scores the forward pass and the search may differ; the forward one stays first.
+        options = [(best, own), *[o for o in chunks.pieces.nbest(parts[i], n) if o[1] != own][: n - 1]]
         ways = sorted(
             ((loss + best - score, swaps if k == 0 else (*swaps, (i, way))) for loss, swaps in ways
              for k, (score, way) in enumerate(options)), key=lambda w: w[0])[:n]

@@ -176,7 +176,7 @@ def brute_segmentations(pieces, text, n):
 def test_segmentation(spark, rows):
     pieces = segmentation.Pieces()
     chunks = segmentation.Chunks(pieces)
-    for text in ["hello world", "a", "  x  y ", "日本▁語 ok\n\n", "\x00é", "tttt tttt", " ", "\n"]:
+    for text in ["hello world", "a", "  x  y ", "日本▁語 ok\n\n", "\x00é", "tttt tttt", " ", "\n", "x" * 25, "ab" * 12, "日" * 9]:
         ids, score, others = segmentation.segment(text, chunks, 4)
         want = brute_segmentations(pieces, " " + text, 4)
         assert [score, *[o["score"] for o in others]] == [w[0] for w in want]
