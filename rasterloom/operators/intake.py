@@ -50,16 +50,20 @@ def upscale_guard(images: DataFrame) -> DataFrame:
     return images.withColumn("too_big", F.greatest("width", "height") > F.lit(rules.MAX_UPSCALE_SIDE))
 
 
-def append_cap(batches: DataFrame, cap: int | None, rows_per_block: int = BLOCK_ROWS) -> DataFrame:
+def append_cap(
+    batches: DataFrame, cap: int | None, rows_per_block: int = BLOCK_ROWS, numbered_above: int = 1000
+) -> DataFrame:
     """List content per album after appending ``batch`` after ``batch`` (each ordered by ``pos``).
 
     No cap keeps everything, duplicates included. A cap of 1 replaces the list by the first
-    file of the latest batch. Any other cap keeps the first ``cap`` files; the rank filter is
-    applied before the shuffle as well, so a hot album sends only ``cap`` rows per task.
+    file of the latest batch. Any other cap keeps the first ``cap`` files. For caps up to
+    ``numbered_above`` the rank filter is applied before the shuffle as well, so a hot album sends
+    only ``cap`` rows per task; above, files are numbered block by block first.
     """
-    if cap is None:
+    if cap is None or cap > max(1, numbered_above):
         block = F.struct(F.col("batch"), F.floor(F.col("pos") / rows_per_block))
-        return numbered(batches, ["album"], ["batch", "pos"], block, "list_pos")
+        listed = numbered(batches, ["album"], ["batch", "pos"], block, "list_pos")
+        return listed if cap is None else listed.filter(F.col("list_pos") <= cap)
     order = [F.col("batch").desc(), F.col("pos")] if cap == 1 else [F.col("batch"), F.col("pos")]
     rank = F.row_number().over(Window.partitionBy("album").orderBy(*order))
     return batches.withColumn("list_pos", rank).filter(F.col("list_pos") <= cap)

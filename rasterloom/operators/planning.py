@@ -314,9 +314,10 @@ def budget_search(images: DataFrame, rungs: DataFrame, target: Column, steps: in
     is_png = rules.output_format(F.col("mime")) == "image/png"
     top = F.when(is_png, F.lit(1.0)).otherwise(F.lit(0.95))
     return (
-        images.join(ladder, "image_id")
+        images.join(ladder, "image_id", "left")
         .withColumn("_budget", target)
-        .withColumn("k", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["best"])
+        # An image without a ladder stays, with nothing found.
+        .withColumn("k", F.when(F.col("_sizes").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["best"]))
         .withColumn("size_at_k", F.element_at("_sizes", F.col("k")))
         .withColumn("setting", F.lit(0.05) + (top - F.lit(0.05)) * F.col("k") / F.lit(float(1 << steps)))
         .withColumn("knob", F.when(is_png, F.lit("scale")).otherwise(F.lit("quality")))
@@ -337,7 +338,7 @@ def budget_search_monotone(images: DataFrame, rungs: DataFrame, target: Column,
             ).alias("k")
         )
     )
-    return images.join(best, "image_id")
+    return images.join(best, "image_id", "left")
 
 
 def archive_entries(entries: DataFrame, archive: str = "album", rows_per_block: int = BLOCK_ROWS) -> DataFrame:

@@ -70,6 +70,9 @@ def _batches(s, d):
 DUCK_BATCHES = IMG + ", b as (select image_id, album, pos, file_name, cast(image_id%3 as int) as batch from images)\n"
 REASON = """case when mime not in ('image/png','image/jpeg','image/jpg','image/webp') then 'unsupported_type'
   when size_bytes=0 then 'empty' when size_bytes>10*1024*1024 then 'too_large' end"""
+SIZE_LABEL = """case when {0}<1024 then concat(cast({0} as varchar),' B')
+  when {0}<1048576 then concat(cast((({0}*20+1024)//2048)//10 as varchar),'.',cast((({0}*20+1024)//2048)%10 as varchar),' KB')
+  else concat(cast((({0}*200+1048576)//2097152)//100 as varchar),'.',lpad(cast((({0}*200+1048576)//2097152)%100 as varchar),2,'0'),' MB') end"""
 HALF = "cast(floor({}+0.5) as bigint)"
 
 
@@ -99,6 +102,12 @@ QUERIES = {
         DUCK_BATCHES + """select album, image_id, list_pos from (select *, cast(row_number() over
           (partition by album order by batch, pos) as int) as list_pos from b) where list_pos<=5""",
     ),
+    # The route of large caps, forced.
+    "append_cap_numbered": (
+        lambda s, d: I.append_cap(_batches(s, d), 5, numbered_above=4).select("album", "image_id", "list_pos"),
+        DUCK_BATCHES + """select album, image_id, list_pos from (select *, row_number() over
+          (partition by album order by batch, pos) as list_pos from b) where list_pos<=5""",
+    ),
     "append_cap_single": (
         lambda s, d: I.append_cap(_batches(s, d), 1).select("album", "image_id"),
         DUCK_BATCHES + """select album, image_id from (select *, row_number() over
@@ -136,9 +145,7 @@ QUERIES = {
     "format_bytes": (
         lambda s, d: C.format_bytes(X.images(s, d).selectExpr("image_id", "size_bytes div (image_id%1000+1) as size_bytes")),
         IMG + """, z as (select image_id, size_bytes // (image_id%1000+1) as size_bytes from images)
-          select image_id, size_bytes, case when size_bytes<1024 then concat(cast(size_bytes as varchar),' B')
-          when size_bytes<1048576 then concat(cast(((size_bytes*20+1024)//2048)//10 as varchar),'.',cast(((size_bytes*20+1024)//2048)%10 as varchar),' KB')
-          else concat(cast(((size_bytes*200+1048576)//2097152)//100 as varchar),'.',lpad(cast(((size_bytes*200+1048576)//2097152)%100 as varchar),2,'0'),' MB') end as size_label from z""",
+          select image_id, size_bytes, """ + SIZE_LABEL.format("size_bytes") + " as size_label from z",
     ),
     "clamp_quality": (
         lambda s, d: C.clamp_quality(X.images(s, d).selectExpr("image_id", "cast(width%140 as int) as quality")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterloom.operators import exif as E
 from rasterloom.operators import pixels_geometry as G
 from rasterloom.operators import pixels_neighborhood as N
 from rasterloom.operators import pixels_point as P
@@ -135,8 +136,10 @@ def _key_sql(rgb, tol, smooth):
 
 
 def _oriented(s, d):
-    tags = X.pixels(s, d).select("image_id").distinct().selectExpr("image_id", "cast(image_id%9 as int) as orientation")
-    return G.orient_normalize(_sized(s, d).join(tags, "image_id"))
+    """Orientations come from the files' tags; an image without a tag is upright."""
+    tags = E.orientations(E.exif_scan(X.exif_files(s, d)))
+    turned = _sized(s, d).join(tags, "image_id", "left").withColumn("orientation", F.coalesce("orientation", F.lit(1)))
+    return G.orient_normalize(turned)
 
 
 def _albums(s, d):

@@ -8,7 +8,7 @@ from rasterloom.operators import catalog as C
 from rasterloom.operators import intake as I
 from rasterloom.operators import planning as P
 from rasterloom.plans import views as V
-from rasterloom.plans.catalog_queries import REASON, _half, _one
+from rasterloom.plans.catalog_queries import REASON, SIZE_LABEL, _half, _one
 from rasterloom.sources import fixtures as X
 
 IMG = V.cte(V.IMAGES)
@@ -175,9 +175,9 @@ QUERIES = {
         V.cte(V.IMAGES, V.TOOLS) + "select image_id, tool_id from images join accepts using (mime) where tool_id<>'scale'",
     ),
     "album_totals": (
-        lambda s, d: P.album_totals(_outputs(s, d)).select("album", "n_outputs", "total_bytes", "archive_name"),
-        IMG + """select album, count(*) as n_outputs, cast(sum(size_bytes) as bigint) as total_bytes,
-          concat('album-', cast(count(*) as varchar), '-images.zip') as archive_name from images group by 1""",
+        lambda s, d: P.album_totals(_outputs(s, d)),
+        IMG + """, t as (select album, count(*) as n_outputs, cast(sum(size_bytes) as bigint) as total_bytes from images group by 1)
+          select *, concat('album-', cast(n_outputs as varchar), '-images.zip') as archive_name, """ + SIZE_LABEL.format("total_bytes") + " as total_label from t",
     ),
     "distinct_types": (
         lambda s, d: P.distinct_types(_outputs(s, d)),
