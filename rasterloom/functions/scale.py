@@ -107,7 +107,19 @@ def dimension_join(
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder (see :func:`checkpoint_root`)."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+_MADE: dict[str, list[str]] = {}
+
+
+def clean_work(spark: SparkSession) -> None:
+    """Delete the folders this application made; results that still read from them must be done."""
+    for folder in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

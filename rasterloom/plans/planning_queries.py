@@ -137,6 +137,16 @@ ARCHIVE = V.cte(V.IMAGES, """n as (select i.album, i.image_id, i.pos, case when
   join (select doc_id, octet_length(encode(text)) as bytes from documents) b on b.doc_id=i.image_id)""")
 
 
+# CRC-32 byte by byte, with its table of 256 values made by its rule.
+CHECKSUMS = """with recursive rounds as (select i as byte, i as v, 0 as n from range(256) r(i)
+  union all select byte, case when v&1=1 then xor(v>>1, 3988292384) else v>>1 end, n+1 from rounds where n<8),
+tab as (select list(v order by byte) as t from rounds where n=8),
+hexed as (select doc_id, source, hex(encode(text)) as h from documents),
+bytes as (select doc_id, source, list_transform(range(length(h)//2), lambda i: cast(concat('0x', substr(h, 2*i+1, 2)) as bigint)) as bs from hexed)
+select source as album, doc_id as image_id,
+  xor(list_reduce(list_prepend(4294967295, bs), lambda c, b: xor(c>>8, t[xor(c&255, b)+1])), 4294967295) as crc from bytes, tab"""
+
+
 def _entries(s, d):
     content = X.documents(s, d).select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("content"))
     return C.dedupe_names(X.images(s, d)).select("album", "image_id", "pos", "unique_name").join(content, "image_id")
@@ -232,7 +242,7 @@ QUERIES = {
           over (partition by album order by pos rows between unbounded preceding and 1 preceding),0) as bigint) as header_offset from n""",
     ),
     "archive_checksums": (
-        lambda s, d: P.archive_entries(_entries(s, d)).select("album", "image_id", "crc"), None),
+        lambda s, d: P.archive_entries(_entries(s, d)).select("album", "image_id", "crc"), CHECKSUMS),
     "archive_totals": (
         lambda s, d: P.archive_totals(P.archive_entries(_entries(s, d)), X.images(s, d)),
         ARCHIVE + """select album, count(*) as n_entries, cast(sum(30+octet_length(encode(unique_name))+bytes) as bigint) as directory_offset,
