@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scale import stored
-from rasterloom.llm.common import one_row_per_id
+from rasterloom.llm.common import one_row_per_id, shuffle_partitions
 
 SCALE, K, PIVOTS = 256, 5, 32
 # Rows of a block of queries and of candidates; vectors among which the pivots are chosen.
-QUERY_BLOCK, CANDIDATE_BLOCK, PIVOT_SAMPLE = 1024, 8192, 2048
+QUERY_BLOCK, CANDIDATE_BLOCK, PIVOT_SAMPLE = 512, 2048, 2048
 LARGEST = float(1 << 26)
 FOUND = "query_id long, vec_id long, score long"
 
@@ -37,7 +37,7 @@ def finite(vector: str) -> Column:
 
 
 def _integers(scale: float):
-    """(vec_id, dim, v): components as int64; too large ones fail."""
+    """(vec_id, dim, v): components as int32; too large ones fail."""
 
     def run(batches):
         for batch in batches:
@@ -46,7 +46,7 @@ def _integers(scale: float):
                 raise ValueError("a component is too large for exact integer products")
             yield pa.RecordBatch.from_pydict({
                 "vec_id": batch.column("vec_id"), "dim": pa.array([len(r) for r in rows], pa.int32()),
-                "v": pa.array([r.astype(np.int64).tobytes() for r in rows], pa.binary())})
+                "v": pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())})
 
     return run
 
@@ -75,7 +75,7 @@ def _packed(pivots: dict[int, np.ndarray], radius: dict[int, float], lifted: boo
             for dim, block, ids, vectors in zip(*(batch.column(c) for c in ("dim", "block", "ids", "vectors"))):
                 dim = dim.as_py()
                 ids = ids.values.to_numpy()
-                x = np.frombuffer(b"".join(vectors.as_py()), np.int64).reshape(len(ids), dim)
+                x = np.frombuffer(b"".join(vectors.as_py()), np.int32).reshape(len(ids), dim)
                 order = np.argsort(ids)
                 ids, x = ids[order], x[order]
                 f = x.astype(np.float64)
@@ -118,7 +118,8 @@ def _visited(radius: dict[int, float], k: int):
                 get = lambda c, kind: np.frombuffer(batch.column(c)[row].as_py(), kind)
                 dim = batch.column("dim")[row].as_py()
                 ids, q_ids = get("ids", np.int64), get("q_ids", np.int64)
-                x, q = get("x", np.int64).reshape(len(ids), dim), get("q_x", np.int64).reshape(len(q_ids), dim)
+                x, q = (get(c, np.int32).astype(np.int64).reshape(-1, dim) if dim else np.zeros((n, 0), np.int64)
+                        for c, n in (("x", len(ids)), ("q_x", len(q_ids))))
                 # Below 2^53 floating products are exact, and fast.
                 if dim * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2.0**53:
                     x, q = x.astype(np.float64), q.astype(np.float64)
@@ -142,25 +143,29 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, scale: float = S
     points, radius = {}, {}
     for dim, n in counts.items():  # as many as there are different lengths
         some = ints.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
-        sample = np.array([np.frombuffer(r["v"], np.int64) for r in some], np.float64).reshape(len(some), dim)
+        sample = np.array([np.frombuffer(r["v"], np.int32) for r in some], np.float64).reshape(len(some), dim)
         points[dim] = chosen_pivots(sample, pivots)
         radius[dim] = _longest(ints.filter(F.col("dim") == dim))
 
-    def blocks(df, size, lifted):
+    def number(of, size):
+        return F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // size))) for d, n in of.items()], F.lit(1))
+
+    def blocks(df, of, size, lifted):
         # Blocks are dealt by hash; their number follows the rows, so a block has about ``size`` of them.
-        pick = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // size))) for d, n in counts.items()], F.lit(1))
+        pick = number(of, size)
         df = df.withColumn("block", F.pmod(F.xxhash64("vec_id"), pick).cast("int"))
         df = df.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
         df = df.select("dim", "block", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vectors"))
         return stored(df.mapInArrow(_packed(points, radius, lifted), PACKED), "blocks")
 
-    candidates = blocks(ints, CANDIDATE_BLOCK, True)
-    queries = blocks(ints.filter(is_query), QUERY_BLOCK, False).select(
+    asked = {r["dim"]: r["n"] for r in ints.filter(is_query).groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    candidates = blocks(ints, counts, CANDIDATE_BLOCK, True)
+    queries = blocks(ints.filter(is_query), asked, QUERY_BLOCK, False).select(
         "dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "x", "table")])
-    # Each block of queries visits the candidate blocks of its dimension, named one by one.
-    number = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // CANDIDATE_BLOCK))) for d, n in counts.items()], F.lit(1))
-    visits = queries.withColumn("block", F.explode(F.sequence(F.lit(0), number - 1)))
-    met = visits.join(candidates, ["dim", "block"]).repartition(F.col("dim"), F.col("block"), F.col("q_block"))
+    # Each block of queries travels to the candidate blocks of its dimension, named one by one; those move once.
+    tasks = shuffle_partitions(embeddings)
+    visits = queries.withColumn("block", F.explode(F.sequence(F.lit(0), number(counts, CANDIDATE_BLOCK) - 1)))
+    met = visits.repartition(tasks, "dim", "block").join(candidates.repartition(tasks, "dim", "block"), ["dim", "block"])
     found = met.mapInArrow(_visited(radius, k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select(
@@ -172,7 +177,7 @@ def _longest(ints: DataFrame) -> float:
 
     def run(batches):
         for batch in batches:
-            squares = [float((np.frombuffer(v.as_py(), np.int64).astype(np.float64) ** 2).sum()) for v in batch.column("v")]
+            squares = [float((np.frombuffer(v.as_py(), np.int32).astype(np.float64) ** 2).sum()) for v in batch.column("v")]
             yield pa.RecordBatch.from_pydict({"square": pa.array([max(squares, default=0.0)], pa.float64())})
 
     return ints.select("v").mapInArrow(run, "square double").agg(F.max("square")).first()[0] or 0.0
