@@ -12,7 +12,7 @@ also starts earlier (in a document of smaller number, or earlier in the same one
 3. Automata. A shard confirms passages on the words themselves: the anchor phrases of its first document become
    an automaton over word numbers, and all runs of the shard are streamed through it. Every hit lines a run up with a
    passage; stretches of equal words there are repetitions. Windows that differ from the first document (copies of an
-   edited copy) are left over, and so are those whose anchor phrase has too many places in it.
+   edited copy) are left over. Where an anchor phrase has many places in it, whole windows are looked up instead.
 4. The few left-over windows are matched among each other by 128-bit digests, range-partitioned as in 1.
 
 Documents without recurring anchors never leave the first join. Null and empty texts have no words. Rows that repeat a
@@ -185,14 +185,16 @@ class Shard:
     def empty(self) -> None:
         self.numbers: dict[bytes, str] = {}
         self.phrases: dict[str, list[tuple[int, int]]] = {}
-        self.passages: list[tuple[int, int, np.ndarray]] = []
+        self.passages: list[tuple[int, int, str, np.ndarray]] = []
+        # Windows around crowded phrases, each with its earliest place.
+        self.windows: dict[str, tuple[int, int]] = {}
 
     def learn(self, doc: int, start: int, raw: bytes, anchors: np.ndarray) -> None:
         numbers = self.numbers
         text = "".join([numbers.setdefault(w, chr(_code(len(numbers)))) for w in raw.split(b" ")])
         for at in anchors.tolist():
             self.phrases.setdefault(text[at : at + GRAM], []).append((len(self.passages), at))
-        self.passages.append((doc, start, _codes(text)))
+        self.passages.append((doc, start, text, _codes(text)))
 
     def spelled(self, raw: bytes) -> str:
         """Word numbers of a run as text; words that no passage holds are all alike."""
@@ -203,14 +205,29 @@ class Shard:
         return len(self.phrases) >= AUTOMATON_PHRASES or len(self.numbers) >= AUTOMATON_WORDS
 
     def compiled(self) -> ahocorasick.Automaton:
-        found = ahocorasick.Automaton()
+        found, crowded = ahocorasick.Automaton(), {}
         for phrase, places in self.phrases.items():
             found.add_word(phrase, places)
+            if len(places) > PLACES:
+                for k, at in places:
+                    crowded.setdefault(k, []).append(at)
         found.make_automaton()
+        for k, places in crowded.items():
+            doc, start, text, _ = self.passages[k]
+            for i in self.around(places, len(text)):
+                place, window = (doc, start + i), text[i : i + self.width]
+                self.windows[window] = min(place, self.windows.get(window, place))
         return found
 
+    def around(self, places: list[int], words: int) -> list[int]:
+        """Starts of the windows that hold a phrase at one of ``places``."""
+        change = np.zeros(words + 2, np.int64)
+        np.add.at(change, np.maximum(0, np.array(places) - self.width + GRAM), 1)
+        np.add.at(change, np.array(places) + 1, -1)
+        return np.flatnonzero(np.cumsum(change)[: max(0, words - self.width + 1)]).tolist()
+
     def locate(self, automaton: ahocorasick.Automaton, doc: int, start: int, raw: bytes, known: np.ndarray) -> None:
-        """Marks the windows of a run: 2 repeated, 1 the passage itself; those of crowded phrases stay as they are."""
+        """Marks the windows of a run: 2 repeated, 1 the passage itself."""
         text = self.spelled(raw)
         codes, lined_up, crowded = _codes(text), set(), []
         for end, places in automaton.iter(text):
@@ -220,7 +237,7 @@ class Shard:
             else:
                 lined_up.update((k, at - pos) for k, pos in places)
         for k, shift in lined_up:
-            of, begin, passage = self.passages[k]
+            of, begin, _, passage = self.passages[k]
             if of == doc and begin - shift >= start:
                 # Not earlier: the passage itself, or the mirror image of a repetition inside a document.
                 if shift == 0 and begin == start:
@@ -231,9 +248,10 @@ class Shard:
             borders = np.concatenate([[-1], differs, [b - a]])
             for i in np.flatnonzero(np.diff(borders) > self.width):
                 known[a + borders[i] + 1 : a + borders[i + 1] - self.width + 1] = 2
-        for at in crowded:
-            around = known[max(0, at - self.width + GRAM) : at + 1]
-            around[around == 1] = 3  # the passage itself, yet left over
+        for i in self.around(crowded, len(text)) if crowded else ():
+            place = self.windows.get(text[i : i + self.width])
+            if place is not None:
+                known[i] = max(known[i], 2 if place < (doc, start + i) else 1)
 
 
 def _code(n: int) -> int:
@@ -262,7 +280,7 @@ def _located(width: int):
         # Neighbouring windows make one stretch.
         for some in np.split(covered, np.flatnonzero(np.diff(covered) > 1) + 1) if len(covered) else ():
             yield doc, start + int(some[0]), start + int(some[-1]) + width, None, None
-        left_over = np.flatnonzero((known == 0) | (known == 3))
+        left_over = np.flatnonzero(known == 0)
         words = raw.split(b" ") if len(left_over) else []
         for i in left_over:
             h = hashlib.blake2b(b" ".join(words[i : i + width]), digest_size=16).digest()

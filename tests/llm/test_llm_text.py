@@ -66,7 +66,7 @@ def test_substring_parts_and_small_automata(spark, rows, monkeypatch):
 
 @pytest.mark.parametrize("vocabulary,places", [(500, 16), (3, 16), (3, 1), (2, 2)])
 def test_shard_misses_nothing(vocabulary, places, monkeypatch):
-    """Equal windows are found, or both sides are left over for the digests."""
+    """Every equal window is found, also where phrases are crowded."""
     monkeypatch.setattr(substring_dedup, "PLACES", places)
     rng, hashes, width = random.Random(vocabulary), substring_dedup.WordHashes(), 20
     for _ in range(30):
@@ -84,7 +84,7 @@ def test_shard_misses_nothing(vocabulary, places, monkeypatch):
             for i, window in enumerate(windows[doc]):
                 earlier = [j for j, w in enumerate(windows[1]) if w == window and (1, j) < (doc, i)]
                 assert known[doc][i] != 2 or earlier
-                assert known[doc][i] == 2 or not earlier or (known[doc][i] in (0, 3) and any(known[1][j] in (0, 2, 3) for j in earlier))
+                assert known[doc][i] == 2 or not earlier
 
 
 def test_line_dedup(spark, rows):
