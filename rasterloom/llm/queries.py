@@ -9,12 +9,15 @@ from rasterloom.llm import chat as C
 from rasterloom.llm import jaccard_join as J
 from rasterloom.llm import line_dedup as L
 from rasterloom.llm import mixing as M
+from rasterloom.llm import phrases as H
 from rasterloom.llm import pivot_search as P
 from rasterloom.llm import quality as Y
 from rasterloom.llm import rp_forest as R
 from rasterloom.llm import segmentation as S
+from rasterloom.llm import sharding as B
 from rasterloom.llm import substring_dedup as D
 from rasterloom.llm import toxicity as T
+from rasterloom.llm import vector_codes as V
 from rasterloom.llm.common import table
 
 
@@ -136,6 +139,82 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from judged group by doc_id"""
 
 
+def op11_vector_codes(s, d):
+    return V.report(table(s, d, "embeddings"))
+
+
+def _op11_assign(book: str, vectors: str = "cut") -> str:
+    """Nearest entry of ``book`` for every part, ties to the lower index."""
+    return f"""select c.vec_id, c.part, arg_min({{'entry': b.entry, 'd': list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))}},
+      {{'d': list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'entry': b.entry}}) as best
+    from {vectors} c join {book} b on c.part = b.part group by c.vec_id, c.part"""
+
+
+def _op11_move(book: str, near: str) -> str:
+    """The entries of ``book`` after a round: floors of means, unused entries as they were."""
+    return f"""select b.part, b.entry, coalesce(m.v, b.v) as v from {book} b left join (
+      select part, entry, list(cast((total - (((total % n) + n) % n)) // n as bigint) order by pos) as v from (
+        select part, entry, pos, sum(x) as total, count(*) as n from (
+          select c.part, a.best.entry as entry, unnest(c.v) as x, unnest(range(len(c.v))) as pos
+          from {near} a join cut c on a.vec_id = c.vec_id and a.part = c.part) group by part, entry, pos) group by part, entry) m
+    on b.part = m.part and b.entry = m.entry"""
+
+
+OP11_SQL = f"""with kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cut as materialized (select vec_id, part, e[part * (len(e) // 16) + 1 : (part + 1) * (len(e) // 16)] as v from kept, range(16) p(part)),
+book0 as materialized (
+  select part, entry, v from cut join (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept order by vec_id limit 64) using (vec_id)),
+near0 as materialized ({_op11_assign("book0")}),
+book1 as materialized ({_op11_move("book0", "near0")}),
+near1 as materialized ({_op11_assign("book1")}),
+book2 as materialized ({_op11_move("book1", "near1")}),
+near2 as materialized ({_op11_assign("book2")}),
+coded as (select vec_id, string_agg(printf('%02x', best.entry), '' order by part) as code, cast(sum(best.d) as bigint) as error from near2 group by vec_id)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) from book2) as codebooks_sha256
+from coded join kept using (vec_id)"""
+
+
+def op12_phrases(s, d):
+    return H.report(table(s, d, "documents"))
+
+
+OP12_SQL = r"""with pieces as (
+  select doc, lang, piece, regexp_extract_all(p, '[^\x20\x09]+') as w from (
+    select doc, lang, unnest(ps) as p, unnest(range(len(ps))) as piece from (
+      select row_number() over () as doc, coalesce(lang, 'und') as lang,
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps
+      from documents))),
+grams as materialized (
+  select lang, k, phrase, count(*) as f from (
+    select lang, k, unnest(list_transform(range(1, cast(len(w) as bigint) - k + 2), lambda i: w[i : i + k - 1])) as phrase from pieces, (values (1), (2), (3)) t(k))
+  group by lang, k, phrase),
+totals as (select lang, cast(sum(f) as bigint) as n from grams where k = 1 group by lang),
+candidates as materialized (select lang, k, phrase, f as a from grams where k > 1 and f >= 10),
+cuts as (
+  select c.lang, c.k, c.phrase, c.a, x.k as j, x.f as l, y.f as r,
+    cast(cast(1000000 as hugeint) * c.a * c.a // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from candidates c, (values (1), (2)) t(j)
+  join grams x on x.lang = c.lang and x.phrase = c.phrase[1 : t.j] join grams y on y.lang = c.lang and y.phrase = c.phrase[t.j + 1 : c.k]
+  where t.j < c.k),
+scored as (select lang, k, phrase, a, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'j': j}) as b from cuts group by lang, k, phrase, a),
+inside as (
+  select lang, p as phrase, max(a) as most from (
+    select lang, a, unnest([phrase[1:2], phrase[2:3]]) as p from candidates where k = 3) group by lang, p),
+ranked as (
+  select s.lang, array_to_string(s.phrase, ' ') as phrase, a, b.l as l, b.r as r, b.score as score,
+    row_number() over (partition by s.lang order by b.score desc, a desc, encode(array_to_string(s.phrase, ' '))) as rank
+  from scored s left join inside i on s.lang = i.lang and s.phrase = i.phrase
+  where s.k = 3 or i.most is null or 100 * i.most < 50 * s.a)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000"""
+
+
+def op13_sharding(s, d):
+    return B.report(table(s, d, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op2_chat": (op2_chat, OP2_SQL),
@@ -147,5 +226,8 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_segmentation": (op9_segmentation, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_vector_codes": (op11_vector_codes, OP11_SQL),
+    "op12_phrases": (op12_phrases, OP12_SQL),
+    "op13_sharding": (op13_sharding, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
