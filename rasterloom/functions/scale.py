@@ -15,7 +15,7 @@ BLOCK_ROWS = 1 << 18
 # A dimension with at most this many rows may be broadcast.
 BROADCAST_ROWS = 20_000
 
-# Copies of the unhinted side when a dimension is too large to broadcast.
+# Least copies of the unhinted side when a dimension is too large to broadcast.
 SALTS = 32
 
 
@@ -95,13 +95,15 @@ def dimension_join(
 ) -> DataFrame:
     """Inner join of a fact table with a dimension on few, hot keys.
 
-    A dimension of checked size is broadcast. A larger one is copied over ``SALTS`` salts and
-    the facts are spread over the same salts by ``spread``, so that one hot key is cut up.
+    A dimension of checked size is broadcast. A larger one is copied over salts, as many as a shuffle
+    has partitions (``SALTS`` at least), and the facts are spread over the same salts by ``spread``, so that one hot key is
+    cut up and all tasks have work.
     """
     if is_small(dim, max_rows):
         return facts.join(F.broadcast(dim), keys)
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return salted.join(salted_dim, [*keys, "_salt"]).drop("_salt")
 
 

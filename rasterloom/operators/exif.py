@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import schemas
 from rasterloom.functions.ship import ship_package
+from rasterloom.operators.runner import ToolError
 from rasterloom.sources import exif as reader
 
 # Tags and their labels in order.
@@ -84,3 +85,15 @@ def orientations(tags: DataFrame) -> DataFrame:
     return tags.filter((F.col("ifd") == "ifd0") & (F.col("tag") == TAGS["orientation"])).select(
         "image_id", F.col("num").cast("int").alias("orientation")
     )
+
+
+def metadata_remover():
+    """File kernel (see :mod:`rasterloom.operators.runner`): the same JPEG without its metadata segments."""
+    def remove(file: dict) -> dict:
+        try:
+            data = reader.without_metadata(bytes(file["content"]))
+        except ValueError as broken:
+            raise ToolError(str(broken)) from broken
+        return {"output": data, "out_bytes": len(data)}
+
+    return remove

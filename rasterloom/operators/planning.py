@@ -2,43 +2,158 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
 from rasterloom.functions.rounding import half_up
 from rasterloom.functions.scale import BLOCK_ROWS, BROADCAST_ROWS, dimension_join, pos_block, running
+from rasterloom.operators import runner
 from rasterloom.operators import tools as T
+from rasterloom.operators.catalog import validate_recipes
 from rasterloom.operators.intake import REJECT_MESSAGES, intake_guard, reject_reason
 
 # ---- renditions -------------------------------------------------------------------------
 
 
-def rendition_plan(images: DataFrame, recipes: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per accepted image and per-image recipe: output size, format and name.
+PLAN_COLUMNS = (
+    "grain string, image_id bigint, album string, pos int, recipe_id string, tool_id string, out_width bigint, out_height bigint, "
+    "out_mime string, out_name string, knob string, setting double, fits boolean, reason string, failed string"
+)
+MERGED_NAME = "merged.png"
+
+
+def column_names() -> list[str]:
+    return [f.split(" ")[0] for f in PLAN_COLUMNS.split(", ")]
 
-    Work that its tool refuses (see :func:`refusal`) stays in the plan with its ``reason`` and no
-    output size. ``images`` has ``size_bytes`` besides the catalogue's columns.
 
-    ``recipes`` is (recipe_id, tool_id, params). The theta condition "the tool accepts the
-    type" becomes an equi-join by listing each recipe under the types its tool accepts. Merge
-    makes one output per album and is planned by :func:`merge_layout` instead.
+def rendition_plan(
+    images: DataFrame, recipes: DataFrame, rungs: DataFrame | None = None, max_broadcast: int = BROADCAST_ROWS
+) -> DataFrame:
+    """What every recipe makes of every image or album: rows of three grains in one table.
+
+    * ``image``: an accepted image and a per-image recipe. Compression to a target size has its ``knob`` and
+      ``setting`` from the measured ``rungs`` (image_id, k, size_bytes; see :func:`target_settings`); a PNG shrinks by it.
+    * ``album``: the accepted images of an album and a merge recipe.
+    * ``recipe``: a recipe whose settings are out of range, or whose tool is unknown, once, with what ``failed``.
+
+    Work that cannot be done stays in the plan with its ``reason`` and no output size. ``images`` has ``size_bytes``
+    besides the catalogue's columns; ``recipes`` is (recipe_id, tool_id, params). The theta condition "the tool accepts the
+    type" becomes an equi-join by listing each recipe under the types its tool accepts.
     """
-    spark = images.sparkSession
-    dim = T.tools(spark).filter("tool_id <> 'merge'")
-    listed = (
-        recipes.join(F.broadcast(dim), "tool_id")
-        .withColumn("mime", F.explode("accepted_types"))
-        .select("recipe_id", "tool_id", "params", "mime", "suffix", "out_ext")
-    )
+    dim = F.broadcast(T.tools(images.sparkSession).select("tool_id", "accepted_types", "suffix", "out_ext"))
+    judged = validate_recipes(recipes).join(dim, "tool_id", "left")
+    usable = judged.filter(F.col("valid") & F.col("suffix").isNotNull())
+    parts = [
+        _image_rows(images, usable.filter("tool_id <> 'merge'"), rungs, max_broadcast),
+        _album_rows(images, usable.filter("tool_id = 'merge'"), max_broadcast),
+        _recipe_rows(judged),
+    ]
+    return reduce(DataFrame.unionByName, [_plan_columns(part) for part in parts])
+
+
+def _plan_columns(part: DataFrame) -> DataFrame:
+    """The plan's columns in order; those a grain does not have are null."""
+    fields = [f.split(" ") for f in PLAN_COLUMNS.split(", ")]
+    return part.select(*[(F.col(n) if n in part.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
+def _image_rows(images: DataFrame, usable: DataFrame, rungs: DataFrame | None, max_broadcast: int) -> DataFrame:
+    listed = usable.withColumn("mime", F.explode("accepted_types")).select("recipe_id", "tool_id", "params", "mime", "suffix", "out_ext")
     planned = dimension_join(images, listed, ["mime"], F.col("image_id"), max_broadcast)
     planned = planned.withColumn("reason", refusal(F.col("tool_id")))
-    open_ = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
-    return planned.select("image_id", "album", "pos", "recipe_id", "tool_id", "reason", *_rendition_columns()).select(
-        "image_id", "album", "pos", "recipe_id", "tool_id", open_("out_width"), open_("out_height"), "out_mime", "out_name", "reason"
+    asked = (F.col("tool_id") == "compress") & (_param("mode", "quality", "string") == "target")
+    budget = F.when(asked, (_param("targetKb", 500.0, "double") * 1024).cast("bigint"))
+    planned = planned.select("image_id", "album", "pos", "recipe_id", "tool_id", "reason", budget.alias("budget"), *_rendition_columns())
+    if rungs is None:
+        found = planned.withColumns({"bit": F.lit(None).cast("int"), "met": F.lit(None).cast("boolean")})
+    else:
+        wanted = planned.filter(F.col("budget").isNotNull()).select("image_id", "recipe_id", "budget")
+        found = planned.join(target_settings(wanted, rungs), ["image_id", "recipe_id"], "left")
+    targeted = F.col("budget").isNotNull()
+    png = F.col("out_mime") == "image/png"
+    searched = search_setting(F.col("bit"), png)
+    reason = F.coalesce("reason", F.when(targeted & F.col("bit").isNull(), F.lit("not_measured")))
+    done = reason.isNull()
+    side = lambda c: F.when(targeted & png, rules.at_least_one(F.col(c) * searched)).otherwise(F.col(c))
+    return found.select(
+        F.lit("image").alias("grain"), "image_id", "album", "pos", "recipe_id", "tool_id", reason.alias("reason"), "out_mime", "out_name",
+        *[F.when(done, side(c)).alias(c) for c in ("out_width", "out_height")],
+        F.when(done, F.when(targeted & png, F.lit("scale")).when(targeted, F.lit("quality")).when(F.col("tool_id") == "compress", F.lit("quality"))).alias("knob"),
+        F.when(done, F.when(targeted, searched).when(F.col("tool_id") == "compress", F.col("encoder_quality"))).alias("setting"),
+        F.when(done, F.col("met")).alias("fits"),
     )
 
 
+def _album_rows(images: DataFrame, merges: DataFrame, max_broadcast: int) -> DataFrame:
+    """One row per album with an accepted image and merge recipe; canvas sizes are sums and maxima per album."""
+    members = images.filter(F.col("mime").isin(*T.ACCEPTED_TYPES)).select("album", "width", "height")
+    stats = members.groupBy("album").agg(
+        F.count(F.lit(1)).alias("files"), *[F.max(c).cast("bigint").alias(f"max_{c}") for c in ("width", "height")],
+        *[F.sum(c).cast("bigint").alias(f"sum_{c}") for c in ("width", "height")])
+    # Scaled to the longest side across the stack, for both directions at once.
+    drawn = lambda main, cross: rules.at_least_one(F.col(main) * F.when(
+        F.col(cross) > 0, F.col(f"max_{cross}").cast("double") / F.col(cross)).otherwise(F.lit(1.0)))
+    filled = members.join(stats.select("album", "max_width", "max_height"), "album").groupBy("album").agg(
+        F.sum(drawn("width", "height")).alias("fill_width"), F.sum(drawn("height", "width")).alias("fill_height"))
+    albums = stats.join(filled, "album").withColumn("tool_id", F.lit("merge"))
+    planned = dimension_join(albums, merges.select("recipe_id", "tool_id", "params"), ["tool_id"], F.col("album"), max_broadcast)
+    across = _param("direction", "vertical", "string") == "horizontal"
+    fill = _param("resize", "none", "string") == "fill"
+    size = lambda c, along: F.when(along, F.when(fill, F.col(f"fill_{c}")).otherwise(F.col(f"sum_{c}"))).otherwise(F.col(f"max_{c}"))
+    reason = F.when(F.col("files") < 2, F.lit("too_few_files"))
+    return planned.select(
+        F.lit("album").alias("grain"), "album", "recipe_id", "tool_id", reason.alias("reason"),
+        F.when(reason.isNull(), size("width", across)).alias("out_width"), F.when(reason.isNull(), size("height", ~across)).alias("out_height"),
+        F.lit("image/png").alias("out_mime"), F.lit(MERGED_NAME).alias("out_name"))
+
+
+def _recipe_rows(judged: DataFrame) -> DataFrame:
+    unknown = F.col("suffix").isNull()
+    return judged.filter(unknown | ~F.col("valid")).select(
+        F.lit("recipe").alias("grain"), "recipe_id", "tool_id", F.when(unknown, F.lit("unknown_tool")).otherwise(F.lit("invalid_settings")).alias("reason"),
+        F.when(~unknown, F.array_join("failed", ",")).alias("failed"))
+
+
+# ---- target sizes -----------------------------------------------------------------------
+
+# Steps of the search and its range; the upper end for PNG, where the sides shrink, is 1.
+SEARCH_STEPS, LOW, HIGH, HIGH_SCALE = 7, 0.05, 0.95, 1.0
+
+
+def target_settings(wanted: DataFrame, rungs: DataFrame, steps: int = SEARCH_STEPS) -> DataFrame:
+    """(image_id, recipe_id, bit, met) for ``wanted`` (image_id, recipe_id, budget): the rung the search ends at.
+
+    A rung only matters by whether it fits, so a ladder becomes one bit per rung (OR is combined before the shuffle) and
+    the bisection reads its bits: exact for any sizes, growing with k or not. Rung 0 is left where nothing
+    fits; ``met`` tells whether the size found is within the budget. ``rungs`` may have a recipe_id of its own.
+    """
+    on = [c for c in ("image_id", "recipe_id") if c in rungs.columns]
+    words = max(1, (1 << steps) // 64)
+    fits = (F.col("size_bytes") <= F.col("budget")) & F.col("k").between(0, (1 << steps) - 1)
+    bits = [
+        F.bit_or(F.when(fits & (F.floor(F.col("k") / 64) == w), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("k") % 64).cast("int")))
+                 .otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(words)]
+    ladders = wanted.join(rungs, on).groupBy("image_id", "recipe_id").agg(*bits)
+    taken = lambda k: F.call_function(
+        "shiftright", F.when(k < 64, F.col("w0")).otherwise(F.col("w1")) if words == 2 else F.col("w0"), (k % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    state = ladders.withColumns({"low": F.lit(0), "high": F.lit(1 << steps)})
+    for _ in range(steps):
+        state = state.withColumn("mid", F.shiftright(F.col("low") + F.col("high"), 1)).withColumn("fit", taken(F.col("mid")))
+        state = state.withColumns({"low": F.when(F.col("fit"), F.col("mid")).otherwise(F.col("low")), "high": F.when(F.col("fit"), F.col("high")).otherwise(F.col("mid"))})
+    return state.select("image_id", "recipe_id", F.col("low").alias("bit"), taken(F.col("low")).alias("met"))
+
+
+def search_setting(k: Column, shrinks: Column, steps: int = SEARCH_STEPS) -> Column:
+    """Quality (or scale, where the format has none) at rung ``k``."""
+    top = F.when(shrinks, F.lit(HIGH_SCALE)).otherwise(F.lit(HIGH))
+    return F.lit(LOW) + (top - F.lit(LOW)) * k / F.lit(float(1 << steps))
+
+
+# ---- one image --------------------------------------------------------------------------
+
 # The tools that a service runs, with its limits on files.
 SERVICE_TOOLS = ("convert-svg", "upscale", "ocr")
 
@@ -119,6 +234,7 @@ def _rendition_columns() -> list[Column]:
         dims(F.col("width"), F.col("height"), 1).alias("out_height"),
         fmt.alias("out_mime"),
         name.alias("out_name"),
+        rules.clamp_quality(_param("quality", 75.0, "double")).alias("encoder_quality"),
     ]
 
 
@@ -195,17 +311,25 @@ def preview_top4(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("preview_pos", rank).filter("preview_pos <= 4")
 
 
-def batch_run(images: DataFrame, tool_id: str | None = None) -> DataFrame:
-    """Every file is attempted; ``ok`` and ``message`` tell how it went, in list order.
+def batch_run(
+    images: DataFrame, tool_id: str | None = None, kernel=None, output: str = "", fallback: str = "The image could not be processed.",
+    reads: tuple[str, ...] = ("content",), drops: tuple[str, ...] = ("content",),
+) -> DataFrame:
+    """Every file is attempted; ``ok`` and ``message`` tell how it went, in list order (``pos``).
 
-    With a tool, what that tool refuses fails too."""
+    Guards come first; with a tool, what that tool refuses fails too. With a file ``kernel`` (a loader, see
+    :func:`rasterloom.operators.runner.attempt`) the tool itself then works on each file that is left: its columns ``output`` join
+    the row, and what it raises fails that file only.
+    """
     guarded = intake_guard(images)
     if tool_id is not None:
         guarded = guarded.withColumn("reason", F.coalesce("reason", refusal(F.lit(tool_id))))
     message = F.lit(None).cast("string")
     for reason, text in REJECT_MESSAGES.items():
         message = F.when(F.col("reason") == reason, F.lit(text)).otherwise(message)
-    return guarded.withColumn("ok", F.col("reason").isNull()).withColumn("message", message)
+    if kernel is None:
+        return guarded.withColumn("ok", F.col("reason").isNull()).withColumn("message", message)
+    return runner.attempt(guarded.withColumn("_refused", message), kernel, output, fallback, list(reads), drops, "_refused").drop("_refused")
 
 
 def renditions(run: DataFrame) -> DataFrame:
@@ -312,14 +436,13 @@ def budget_search(images: DataFrame, rungs: DataFrame, target: Column, steps: in
         )
 
     is_png = rules.output_format(F.col("mime")) == "image/png"
-    top = F.when(is_png, F.lit(1.0)).otherwise(F.lit(0.95))
     return (
         images.join(ladder, "image_id", "left")
         .withColumn("_budget", target)
         # An image without a ladder stays, with nothing found.
         .withColumn("k", F.when(F.col("_sizes").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["best"]))
         .withColumn("size_at_k", F.element_at("_sizes", F.col("k")))
-        .withColumn("setting", F.lit(0.05) + (top - F.lit(0.05)) * F.col("k") / F.lit(float(1 << steps)))
+        .withColumn("setting", search_setting(F.col("k"), is_png, steps))
         .withColumn("knob", F.when(is_png, F.lit("scale")).otherwise(F.lit("quality")))
         .withColumn("fits", F.col("size_at_k") <= F.col("_budget"))
         .drop("_sizes", "_budget")

@@ -8,8 +8,8 @@ from rasterloom import schemas
 from rasterloom.functions.scale import work_dir
 from rasterloom.operators import exif as E
 from rasterloom.operators import ocr as O
-from rasterloom.operators import pixels_geometry as G
 from rasterloom.operators import pixels_point as P
+from rasterloom.operators import planning, plugins
 from rasterloom.operators import tools as T
 from rasterloom.plans import views as V
 from rasterloom.plans.catalog_queries import REASON
@@ -60,7 +60,7 @@ def _scan_pixels(s, d):
 def _renditions(s, d):
     folder = work_dir(s, "renditions")
     sinks.write_renditions(_plan(s, d), folder)
-    return s.read.parquet(folder).select("image_id", "album", "pos", "recipe_id", "tool_id", "out_width", "out_height", "out_mime", "out_name", "reason")
+    return s.read.parquet(folder).select(*planning.column_names())
 
 
 def _named_texts(s, d):
@@ -84,14 +84,8 @@ def _stream(s, d):
     return s.read.parquet(target).select("image_id", "album", "pos", "file_name", "mime", "size_bytes", "reason", "status")
 
 
-def _register():
-    for name, transform in (("remove-background", P.background_key), ("sepia", P.adjust_sepia), ("margin", G.margin_paint)):
-        if name not in T._PLUGINS:
-            T.register_tool(name, transform)
-
-
 def _chain(s, d):
-    _register()
+    plugins.register_all()
     return T.chain_tools(
         P.with_dims(X.pixels(s, d)),
         ("remove-background", {"color": "#ffffff", "tolerance": 40, "smoothing": 20}),
@@ -100,6 +94,17 @@ def _chain(s, d):
     )
 
 
+def _forms(s, d, *steps):
+    """A transformation, an iterator kernel and table functions in one chain."""
+    plugins.register_all()
+    return T.chain_tools(P.with_dims(X.pixels(s, d)), ("sepia", {"percent": 75}), ("tone", {"strength": 2}), ("mask", {"level": 60}), *steps)
+
+
+TONE = "((({0}*{0}+127)//255)*(({0}*{0}+127)//255)+127)//255"
+FORMS = SZ + ", sep as (" + _sepia_sql("sized", 75) + "), toned as (select * replace (" + ", ".join(
+    f"cast({TONE.format(c)} as int) as {c}" for c in "rgb") + """) from sep),
+  masked as (select *, case when (299*r+587*g+114*b)//1000 >= 60 then 255 else 0 end as mask from toned)"""
+
 QUERIES = {
     "exif_scan": (
         _tags,
@@ -128,6 +133,10 @@ QUERIES = {
         _stream,
         V.cte(V.IMAGES) + f"""select image_id, album, pos, file_name, mime, size_bytes, {REASON} as reason,
           case when ({REASON})='too_large' then 413 when ({REASON}) is not null then 400 end as status from images"""),
+    "chain_tools_forms": (_forms, FORMS + " select image_id, y, x, r, g, b, a, width, height, mask from masked join dims using (image_id)"),
+    "chain_tools_strips": (
+        lambda s, d: _forms(s, d, ("strips", {"height": 8})),
+        FORMS + " select image_id, y//8 as strip, count(*) filter (mask=255) as bright from masked group by 1, 2"),
     "chain_tools": (
         _chain,
         SZ + "," + _key_sql((255, 255, 255), 40, 20) + ", sep as (" + _sepia_sql("keyed", 75) + """),

@@ -4,32 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterloom.functions.scale import numbered, pos_block
 from rasterloom.operators import catalog as C
+from rasterloom.operators import exif as E
 from rasterloom.operators import intake as I
 from rasterloom.operators import planning as P
+from rasterloom.operators import runner as R
 from rasterloom.plans import views as V
 from rasterloom.plans.catalog_queries import REASON, SIZE_LABEL, _half, _one
 from rasterloom.sources import fixtures as X
 
 IMG = V.cte(V.IMAGES)
 
+# Per tool: defaults, edges of the settings, and settings that are refused.
 RECIPES = [
+    ("whole", "resize", {}),
+    ("turn", "resize", {"rotate": "90"}),
+    ("cut", "resize", {"rotate": "270", "cropX": "0.1", "cropY": "0.25", "cropWidth": "0.5", "cropHeight": "0.6"}),
+    ("cut-wide", "resize", {"cropX": "0.5", "cropWidth": "0.9", "width": "640.4"}),
     ("scale-half", "scale", {}),
+    ("scale-most", "scale", {"percent": "200"}),
     ("scale-fit", "scale", {"mode": "fit", "fitWidth": "800", "fitHeight": "600"}),
+    ("scale-500", "scale", {"percent": "500", "fitWidth": "15"}),
     ("webp", "convert", {"format": "image/webp"}),
     ("icon", "convert", {"format": "image/x-icon", "size": "300"}),
-    ("small", "compress", {"maxSize": "1000"}),
+    ("svg", "convert-svg", {}),
+    ("compressed", "compress", {}),
+    ("small", "compress", {"maxSize": "1000", "quality": "95"}),
+    ("fit-500", "compress", {"mode": "target"}),
+    ("fit-10", "compress", {"mode": "target", "targetKb": "10", "maxSize": "320"}),
+    ("fit-1", "compress", {"mode": "target", "targetKb": "1", "quality": "9"}),
+    ("clean", "strip-metadata", {}),
+    ("cutout", "remove-background", {"tolerance": "18"}),
+    ("cutout-0", "remove-background", {"tolerance": "0"}),
+    ("warm", "adjust", {"sepia": "100"}),
+    ("dark", "adjust", {"brightness": "-1", "blur": "many"}),
     ("frame", "margin", {"unit": "percent", "all": "10", "opacity": "50"}),
     ("edge", "margin", {"linked": "false", "top": "1", "right": "2", "bottom": "3", "left": "4"}),
+    ("frame-120", "margin", {"opacity": "120"}),
+    ("stack", "merge", {}),
+    ("row", "merge", {"direction": "horizontal"}),
+    ("stack-fill", "merge", {"resize": "fill"}),
+    ("row-fill", "merge", {"direction": "horizontal", "resize": "fill", "alignment": "end"}),
     ("big", "upscale", {}),
-    ("turn", "resize", {"rotate": "90"}),
-    ("cut", "resize", {"rotate": "270", "cropX": "0.1", "cropY": "0.25", "cropWidth": "0.5", "cropHeight": "0.6"}),
-    ("cut-wide", "resize", {"cropX": "0.5", "cropWidth": "0.9", "width": "640.4"}),
-    ("cutout", "remove-background", {"tolerance": "18"}),
-    ("clean", "strip-metadata", {}),
-    ("warm", "adjust", {"sepia": "40"}),
-    ("svg", "convert-svg", {}),
     ("text", "ocr", {}),
+    ("text-none", "ocr", {"lang": ""}),
+    ("glow", "sparkle", {}),
 ]
 
 
@@ -45,30 +65,70 @@ def _crop(side, at, part):
     return f"greatest(1,least({_half(f'{side}*{part}::double')},{side}-{start}))"
 
 
-PLAN = f"""j as (select i.*, r.recipe_id, r.tool_id, t.suffix, t.out_ext,
+def _bisected(rows, key):
+    """The search replayed over a list of sizes, step by step: rung ``b7`` for rows with ``sizes`` and ``budget``."""
+    steps = [f"b0 as (select {key}, budget, sizes, 0 as lo0, 128 as hi0, 0 as b0 from {rows})"]
+    for i in range(1, 8):
+        low, high, mid = f"lo{i - 1}", f"hi{i - 1}", f"((lo{i - 1}+hi{i - 1})//2)"
+        fits = f"sizes[{mid}+1]<=budget"
+        steps.append(f"""b{i} as (select {key}, budget, sizes, case when {fits} then {mid} else {low} end as lo{i}, case when {fits} then {high} else {mid} end as hi{i},
+          case when {fits} then {mid} else b{i - 1} end as b{i} from b{i - 1})""")
+    return ",\n".join(steps)
+
+
+SHRUNK = lambda side, top: f"case when width<={top} and height<={top} then {side} else {_half(f'{side}*({top}::double/greatest(width,height))')} end"
+PLAN = f"""ladders as (select image_id, list(size_bytes order by k) as sizes from rungs group by 1),
+aimed as (select image_id, recipe_id, budget, sizes from ladders, (values ('fit-500', 512000), ('fit-10', 10240)) t(recipe_id, budget)),
+{_bisected("aimed", "image_id, recipe_id")},
+j as (select i.*, r.recipe_id, r.tool_id, t.suffix, t.out_ext, b7, sizes[b7+1]<=budget as met,
     regexp_replace(file_name, '\\.[^/.]+$', '') as stem,
     case when recipe_id='webp' then 'image/webp' when recipe_id='icon' then 'image/x-icon' when recipe_id='svg' then 'image/svg+xml'
       when recipe_id='text' then 'text/plain' when recipe_id in ('cutout','big','frame') then 'image/png' else {KEEP} end as out_mime
-  from images i join accepts a using (mime) join tools t using (tool_id) join recipes r using (tool_id)),
+  from images i join accepts a using (mime) join tools t using (tool_id) join recipes r using (tool_id) left join b7 using (image_id, recipe_id)
+  where tool_id<>'merge' and recipe_id not in ('scale-500','fit-1','cutout-0','dark','frame-120','text-none')),
 ext as (select *, coalesce(out_ext, case out_mime when 'image/jpeg' then 'jpg' when 'image/png' then 'png' when 'image/webp' then 'webp' when 'image/x-icon' then 'ico' end) as ext,
-    least(width,height)*10.0::double/100 as pc from j),
+    least(width,height)*10.0::double/100 as pc, 0.05::double+(case when out_mime='image/png' then 1.0::double else 0.95::double end-0.05::double)*b7/128.0::double as found from j),
+dimmed as (select *, {", ".join(f"greatest(1, {SHRUNK(c, 1600)}) as {c[0]}1600, greatest(1, {SHRUNK(c, 320)}) as {c[0]}320" for c in ("width", "height"))} from ext),
 sized_plan as (select image_id, album, pos, recipe_id, tool_id,
-  cast(case recipe_id when 'scale-half' then {_one('width*(50/100.0::double)')} when 'scale-fit' then {_one('width*least(800::double/width,600::double/height,1.0::double)')}
-    when 'icon' then 256 when 'small' then greatest(1, case when width<=1000 and height<=1000 then width else {_half('width*(1000::double/greatest(width,height))')} end)
+  cast(case recipe_id when 'scale-half' then {_one('width*(50/100.0::double)')} when 'scale-most' then width*2 when 'scale-fit' then {_one('width*least(800::double/width,600::double/height,1.0::double)')}
+    when 'icon' then 256 when 'compressed' then w1600 when 'small' then greatest(1, {SHRUNK('width', 1000)})
+    when 'fit-500' then case when out_mime='image/png' then {_one('w1600*found')} else w1600 end when 'fit-10' then case when out_mime='image/png' then {_one('w320*found')} else w320 end
     when 'frame' then width+2*greatest(0,{_half('pc')}) when 'edge' then width+6 when 'big' then width*4 when 'turn' then height when 'cut' then {_crop('height', 0.1, 0.5)} when 'cut-wide' then 640 else width end as bigint) as out_width,
-  cast(case recipe_id when 'scale-half' then {_one('height*(50/100.0::double)')} when 'scale-fit' then {_one('height*least(800::double/width,600::double/height,1.0::double)')}
-    when 'icon' then 256 when 'small' then greatest(1, case when width<=1000 and height<=1000 then height else {_half('height*(1000::double/greatest(width,height))')} end)
+  cast(case recipe_id when 'scale-half' then {_one('height*(50/100.0::double)')} when 'scale-most' then height*2 when 'scale-fit' then {_one('height*least(800::double/width,600::double/height,1.0::double)')}
+    when 'icon' then 256 when 'compressed' then h1600 when 'small' then greatest(1, {SHRUNK('height', 1000)})
+    when 'fit-500' then case when out_mime='image/png' then {_one('h1600*found')} else h1600 end when 'fit-10' then case when out_mime='image/png' then {_one('h320*found')} else h320 end
     when 'frame' then height+2*greatest(0,{_half('pc')}) when 'edge' then height+4 when 'big' then height*4 when 'turn' then width when 'cut' then {_crop('width', 0.25, 0.6)} else height end as bigint) as out_height,
   out_mime, case when tool_id='ocr' then concat(stem,'.txt') else concat(stem,'-',case when recipe_id='icon' then 'icon' else suffix end,'.',ext) end as out_name,
+  case when tool_id<>'compress' then null when out_mime='image/png' and b7 is not null then 'scale' else 'quality' end as knob,
+  case recipe_id when 'compressed' then 0.75::double when 'small' then 0.95::double else found end as setting, met as fits,
   case when tool_id in ('convert-svg','upscale','ocr') and size_bytes=0 then 'empty' when tool_id in ('convert-svg','upscale','ocr') and size_bytes>10*1024*1024 then 'too_large'
     when tool_id='upscale' and greatest(width,height)>1500 then 'side_too_long' end as reason
-  from ext),
-rendition_plan as (select * replace (case when reason is null then out_width end as out_width, case when reason is null then out_height end as out_height) from sized_plan)"""
-PLAN_CTE = V.cte(V.IMAGES, V.TOOLS, DUCK_RECIPES, PLAN)
-
-
-def _plan(s, d):
-    return P.rendition_plan(X.spread(X.images(s, d)), recipes(s))
+  from dimmed),
+members as (select *, max(width) over (partition by album) as mw, max(height) over (partition by album) as mh from images where mime<>'image/gif'),
+canvas as (select album, count(*) as files, max(width) as mw, max(height) as mh, sum(width) as sw, sum(height) as sh,
+    sum({_one('width*(mh::double/height)')}) as fw, sum({_one('height*(mw::double/width)')}) as fh from members group by 1),
+merged as (select album, recipe_id, files, case recipe_id when 'row' then sw when 'row-fill' then fw else mw end as w, case recipe_id when 'stack' then sh when 'stack-fill' then fh else mh end as h
+  from canvas, (values ('stack'), ('row'), ('stack-fill'), ('row-fill')) m(recipe_id)),
+rendition_plan as (select 'image' as grain, * replace (case when reason is null then out_width end as out_width, case when reason is null then out_height end as out_height,
+    case when reason is null then round(setting, 9) end as setting), null::varchar as failed from sized_plan
+  union all by name select 'album' as grain, null::bigint as image_id, album, null::int as pos, recipe_id, 'merge' as tool_id, cast(case when files>1 then w end as bigint) as out_width,
+    cast(case when files>1 then h end as bigint) as out_height, 'image/png' as out_mime, 'merged.png' as out_name, case when files<2 then 'too_few_files' end as reason from merged
+  union all by name select 'recipe' as grain, recipe_id, tool_id, reason, failed from (values ('scale-500','scale','invalid_settings','fitWidth,percent'), ('fit-1','compress','invalid_settings','quality,targetKb'),
+    ('cutout-0','remove-background','invalid_settings','tolerance'), ('dark','adjust','invalid_settings','blur,brightness'), ('frame-120','margin','invalid_settings','opacity'),
+    ('text-none','ocr','invalid_settings','lang'), ('glow','sparkle','unknown_tool',null)) v(recipe_id, tool_id, reason, failed))"""
+PLAN_CTE = V.cte(V.IMAGES, V.RUNGS, V.TOOLS, DUCK_RECIPES, PLAN)
+
+
+def _plan(s, d, max_broadcast=P.BROADCAST_ROWS):
+    plan = P.rendition_plan(X.spread(X.images(s, d)), recipes(s), X.rungs(s, d), max_broadcast)
+    return plan.withColumn("setting", F.round("setting", 9))
+
+
+def _small_albums(s, d):
+    """Albums so small that some hold a single accepted image, planned without measured sizes."""
+    images = X.images(s, d).withColumn("album", F.concat("album", F.lit("/"), (F.col("image_id") % 23).cast("string")))
+    return P.rendition_plan(images, recipes(s)).filter("grain = 'album' or reason = 'not_measured'").select(
+        "grain", "image_id", "album", "recipe_id", "out_width", "out_height", "reason")
 
 
 def _keyed(s, d):
@@ -120,16 +180,10 @@ def _duck_layout(horizontal, align, fill):
         cast({off} as bigint) as place_{across}, cast(sum(draw_{main}) over (partition by album) as bigint) as canvas_{main}, cast({target} as bigint) as canvas_{cross} from r"""
 
 
-BUDGET = V.cte(V.IMAGES, V.RUNGS, """t as (select image_id, mime, size_bytes*2//3 as budget from images),
-l as (select image_id, list(size_bytes order by k) as sizes from rungs group by 1),
-""" + ",\n".join(
-    f"s{i} as (select *, case when f then m else lo end as lo{i}, case when f then hi else m end as hi{i}, case when f then m else bst end as b{i} from "
-    f"(select * exclude ({'lo, hi, bst, m, f, lo%d, hi%d, b%d' % (i-1, i-1, i-1) if i > 1 else 'dummy'}), "
-    f"{'lo%d' % (i-1) if i > 1 else '0'} as lo, {'hi%d' % (i-1) if i > 1 else '128'} as hi, {'b%d' % (i-1) if i > 1 else '0'} as bst, "
-    f"(({'lo%d' % (i-1) if i > 1 else '0'})+({'hi%d' % (i-1) if i > 1 else '128'}))//2 as m, sizes[(({'lo%d' % (i-1) if i > 1 else '0'})+({'hi%d' % (i-1) if i > 1 else '128'}))//2+1]<=budget as f "
-    f"from {'s%d' % (i-1) if i > 1 else '(select t.*, l.sizes, 1 as dummy from t join l using (image_id))'}))"
-    for i in range(1, 8)
-))
+BUDGET = V.cte(V.IMAGES, V.RUNGS, f"""t as (select image_id, size_bytes*2//3 as budget, sizes from images
+  join (select image_id, list(size_bytes order by k) as sizes from rungs group by 1) using (image_id)),
+{_bisected("t", "image_id")},
+s7 as (select * from b7 join (select image_id, mime from images) using (image_id))""")
 
 ARCHIVE = V.cte(V.IMAGES, """n as (select i.album, i.image_id, i.pos, case when k=1 then file_name else concat(substr(file_name,1,nn), '-', cast(k as varchar), substr(file_name,nn+1)) end as unique_name, bytes from
   (select *, row_number() over (partition by album, file_name order by pos) as k,
@@ -156,11 +210,38 @@ MESSAGE = """case reason when 'unsupported_type' then 'Unsupported image type. U
   when 'empty' then 'Empty upload.' when 'too_large' then 'Image exceeds the 10 MB limit.' end"""
 RUN = V.cte(V.IMAGES, f"run as (select *, reason is null as ok, {MESSAGE} as message from (select *, {REASON} as reason from images))")
 
+REPORT = """f as (select album, count(*) as total, count(*) filter (not ok) as failed,
+    list({'n': file_name, 'm': message} order by pos) filter (not ok) as fl from run group by 1)
+  select album, total, failed, case when failed=0 then '' when total=1 then fl[1].m else
+    concat(cast(failed as varchar),' of ',cast(total as varchar),' images failed (',array_to_string(list_transform(fl[1:3], lambda z: z.n), ', '),
+    case when failed>3 then concat(' and ',cast(failed-3 as varchar),' more') else '' end, '): ', fl[1].m) end as report from f"""
+
+# JPEG files around whole texts: a metadata segment, then image data. Some end too early, some are no JPEG files.
+HEAD = "'FFD8FFE10050457869660000' || rpad('', 144, '0')"
+BODY, TAIL = "'FFDA0008010100003F00'", "'FFD9'"
+SPARK_FILE = f"""case when doc_id%6=5 then concat(unhex({HEAD}), unhex({BODY}), cast(text as binary)) when doc_id%10=3 then concat(unhex('00'), cast(text as binary))
+  else concat(unhex({HEAD}), unhex({BODY}), cast(text as binary), unhex({TAIL})) end as content"""
+ATTEMPT = V.cte(V.IMAGES, f"""made as (select doc_id as image_id, unhex('FFD8') || unhex({BODY}) || encode(coalesce(text,'')) || unhex({TAIL}) as made from documents),
+  run as (select *, message is null as ok from (select i.*, made, coalesce({MESSAGE}, case when image_id%6=5 then 'The image ends too early.' when image_id%10=3 then 'The image could not be decoded.' end) as message
+    from (select *, {REASON} as reason from images) i join made using (image_id)))""")
+
+
+def _attempted(s, d):
+    """Metadata removed from every file that can be read."""
+    files = X.as_images(X.documents(s, d), SPARK_FILE)
+    return P.batch_run(
+        R.in_byte_shares(files, F.octet_length("content")), "strip-metadata", E.metadata_remover, "output binary, out_bytes int", "The metadata could not be removed.")
+
+
 QUERIES = {
     "rendition_plan": (_plan, PLAN_CTE + "select * from rendition_plan"),
     # The route of a recipe table too large to broadcast, forced.
     "rendition_plan_salted": (
-        lambda s, d: P.rendition_plan(X.spread(X.images(s, d)), recipes(s), 0), PLAN_CTE + "select * from rendition_plan"),
+        lambda s, d: _plan(s, d, 0), PLAN_CTE + "select * from rendition_plan"),
+    "rendition_plan_albums": (
+        _small_albums,
+        PLAN_CTE.replace("source as album", "concat(source,'/',cast(doc_id%23 as varchar)) as album") + """select grain, image_id, album, recipe_id, out_width, out_height, reason from rendition_plan where grain='album'
+          union all select grain, image_id, album, recipe_id, null, null, 'not_measured' from rendition_plan where recipe_id in ('fit-500','fit-10')"""),
     "compress_plan": (
         lambda s, d: P.compress_plan(X.images(s, d), 1000, 72).select(
             "image_id", "out_width", "out_height", "encoder_quality", "out_mime", "out_name"),
@@ -207,13 +288,21 @@ QUERIES = {
         RUN + """select image_id, album, pos, ok and greatest(width,height)<=1500 as ok, coalesce(message, case when greatest(width,height)>1500
           then 'Image is too large to upscale. The longest side must be at most 1500px.' end) as message from run""",
     ),
+    "batch_attempt": (
+        lambda s, d: _attempted(s, d).select("image_id", "album", "pos", "ok", "message", "out_bytes", F.sha2("output", 256).alias("out_sha256")),
+        ATTEMPT + """select image_id, album, pos, ok, message, case when ok then octet_length(made) end as out_bytes, case when ok then sha256(made) end as out_sha256 from run"""),
+    "batch_failures": (
+        lambda s, d: numbered(R.settle(_attempted(s, d), ["output", "out_bytes"])[1], ["album"], ["pos"], pos_block(), "place").select("album", "place", "file_name", "message"),
+        ATTEMPT + "select album, row_number() over (partition by album order by pos) as place, file_name, message from run where not ok"),
+    "batch_renditions": (
+        lambda s, d: R.settle(_attempted(s, d), ["output", "out_bytes"])[0].groupBy("album").agg(
+            F.count("*").alias("files"), F.sum("out_bytes").alias("bytes")),
+        ATTEMPT + "select album, count(*) as files, cast(sum(octet_length(made)) as bigint) as bytes from run where ok group by 1"),
+    "batch_attempt_report": (
+        lambda s, d: P.batch_report(_attempted(s, d)), ATTEMPT[: -1] + "," + REPORT),
     "batch_report": (
         lambda s, d: P.batch_report(P.batch_run(_outputs(s, d))),
-        RUN + """, f as (select album, count(*) as total, count(*) filter (not ok) as failed,
-            list({'n': file_name, 'm': message} order by pos) filter (not ok) as fl from run group by 1)
-          select album, total, failed, case when failed=0 then '' when total=1 then fl[1].m else
-            concat(cast(failed as varchar),' of ',cast(total as varchar),' images failed (',array_to_string(list_transform(fl[1:3], lambda z: z.n), ', '),
-            case when failed>3 then concat(' and ',cast(failed-3 as varchar),' more') else '' end, '): ', fl[1].m) end as report from f""",
+        RUN[: -1] + "," + REPORT,
     ),
     "merge_layout": (
         lambda s, d: _layout(s, d, "vertical", "center", "none"), _duck_layout(False, "center", False)),

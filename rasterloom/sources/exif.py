@@ -79,3 +79,29 @@ def read_tags(data: bytes) -> list[tuple[str, int, str | None, int | None]]:
     pointed = {name: main[tag][1] for name, tag in POINTERS.items() if main.get(tag, (None, None))[1] is not None}
     tables = {"ifd0": main} | {name: block.directory(offset) for name, offset in pointed.items()}
     return [(name, tag, *value) for name, table in tables.items() for tag, value in table.items()]
+
+
+# Segments that hold metadata (application data but the first kind, comments) and the end marker.
+METADATA, END = {*range(0xE1, 0xF0), 0xFE}, 0xD9
+
+
+def without_metadata(data: bytes) -> bytes:
+    """The file without metadata segments; ``ValueError`` where it is no JPEG file or ends too early."""
+    if not data.startswith(b"\xff\xd8"):
+        raise ValueError("The image could not be decoded.")
+    kept, at = [data[:2]], 2
+    while at + 1 < len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == END:
+            return b"".join([*kept, data[at : at + 2]])
+        if marker == IMAGE_DATA:
+            if data.endswith(bytes((0xFF, END))):
+                return b"".join([*kept, data[at:]])
+            break
+        size = 2 if marker in STANDALONE else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        if at + size > len(data) or size < 2:
+            break
+        if marker not in METADATA:
+            kept.append(data[at : at + size])
+        at += size
+    raise ValueError("The image ends too early.")

@@ -26,7 +26,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_images(documents(spark, sf_dir))
 
 
-def as_images(docs: DataFrame) -> DataFrame:
+def as_images(docs: DataFrame, *more: str) -> DataFrame:
+    """Catalogue rows of documents, with further columns given as SQL."""
     return docs.selectExpr(
         "doc_id as image_id",
         "source as album",
@@ -39,6 +40,7 @@ def as_images(docs: DataFrame) -> DataFrame:
         "cast(16+(doc_id*373)%4001 as int) as width",
         "cast(16+(doc_id*911)%3001 as int) as height",
         "cast(case when doc_id%17=0 then 0 else n_chars*1024 end as bigint) as size_bytes",
+        *more,
     )
 
 
