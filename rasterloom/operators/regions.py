@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.scale import cut, stored
 from rasterloom.operators import catalog, pixels_geometry, pixels_neighborhood
+from rasterloom.operators import labelling as L
 from rasterloom.operators.pixels_point import alpha_extrema, color_histogram
 
 # Fixed values of the flat-art test and of the palette.
@@ -129,10 +130,6 @@ def color_runs(px: DataFrame) -> DataFrame:
     )
 
 
-def _node() -> Column:
-    return F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("x0")
-
-
 def _lookup(left: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """Replace ``column`` by its parent where it has one (many rows may share a parent)."""
     p = parents.select("image_id", F.col("node").alias(column), F.col("parent").alias("_p"))
@@ -169,79 +166,64 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("image_id", "node", F.col("parent").alias("label"))
 
 
-def _run_edges(runs: DataFrame) -> DataFrame:
-    """Runs of neighbouring lines that touch and share the colour, each pair once.
+def region_labels(tiles: DataFrame) -> DataFrame:
+    """(image_id, node, label) for the labels of tiles whose region goes on in another tile (see :mod:`labelling`)."""
+    return components(L.seams(tiles).filter("a_color = b_color").select("image_id", F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
-    Read off the pixels (a pixel and the one above it) at the first column of their overlap, so
-    a line of many short runs never pairs all with all.
-    """
-    column = Window.partitionBy("image_id", "x").orderBy("y")
-    above = runs.withColumns(
-        {"_ac": F.lag("_color").over(column), "_ax0": F.lag("x0").over(column), "_node": _node()}
-    ).withColumn("_above", F.shiftleft(F.col("y").cast("bigint") - 1, 32) + F.col("_ax0"))
-    touching = (F.col("_ac") == F.col("_color")) & (F.col("x") == F.greatest("x0", "_ax0"))
-    return above.filter(touching).select("image_id", F.col("_above").alias("u"), F.col("_node").alias("v"))
-
-
-def with_labels(px: DataFrame) -> DataFrame:
-    """Pixels with the ``label`` of their 4-connected region (its first pixel in scan order)."""
-    runs = with_runs(px)
-    labels = components(_run_edges(runs)).withColumnRenamed("node", "_node")
-    return (
-        runs.withColumn("_node", _node()).join(labels, ["image_id", "_node"], "left")
-        .withColumn("label", F.coalesce("label", "_node")).drop("_node", "x0")
-    )
 
+def _global(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """Replaces a tile's label by its region's."""
+    of = labels.select(F.col("image_id").alias("_image"), F.col("node").alias(column), F.col("label").alias("_whole"))
+    return rows.join(of, ["_image", column], "left").withColumn(column, F.coalesce("_whole", column)).drop("_whole")
 
-def color_regions(px: DataFrame) -> DataFrame:
-    """Area, bounding box and colour of every connected region of equal colour."""
-    runs = with_runs(px)
-    labels = components(_run_edges(runs))
-    per_run = runs.groupBy("image_id", "y", "x0").agg(F.max("x").alias("x1"), *[F.first(c).alias(c) for c in "rgba"])
-    labelled = per_run.withColumn("node", _node()).join(labels, ["image_id", "node"], "left").withColumn(
-        "label", F.coalesce("label", "node")
-    )
-    return labelled.groupBy("image_id", "label").agg(
-        F.sum(F.col("x1") - F.col("x0") + 1).alias("area"),
-        F.min("x0").alias("left"), F.min("y").alias("top"), F.max("x1").alias("right"), F.max("y").alias("bottom"),
-        *[F.first(c).alias(c) for c in "rgba"],
-    ).select(
-        "image_id", F.shiftright("label", 32).cast("int").alias("first_y"),
-        F.col("label").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("first_x"),
-        "area", "left", "top", "right", "bottom", *"rgba",
+
+def _unpacked(color: Column) -> dict[str, Column]:
+    return {c: F.shiftright(color, s).bitwiseAND(F.lit(255).cast("bigint")).cast("int") for c, s in (("a", 24), ("r", 16), ("g", 8), ("b", 0))}
+
+
+def _areas(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    parts = tiles.filter(F.col("_kind") == L.REGION).select("_image", "_label", "_color", "_area", "_left", "_top", "_right", "_bottom")
+    return _global(parts, labels, "_label").groupBy("_image", "_label").agg(
+        F.sum("_area").alias("area"), F.min("_left").alias("left"), F.min("_top").alias("top"), F.max("_right").alias("right"),
+        F.max("_bottom").alias("bottom"), F.first("_color").alias("_color"))
+
+
+def color_regions(px: DataFrame, tile: int = L.TILE) -> DataFrame:
+    """Area, bounding box and colour of every 4-connected region of equal colour; a region is named by its first pixel in scan order."""
+    tiles = L.labelled_tiles(px, tile)
+    colors = _unpacked(F.col("_color"))
+    return _areas(tiles, region_labels(tiles)).select(
+        F.col("_image").alias("image_id"), F.shiftright("_label", 32).cast("int").alias("first_y"),
+        F.col("_label").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("first_x"),
+        "area", "left", "top", "right", "bottom", *[colors[c].alias(c) for c in "rgba"],
     )
 
 
-def speckle_filter(px: DataFrame, min_area: int) -> DataFrame:
+def speckle_filter(px: DataFrame, min_area: int, tile: int = L.TILE) -> DataFrame:
     """Regions below ``min_area`` take the colour of the neighbour with the longest border.
 
-    Ties go to the region that comes first in scan order; colours are those before the filter.
+    Ties go to the region that comes first in scan order; colours are those before the filter. Only pixels of parts
+    that are small within their tile are looked up again; all others leave the tiles as they are.
     """
-    labelled = cut(with_labels(px))
-    small = labelled.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("_area")).filter(F.col("_area") < min_area)
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    column = Window.partitionBy("image_id", "x").orderBy("y")
-    around = {
-        f"_n{i}": F.struct(F.lag("label", d).over(w).alias("label"), F.lag("_color", d).over(w).alias("color"))
-        for i, (w, d) in enumerate(((row, 1), (row, -1), (column, 1), (column, -1)))
-    }
-    sides = labelled.withColumns(around).select(
-        "image_id", "label", F.explode(F.array(*around)).alias("_n")
-    ).filter("_n.label <> label")
-    borders = (
-        sides.join(small.select("image_id", "label"), ["image_id", "label"], "left_semi")
-        .groupBy("image_id", "label", F.col("_n.label").alias("_other")).agg(
-            F.count(F.lit(1)).alias("_length"), F.first("_n.color").alias("_new"))
-    )
-    chosen = borders.groupBy("image_id", "label").agg(
-        F.max_by("_new", F.struct(F.col("_length"), (-F.col("_other")).alias("o"))).alias("_new")
-    )
-    new = F.coalesce("_new", "_color")
-    part = lambda s: F.shiftright(new, s).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
-    made = {"a": part(24), "r": part(16), "g": part(8), "b": part(0)}
-    return labelled.join(chosen, ["image_id", "label"], "left").select(
-        *[made[c].alias(c) if c in made else F.col(c) for c in px.columns]
-    )
+    if min_area <= 1:
+        return px
+    tiles = L.labelled_tiles(px, tile, min_area)
+    labels = stored(region_labels(tiles), "labels")
+    small = stored(_areas(tiles, labels).filter(F.col("area") < min_area).select("_image", "_label"), "speckles")
+    inside = tiles.filter(F.col("_kind") == L.BORDER).select("_image", "_label", "_other", "_color", "_length")
+    pairs = L.seams(tiles).filter("a_color <> b_color")
+    over = lambda me, you: pairs.filter(f"{me}_small").select(
+        F.col("image_id").alias("_image"), F.col(me).alias("_label"), F.col(you).alias("_other"), F.col(f"{you}_color").alias("_color"),
+        F.lit(1).cast("bigint").alias("_length"))
+    borders = inside.unionByName(over("a", "b")).unionByName(over("b", "a"))
+    borders = _global(_global(borders, labels, "_label"), labels, "_other").join(small, ["_image", "_label"], "left_semi")
+    lengths = borders.groupBy("_image", "_label", "_other").agg(F.sum("_length").alias("_length"), F.first("_color").alias("_new"))
+    chosen = lengths.groupBy("_image", "_label").agg(F.max_by("_new", F.struct(F.col("_length"), (-F.col("_other")).alias("o"))).alias("_new"))
+    pixels = tiles.filter(F.col("_kind") == L.PIXEL)
+    looked = _global(pixels.filter("_small").select("_image", "_label", *px.columns), labels, "_label").join(chosen, ["_image", "_label"], "left")
+    made = _unpacked(F.col("_new"))
+    repainted = looked.select(*[F.coalesce(made[c], c).alias(c) if c in made else F.col(c) for c in px.columns])
+    return pixels.filter("not _small").select(*px.columns).unionByName(repainted)
 
 
 # ---- SVG --------------------------------------------------------------------------------

@@ -71,6 +71,17 @@ def _sizes(s, d):
     return P.image_dims(_px(s, d)).withColumns({"orig_width": F.col("width") * 2, "orig_height": F.col("height") * 2})
 
 
+REGION_SQL = V.recursive(V.PIXELS) + "," + REGIONS + """ select image_id, cast(label>>32 as int) as first_y, cast(label&4294967295 as int) as first_x, cast(sum(x1-x0+1) as bigint) as area,
+    min(x0) as "left", min(y) as top, max(x1) as "right", max(y) as bottom, any_value(r) as r, any_value(g) as g, any_value(b) as b, any_value(a) as a
+    from nodes join lab using (image_id, node) group by image_id, label"""
+SPECKLE_SQL = V.recursive(V.PIXELS) + "," + SPECKLE + " select image_id, y, x, cast((c>>16)&255 as int) as r, cast((c>>8)&255 as int) as g, cast(c&255 as int) as b, cast((c>>24)&255 as int) as a from nw"
+
+
+def WIDE(sql: str) -> str:
+    """The same text over one image that holds all vectors."""
+    return sql.replace(V.PIXELS, V.WIDE)
+
+
 QUERIES = {
     "flat_art_flag": (lambda s, d: R.flat_art_flag(_sized(s, d)), PX + "," + FLAT + " select image_id, n_colors, flat from flat"),
     "trace_flags": (
@@ -84,14 +95,13 @@ QUERIES = {
         PX + "," + PALETTE + " select p.image_id, p.y, p.x, pr as r, pg as g, pb as b, a from pixels p join h4 using (image_id, r, g, b) join pal using (image_id, box)"),
     "trace_prepare": (lambda s, d: R.trace_prepare(_sized(s, d)), None),
     "color_runs": (lambda s, d: R.color_runs(_px(s, d)), PX + "," + RUNS + " select image_id, y, x0, x1, r, g, b, a from runs"),
-    "color_regions": (
-        lambda s, d: R.color_regions(_px(s, d)),
-        V.recursive(V.PIXELS) + "," + REGIONS + """ select image_id, cast(label>>32 as int) as first_y, cast(label&4294967295 as int) as first_x, cast(sum(x1-x0+1) as bigint) as area,
-          min(x0) as "left", min(y) as top, max(x1) as "right", max(y) as bottom, any_value(r) as r, any_value(g) as g, any_value(b) as b, any_value(a) as a
-          from nodes join lab using (image_id, node) group by image_id, label"""),
-    "speckle_filter": (
-        lambda s, d: R.speckle_filter(_px(s, d), 3),
-        V.recursive(V.PIXELS) + "," + SPECKLE + " select image_id, y, x, cast((c>>16)&255 as int) as r, cast((c>>8)&255 as int) as g, cast(c&255 as int) as b, cast((c>>24)&255 as int) as a from nw"),
+    "color_regions": (lambda s, d: R.color_regions(_px(s, d)), REGION_SQL),
+    "speckle_filter": (lambda s, d: R.speckle_filter(_px(s, d), 3), SPECKLE_SQL),
+    # Tiles of eight: regions that cross many seams, forced on small images.
+    "color_regions_tiles": (lambda s, d: R.color_regions(_px(s, d), 8), REGION_SQL),
+    "speckle_filter_tiles": (lambda s, d: R.speckle_filter(_px(s, d), 3, 8), SPECKLE_SQL),
+    # One image of all vectors, wider than a tile.
+    "color_regions_wide": (lambda s, d: R.color_regions(X.wide(s, d)), WIDE(REGION_SQL)),
     "svg_lines": (
         lambda s, d: R.svg_lines(R.color_runs(_px(s, d)), _sizes(s, d)), SZ + "," + RUNS + "," + SVG + " select * from alll"),
     "svg_rects": (

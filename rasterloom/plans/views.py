@@ -23,6 +23,13 @@ from (select vec_id, p,
       from (select vec_id, p, embedding[p+1] as v, embedding[len(embedding)-p] as v2
             from (select vec_id, embedding, unnest(range(len(embedding))) as p from embeddings))))"""
 
+# One image: eight vectors make a line of 512 pixels, in 16 levels so that neighbours share colours.
+WIDE = """pixels as (
+select 0::bigint as image_id, cast(vec_id//8 as int) as y, cast((vec_id%8)*64+p as int) as x, cast(floor(r0/32)*32 as int) as r, cast(floor(r0/128)*128 as int) as g, 0 as b,
+  cast(case when vec_id%3=0 then 255 else 128 end as int) as a
+from (select vec_id, p, floor((least(greatest(cast(v as double)*3,-1.0::double),1.0::double)+1)*127.5::double) as r0
+      from (select vec_id, p, embedding[p+1] as v from (select vec_id, embedding, unnest(range(len(embedding))) as p from embeddings))))"""
+
 SIZED = """dims as (select image_id, cast(max(x)+1 as int) as width, cast(max(y)+1 as int) as height from pixels group by 1),
 sized as (select p.*, d.width, d.height from pixels p join dims d using (image_id))"""
 

@@ -72,6 +72,18 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image of all vectors: eight of them make a line of 512 pixels, in few colours."""
+    return (
+        spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+        .selectExpr("vec_id", "posexplode(embedding) as (p, v)")
+        .selectExpr("vec_id", "p", "floor((least(greatest(cast(v as double)*3,-1D),1D)+1)*127.5D) as r0")
+        .selectExpr(
+            "0L as image_id", "cast(vec_id div 8 as int) as y", "cast((vec_id%8)*64+p as int) as x", "cast(floor(r0/32)*32 as int) as r",
+            "cast(floor(r0/128)*128 as int) as g", "0 as b", "cast(case when vec_id%3=0 then 255 else 128 end as int) as a")
+    )
+
+
 def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured size at each of the 128 steps of the budget ladder."""
     return (
