@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import rules
 from rasterloom.functions.rounding import one_decimal
 from rasterloom.functions.scale import BLOCK_ROWS, by_key, cut, numbered, pos_block, stored
+from rasterloom.functions.ship import ship_package
 
 # Level of a word, least confidence, overlap above which two words are one.
 WORD_LEVEL = 5
@@ -102,30 +104,33 @@ CELL = ["image_id", "_lx", "_ly", "_cx", "_cy"]
 
 
 def iou_pairs(words: DataFrame) -> DataFrame:
-    """Pairs of boxes of one image whose intersection is more than half of their union.
+    """Every word with the class of words that share its box, and the class that overlaps it most, above one half.
 
-    Each pair is reported once, in the cell that holds the corner of the intersection at the
-    larger of both levels, so no duplicate removal is needed. The result itself is all pairs by
-    definition; duplicate removal below does not use it.
+    A class is named by its first word (pass, seq) and has ``class_words`` members, so equal boxes never pair up. Boxes that
+    share more than half of their union hold each other's centres and differ by less than a factor of two in
+    each side. The index is therefore lopsided: a box looks for rivals on the level of its own size, in the at most four cells it
+    touches; a rival waits there with its centre, on its own level and those beside it. Each pair meets once. Ties between rivals
+    go to the first class. Boxes without an area have a class, but no rival.
     """
-    cells = in_cells(words)
-    names = [c for c in cells.columns if c not in CELL]
-    a = cells.select(*CELL, *[F.col(c).alias(f"{c}_a") for c in names])
-    b = cells.select(*CELL, *[F.col(c).alias(f"{c}_b") for c in names])
-    left, right = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
-    level = lambda size: F.greatest(
-        F.floor(F.log2(left(size).cast("double"))), F.floor(F.log2(right(size).cast("double")))
-    )
-    corner = lambda low, lv: F.floor(F.greatest(left(low), right(low)) / F.pow(F.lit(2.0), F.col(lv) + 1))
-    ordered = F.struct("pass_a", "seq_a") < F.struct("pass_b", "seq_b")
+    first = F.min(F.struct("pass", "seq")).alias("rep")
+    classes = stored(words.groupBy("image_id", *BOX).agg(first, F.count(F.lit(1)).alias("class_words")), "boxes")
+    solid = classes.filter("width_px > 0 and height_px > 0").select(
+        "image_id", *BOX, "rep", *[F.floor(F.log2(F.col(c).cast("double"))).cast("int").alias(k) for c, k in (("width_px", "_lx"), ("height_px", "_ly"))])
+    side = lambda level: F.pow(F.lit(2.0), F.col(level) + 1)
+    looks, waits = solid, solid.select("image_id", *[F.col(c).alias(f"{c}_b") for c in BOX], F.col("rep").alias("rival"), "_lx", "_ly")
+    for low, size, level, cell in (("left_px", "width_px", "_lx", "_cx"), ("top_px", "height_px", "_ly", "_cy")):
+        looks = looks.withColumn(cell, F.explode(F.sequence(F.floor(F.col(low) / side(level)), F.floor((F.col(low) + F.col(size) - 1) / side(level)))))
+        waits = waits.withColumn(level, F.explode(F.array(*[F.col(level) + i for i in (-1, 0, 1)]))).withColumn(
+            cell, F.floor((F.col(f"{low}_b") + F.col(f"{size}_b") / 2) / side(level)))
+    left, right = F.col, (lambda c: F.col(f"{c}_b"))
     inter, union = overlap(left, right)
-    return (
-        a.join(b, CELL)
-        .filter(ordered & same_spot(left, right))
-        .filter((F.col("_lx") == level("width_px")) & (F.col("_ly") == level("height_px")))
-        .filter((F.col("_cx") == corner("left_px", "_lx")) & (F.col("_cy") == corner("top_px", "_ly")))
-        .select("image_id", "pass_a", "seq_a", "pass_b", "seq_b", (inter / union).alias("iou"))
-    )
+    met = looks.join(waits, CELL).filter((F.col("rep") != F.col("rival")) & same_spot(left, right)).select(
+        "image_id", "rep", F.struct((inter / union).alias("iou"), (-F.col("rival.pass")).alias("p"), (-F.col("rival.seq")).alias("s")).alias("_r"))
+    best = stored(met.groupBy("image_id", "rep").agg(F.max("_r").alias("_r")), "rivals")
+    judged = classes.join(best, ["image_id", "rep"], "left").select(
+        "image_id", *BOX, F.col("rep.pass").alias("class_pass"), F.col("rep.seq").alias("class_seq"), "class_words",
+        (-F.col("_r.p")).alias("rival_pass"), (-F.col("_r.s")).alias("rival_seq"), F.col("_r.iou").alias("iou"))
+    return words.select("image_id", "pass", "seq", *BOX).join(stored(judged, "judged"), ["image_id", *BOX]).drop(*BOX)
 
 
 # ---- bands ------------------------------------------------------------------------------
@@ -158,7 +163,11 @@ def bands(words: DataFrame) -> DataFrame:
 
 
 def with_bands(words: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Words with their band, split into ordinary bands and (None if there are none) huge ones."""
+    """Words with their band, split into ordinary bands and (None if there are none) huge ones.
+
+    The words are written once, whatever they come from; their bands are found from three columns of that.
+    """
+    words = stored(words, "words")
     found = stored(bands(words), "bands")
     tagged = words.withColumn("strip", _strip()).join(found, ["image_id", "strip"]).drop("strip")
     if found.filter(F.col("band_words") > limit).isEmpty():
@@ -184,12 +193,28 @@ def _keep_best(kept: Column, word: Column) -> Column:
     return F.when(clash, kept).otherwise(F.concat(kept, F.array(word)))
 
 
+def with_islands(tagged: DataFrame) -> DataFrame:
+    """Words of a band with their ``island``: from left to right, one opens where all earlier boxes have ended.
+
+    Overlapping boxes share an island, which is a word or a few. The window is sorted and may spill.
+    """
+    along = Window.partitionBy("image_id", "band").orderBy("left_px", "pass", "seq")
+    reached = F.max(F.col("left_px") + F.col("width_px")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(reached.isNull() | (F.col("left_px") >= reached), 1).otherwise(0)
+    return by_key(tagged, "image_id", "band").withColumn("_open", opened).withColumn(
+        "island", F.sum("_open").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_open")
+
+
 def _fold_bands(tagged: DataFrame) -> DataFrame:
-    """(image_id, band, kept): surviving words of every ordinary band, one array per band."""
-    grouped = by_key(tagged, "image_id", "band").groupBy("image_id", "band").agg(F.array_sort(F.collect_list(_ranked())).alias("_words"))
+    """(image_id, band, kept): surviving words of every ordinary band, one array per band.
+
+    Islands are folded one by one, those of a single word not at all; all of it happens in the partitioning of the bands.
+    """
+    grouped = with_islands(tagged).groupBy("image_id", "band", "island").agg(F.collect_list(_ranked()).alias("_words"))
     # an empty slice of the words gives the start value their type
-    start = F.slice("_words", 1, 0)
-    return grouped.select("image_id", "band", F.aggregate("_words", start, _keep_best).alias("kept"))
+    folded = F.aggregate(F.array_sort("_words"), F.slice("_words", 1, 0), _keep_best)
+    kept = F.when(F.size("_words") == 1, F.col("_words")).otherwise(folded)
+    return grouped.select("image_id", "band", kept.alias("_kept")).groupBy("image_id", "band").agg(F.flatten(F.collect_list("_kept")).alias("kept"))
 
 
 def _unfold(folded: DataFrame) -> DataFrame:
@@ -298,29 +323,59 @@ def _line_fold(words: Column) -> Column:
     return F.when(_one_line(words), F.array_repeat(F.lit(0), F.size(words))).otherwise(folded)
 
 
+_LINE_ORDER = ("top_px", "left_px", "rank", "pass", "seq", "text", "width_px", "height_px")
+
+
+def _lined(bands_: DataFrame) -> DataFrame:
+    """(image_id, band, lined) from ``_words``, an array per band in the order of :data:`_LINE_ORDER`: words with their lines."""
+    return bands_.select(
+        "image_id", "band", F.arrays_zip(F.col("_words").alias("w"), _line_fold(F.col("_words")).alias("line")).alias("lined"))
+
+
 def _line_rows(words: DataFrame) -> DataFrame:
     """(image_id, band, lined): the band's words, each with its line within the band."""
-    order = F.struct("top_px", "left_px", (-F.col("confidence")).alias("rank"), "pass", "seq", "text", "width_px", "height_px")
-    return by_key(words, "image_id", "band").groupBy("image_id", "band").agg(F.array_sort(F.collect_list(order)).alias("_words")).select(
-        "image_id", "band", F.arrays_zip(F.col("_words").alias("w"), _line_fold(F.col("_words")).alias("line")).alias("lined")
-    )
+    order = F.struct("top_px", "left_px", (-F.col("confidence")).alias("rank"), *_LINE_ORDER[3:])
+    return _lined(by_key(words, "image_id", "band").groupBy("image_id", "band").agg(F.array_sort(F.collect_list(order)).alias("_words")))
+
+
+class LineEdges:
+    """Lowest edges of a band's lines, looked up by bisection.
+
+    ``reach[i]`` is the lowest edge among lines 0..i. It never falls with i, so the first line that reaches a height is where
+    ``reach`` does, and a lower edge lifts a stretch of it.
+    """
+
+    def __init__(self):
+        self.reach, self.lines = np.zeros(64, np.int64), 0
+
+    def put(self, top: int, height: int) -> int:
+        """Line of the next word (tops never fall)."""
+        bottom, known = top + height, self.reach[: self.lines]
+        # edge * 2 >= top * 2 + height for whole numbers
+        line = int(known.searchsorted(top + (height + 1) // 2))
+        if line == self.lines:
+            if line == len(self.reach):
+                self.reach = np.concatenate([self.reach, np.zeros_like(self.reach)])
+            self.reach[line] = max(bottom, int(known[-1])) if line else bottom
+            self.lines += 1
+        else:
+            known[line : int(known.searchsorted(bottom))] = bottom
+        return line
 
 
 def _lines_streamed(words: DataFrame) -> DataFrame:
-    """Lines of huge bands: sorted rows stream through a task that remembers only line edges."""
+    """Lines of huge bands: sorted rows stream through a task that remembers only line edges (:class:`LineEdges`)."""
+    ship_package(words.sparkSession)
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, low = None, []
+        here, edges = None, LineEdges()
         for pdf in batches:
             lines = []
-            for image, band, top, height in zip(pdf.image_id, pdf.band, pdf.top_px, pdf.height_px):
+            for image, band, top, height in zip(*(pdf[c].tolist() for c in ("image_id", "band", "top_px", "height_px"))):
                 if here != (image, band):
-                    here, low = (image, band), []
-                hit = next((i for i, v in enumerate(low) if v * 2 >= top * 2 + height), len(low))
-                if hit == len(low):
-                    low.append(top + height)
-                low[hit] = max(low[hit], top + height)
-                lines.append(hit)
-            yield pdf.assign(line_in_band=lines)
+                    here, edges = (image, band), LineEdges()
+                lines.append(edges.put(top, height))
+            yield pdf.assign(line_in_band=np.array(lines, np.int32))
 
     ordered = by_key(words.select(*WORD, "band"), "image_id", "band").withColumn("_nc", -F.col("confidence")).sortWithinPartitions(
         "image_id", "band", "top_px", "left_px", "_nc", "pass", "seq").drop("_nc")
@@ -344,13 +399,8 @@ def _banded_lines(words: DataFrame, limit: int) -> DataFrame:
     return out if huge is None else out.unionByName(_lines_streamed(huge))
 
 
-def ocr_lines(kept: DataFrame, limit: int = BAND_LIMIT) -> DataFrame:
-    """Number the lines of every image in reading order and assign the words to them.
-
-    Line numbers continue over the bands; there is at most one band per pixel line of an image,
-    so the running count is over a short list.
-    """
-    lined = _banded_lines(kept.select(*WORD), limit)
+def _numbered_lines(lined: DataFrame) -> DataFrame:
+    """Line numbers continue over the bands of an image; there is at most one band per pixel line, so the list is short."""
     per_band = lined.groupBy("image_id", "band").agg((F.max("line_in_band") + 1).alias("_n"))
     before = Window.partitionBy("image_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_band.select("image_id", "band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
@@ -359,6 +409,38 @@ def ocr_lines(kept: DataFrame, limit: int = BAND_LIMIT) -> DataFrame:
     )
 
 
+def ocr_lines(kept: DataFrame, limit: int = BAND_LIMIT) -> DataFrame:
+    """Number the lines of every image in reading order and assign the words to them."""
+    return _numbered_lines(_banded_lines(kept.select(*WORD), limit))
+
+
+def ocr_page(words: DataFrame, limit: int = BAND_LIMIT) -> DataFrame:
+    """Kept words with their lines from filtered detections: duplicates and lines in one pass over the bands.
+
+    The bands of all words hold for the words that are kept as well, so they are found once and travel on.
+    """
+    usual, huge = with_bands(words.select(*WORD), limit)
+    fields = lambda w: F.struct(*[w[c].alias(c) for c in _LINE_ORDER])
+    folded = _fold_bands(usual).select("image_id", "band", F.array_sort(F.transform("kept", fields)).alias("_words"))
+    lined = _unline(_lined(folded))
+    if huge is not None:
+        # Bands found again inside a huge one follow each other; together they number its lines.
+        inner = _banded_lines(_dedup_in_rounds(huge).select(*WORD), limit)
+        tops = inner.groupBy("image_id", "band").agg(F.min("top_px").alias("_top"))
+        inner = inner.join(tops, ["image_id", "band"]).withColumns({"_inner": F.col("band"), "band": F.col("_top")})
+        outer = lined.join(lined.groupBy("image_id", "band").agg(F.min("top_px").alias("_top")), ["image_id", "band"]).withColumn("band", F.col("_top"))
+        lined = outer.drop("_top").unionByName(inner.drop("_top", "_inner"))
+    return _numbered_lines(lined)
+
+
+def page_text(lined: DataFrame) -> DataFrame:
+    """Text of every image from words with lines: words by left, lines in order."""
+    words = F.collect_list(F.struct("left_px", "top_px", (-F.col("confidence")).alias("rank"), "pass", "seq", "text"))
+    lines = lined.groupBy("image_id", "line").agg(_joined(words).alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return lines.groupBy("image_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+
+
 def ocr_text(words: DataFrame, limit: int = BAND_LIMIT) -> DataFrame:
     """Text of every image from filtered detections: words by left, lines in order.
 

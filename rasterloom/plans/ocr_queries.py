@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterloom.functions.scale import stored
 from rasterloom.operators import ocr as O
 from rasterloom.plans import views as V
 from rasterloom.sources import fixtures as X
@@ -60,7 +61,9 @@ def _ocr_images(s, d):
 
 
 def _result(s, d):
-    return O.ocr_result(_ocr_images(s, d), _lines(s, d), _texts(s, d))
+    """Words and texts of one page table, written once."""
+    page = stored(O.ocr_page(_words(s, d)), "page")
+    return O.ocr_result(_ocr_images(s, d), page, O.page_text(page))
 
 
 QUERIES = {
@@ -72,15 +75,17 @@ QUERIES = {
         DET + f"select {WCOLS} from words"),
     "iou_pairs": (
         lambda s, d: O.iou_pairs(_words(s, d)).withColumn("iou", F.round("iou", 6)),
-        V.cte(V.DETECTIONS, WORDS, BANDS) + f""", p as (select image_id, band, pass, seq, left_px as l, top_px as t, width_px as w, height_px as h from bw)
-          select a.image_id, a.pass as pass_a, a.seq as seq_a, b.pass as pass_b, b.seq as seq_b,
-            round({INTER.format('a', 'b')}/(a.w*a.h+b.w*b.h-{INTER.format('a', 'b')})::double,6) as iou
-          from p a join p b on a.image_id=b.image_id and a.band=b.band and (a.pass<b.pass or (a.pass=b.pass and a.seq<b.seq))
-            and 2*{INTER.format('a', 'b')}>a.w*a.h+b.w*b.h-{INTER.format('a', 'b')}"""),
+        V.cte(V.DETECTIONS, WORDS, BANDS) + f""", c as (select image_id, band, left_px as l, top_px as t, width_px as w, height_px as h, count(*) as n, min({{'p': pass, 's': seq}}) as rep from bw group by all),
+          m as (select a.image_id, a.rep, max({{'i': {INTER.format('a', 'b')}/(a.w*a.h+b.w*b.h-{INTER.format('a', 'b')})::double, 'p': -b.rep.p, 's': -b.rep.s}}) as r
+            from c a join c b on a.image_id=b.image_id and a.band=b.band and a.rep<>b.rep and 2*{INTER.format('a', 'b')}>a.w*a.h+b.w*b.h-{INTER.format('a', 'b')} group by 1, 2)
+          select bw.image_id, pass, seq, c.rep.p as class_pass, c.rep.s as class_seq, c.n as class_words, -m.r.p as rival_pass, -m.r.s as rival_seq, round(m.r.i, 6) as iou
+          from bw join c on bw.image_id=c.image_id and left_px=l and top_px=t and width_px=w and height_px=h left join m on m.image_id=c.image_id and m.rep=c.rep"""),
     "ocr_dedup": (_kept, V.cte(V.DETECTIONS, WORDS, BANDS, KEEP) + f"select {WCOLS} from kept"),
     "reading_order": (
         lambda s, d: O.reading_order(_words(s, d)).select("image_id", "pass", "seq", "reading_pos"),
         DET + "select image_id, pass, seq, row_number() over (partition by image_id order by top_px, left_px, confidence desc, pass, seq) as reading_pos from words"),
+    "ocr_page": (lambda s, d: O.ocr_page(_words(s, d)), ALL + f"select {WCOLS}, line from lines"),
+    "ocr_page_rounds": (lambda s, d: O.ocr_page(_words(s, d), 12), ALL + f"select {WCOLS}, line from lines"),
     "ocr_lines": (_lines, ALL + f"select {WCOLS}, line from lines"),
     "ocr_text": (_texts, ALL + "select image_id, text from texts"),
     # The routes that bands of any size take, forced for all bands.
