@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import rules
-from rasterloom.functions.rounding import clamp, half_up, idiv, lit, ratio
+from rasterloom.functions.rounding import clamp, idiv, lit, ratio
 from rasterloom.operators.pixels_point import composite_over
+from rasterloom.operators.tile_kernels import enlarged
 
 KEYS = ("image_id",)
 
@@ -120,59 +121,15 @@ def resample(px: DataFrame, width, height, method: str = "smooth", keys=KEYS) ->
     return sums.select(*[made[c].cast("int").alias(c) if c in made else F.col(c) for c in px.columns])
 
 
-LANCZOS_ONE = 1 << 16
-
-
-def lanczos(distance: Column) -> Column:
-    """Lanczos-3 kernel as an integer (65536 at the centre)."""
-    p = distance * F.lit(3.141592653589793)
-    value = F.when(distance == 0, F.lit(1.0)).when(F.abs(distance) >= 3, F.lit(0.0)).otherwise(
-        F.lit(3.0) * F.sin(p) * F.sin(p / F.lit(3.0)) / (p * p)
-    )
-    return half_up(value * F.lit(float(LANCZOS_ONE)))
-
-
-def _lanczos_axis(px: DataFrame, axis: str, factor: Column, keys, others: list[str]) -> DataFrame:
-    """Enlarge one axis; premultiplied channels p0..p3, clamped and rounded to 8 bits."""
-    size = {"x": "width", "y": "height"}[axis]
-    other = {"x": "y", "y": "x"}[axis]
-    s = F.col(axis).cast("bigint")
-    reach = F.sequence(F.greatest(F.lit(0).cast("bigint"), (s - 3) * factor), F.least(F.col(size) * factor - 1, (s + 4) * factor))
-    at = (F.col("_t") * 2 + 1) / (factor * F.lit(2.0)) - (s + F.lit(0.5))
-    spread = px.withColumn("_t", F.explode(reach)).withColumn("_w", lanczos(at)).filter("_w <> 0")
-    sums = spread.groupBy(*keys, *others, "width", "height", other, "_t").agg(
-        F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(f"p{i}")).alias(f"_s{i}") for i in range(4)]
-    )
-    zero = F.lit(0).cast("bigint")
-    channels = {f"p{i}": F.least(F.lit(255), ratio(F.greatest(zero, F.col(f"_s{i}")), F.col("_n"))).cast("int") for i in range(4)}
-    return sums.withColumns(channels).withColumn(size, F.col(size) * factor).withColumnRenamed("_t", axis).drop(
-        "_n", "_s0", "_s1", "_s2", "_s3"
-    )
-
-
 def resample_lanczos(px: DataFrame, factor, keys=KEYS) -> DataFrame:
     """Enlarge by a whole factor (number or column) with Lanczos-3, x then y, on alpha-premultiplied channels.
 
-    Weights are integers, so the sums are exact. Pixels of a row meet in one task anyway when
-    the scan keeps rows together, and partial sums are made before each shuffle. Factor 1 changes
-    nothing and shuffles nothing.
+    Weights are integers, so the sums are exact. Every tile with its padding is multiplied by two small weight
+    matrices (see :mod:`tile_kernels`), after one shuffle of the source pixels. Factor 1 changes nothing and shuffles nothing.
     """
     if isinstance(factor, int):
-        return px if factor == 1 else _enlarged(px, factor, keys)
-    return px.filter(factor == 1).unionByName(_enlarged(px.filter(factor != 1), factor, keys))
-
-
-def _enlarged(px: DataFrame, factor, keys) -> DataFrame:
-    others = [c for c in px.columns if c not in {*keys, *"xyrgba", "width", "height"}]
-    pre = px.withColumns({f"p{i}": idiv(F.col(c) * F.col("a") * 2 + 255, 510).cast("int") for i, c in enumerate("rgb")})
-    pre = pre.withColumn("p3", F.col("a")).drop(*"rgba")
-    times = lit(factor)
-    big = _lanczos_axis(_lanczos_axis(pre, "x", times, keys, others), "y", times, keys, others)
-    back = lambda i: F.when(F.col("p3") == 0, F.lit(0)).otherwise(
-        F.least(F.lit(255), idiv(F.col(f"p{i}") * 255, F.col("p3")))
-    )
-    made = {"r": back(0), "g": back(1), "b": back(2), "a": F.col("p3")}
-    return big.select(*[(made[c] if c in made else F.col(c)).cast("int").alias(c) if c in {*"xyrgba", "width", "height"} else F.col(c) for c in px.columns])
+        return px if factor == 1 else enlarged(px, lit(factor), keys=tuple(keys))
+    return px.filter(factor == 1).unionByName(enlarged(px.filter(factor != 1), factor, keys=tuple(keys)))
 
 
 def thumbnail(px: DataFrame, max_side: int = 128) -> DataFrame:

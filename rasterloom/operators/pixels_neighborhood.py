@@ -2,7 +2,8 @@
 
 One shuffle each: pixels go to square tiles (edge pixels also to the tiles beside them), the
 data is partitioned by (image, tile), and the row and column windows both run inside that
-partitioning. No window sees more than one row or column of one tile, however large the image.
+partitioning. No window sees more than one row or column of one tile, however large the image. Median
+and majority need all values of a window at once and run as kernels on tiles.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.rounding import clamp, idiv, ratio
 from rasterloom.functions.scale import by_key
 from rasterloom.operators import pixels_point as P
+from rasterloom.operators import tile_kernels as K
 
 TILE = 256
 KEYS = ("image_id", "_ty", "_tx")
@@ -71,21 +73,7 @@ def sharpen(px: DataFrame, amount: float, tile: int = TILE) -> DataFrame:
 
 def median3(px: DataFrame, tile: int = TILE) -> DataFrame:
     """3x3 median per channel, edges repeated."""
-    t = with_halo(px, 1, tile).withColumn("_1", pack())
-    t = t.withColumns(
-        {"_0": F.coalesce(F.lag("_1").over(along_row()), "_1"), "_2": F.coalesce(F.lead("_1").over(along_row()), "_1")}
-    )
-    rows = {}
-    for i in range(3):
-        rows[f"_u{i}"] = F.coalesce(F.lag(f"_{i}").over(along_column()), F.col(f"_{i}"))
-        rows[f"_d{i}"] = F.coalesce(F.lead(f"_{i}").over(along_column()), F.col(f"_{i}"))
-    t = core(t.withColumns(rows), tile)
-    nine = [f"_u{i}" for i in range(3)] + [f"_{i}" for i in range(3)] + [f"_d{i}" for i in range(3)]
-
-    def middle(c: str) -> Column:
-        return F.element_at(F.sort_array(F.array(*[unpack(F.col(n), c) for n in nine])), 5)
-
-    return _restore(px, t.withColumns({c: middle(c) for c in "rgb"}))
+    return K.filtered(px, 1, K.median3, tile=tile)
 
 
 def mode5(px: DataFrame, tile: int = TILE) -> DataFrame:
@@ -93,35 +81,7 @@ def mode5(px: DataFrame, tile: int = TILE) -> DataFrame:
 
     Ties go to the smallest value; a best count of two or less leaves the channel unchanged.
     """
-    t = with_halo(px, 2, tile).withColumn("_h2", pack())
-    t = t.withColumns({f"_h{2 + d}": F.lag("_h2", -d).over(along_row()) for d in (-2, -1, 1, 2)})
-    across = {}
-    for i in range(5):
-        for d in (-2, -1, 1, 2):
-            across[f"_v{i}_{d}"] = F.lag(f"_h{i}", -d).over(along_column())
-    t = core(t.withColumns(across), tile)
-    window = [f"_h{i}" for i in range(5)] + list(across)
-    t = t.withColumn("_near", F.array_compact(F.array(*window)))
-
-    # state of the fold over the sorted values: best count, best value, run length, last value,
-    # packed into one number; a longer run wins, so a tie stays with the smaller value
-    def common(c: str) -> Column:
-        values = F.sort_array(F.transform("_near", lambda v: unpack(v, c)))
-
-        def step(acc: Column, v: Column) -> Column:
-            run = F.when(acc.bitwiseAND(F.lit(0xFF)) == v, F.shiftright(acc, 8).bitwiseAND(F.lit(0x1F)) + 1).otherwise(F.lit(1))
-            longer = run > F.shiftright(acc, 21)
-            best = F.when(longer, F.shiftleft(run, 21) + F.shiftleft(v, 13)).otherwise(acc.bitwiseAND(F.lit(~0x1FFF)))
-            return best + F.shiftleft(run, 8) + v
-
-        return F.aggregate(values, F.lit(0), step)
-
-    t = t.withColumns({f"_m{c}": common(c) for c in "rgb"})
-    majority = {
-        c: F.when(F.shiftright(f"_m{c}", 21) > 2, F.shiftright(f"_m{c}", 13).bitwiseAND(F.lit(0xFF))).otherwise(F.col(c))
-        for c in "rgb"
-    }
-    return _restore(px, t.withColumns(majority))
+    return K.filtered(px, 2, K.mode5, tile=tile)
 
 
 def blur_weights(sigma: float) -> list[int]:

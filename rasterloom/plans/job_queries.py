@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom import schemas
-from rasterloom.functions.scale import work_dir
+from rasterloom.functions.scale import stored, work_dir
 from rasterloom.operators import exif as E
 from rasterloom.operators import ocr as O
 from rasterloom.operators import pixels_point as P
@@ -18,7 +18,7 @@ from rasterloom.plans.pixel_queries import SZ, _key_sql, _sepia_sql
 from rasterloom.plans.planning_queries import PLAN_CTE, _plan
 from rasterloom.sources import fixtures as X
 from rasterloom.sources import images as S
-from rasterloom.sources import png, sinks
+from rasterloom.sources import files, png, sinks
 from rasterloom.streaming import intake as stream
 
 LABELS = """lab as (select doc_id as image_id, 0 as ord, 'Camera' as label, concat('Cam', cast(doc_id%7 as varchar)) as value from documents
@@ -45,8 +45,8 @@ def _audit(s, d):
 
 def _scan(s, d):
     folder = work_dir(s, "scan")
-    png.write_pngs(X.pixels(s, d), folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-    return S.scan_images(s, folder)
+    png.write_pngs(X.pixels(s, d), folder)
+    return S.scan_images(s, f"{folder}/images")
 
 
 def _scan_pixels(s, d):
@@ -69,11 +69,12 @@ def _named_texts(s, d):
 
 
 def _export(s, d):
+    """Written twice into one folder: the second run replaces the files of the first."""
     folder = work_dir(s, "texts")
-    sinks.text_export(_named_texts(s, d), folder)
-    read = s.read.schema("value string, album string, text_name string").text(folder, wholetext=True)
-    # the writer ends every document with a line feed
-    return read.select("album", "text_name", F.regexp_replace("value", "\n\\z", "").alias("text"))
+    named = stored(_named_texts(s, d), "named")
+    sinks.text_export(named.withColumn("text", F.lit("older")), folder)
+    sinks.text_export(named, folder)
+    return files.read_texts(s, folder).select(F.col("folder").alias("album"), F.col("name").alias("text_name"), "text")
 
 
 def _stream(s, d):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import posixpath
 import struct
 import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from rasterloom.functions.scale import stored
 from rasterloom.functions.ship import ship_package
+from rasterloom.sources.files import write_files
 
 
 def encode(width: int, height: int, rgba: bytes) -> bytes:
@@ -23,20 +25,13 @@ def encode(width: int, height: int, rgba: bytes) -> bytes:
 
 
 def write_pngs(px: DataFrame, folder: str) -> None:
-    """One file per image of the (small) pixel table, written by the tasks to a shared folder."""
+    """One file per image of the (small) pixel table."""
     ship_package(px.sparkSession)
 
-    def write(key, pdf):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
+    def encoded(key, pdf):
         pdf = pdf.sort_values(["y", "x"])
         width, height = int(pdf.x.max()) + 1, int(pdf.y.max()) + 1
-        data = encode(width, height, pdf[["r", "g", "b", "a"]].to_numpy("uint8").tobytes())
-        store.create_dir(base, recursive=True)
-        with store.open_output_stream(posixpath.join(base, f"{int(key[0])}.png")) as out:
-            out.write(data)
-        return pd.DataFrame({"bytes": [len(data)]})
-
-    written = px.groupBy("image_id").applyInPandas(write, "bytes bigint")
-    written.write.format("noop").mode("overwrite").save()
+        return pd.DataFrame({"name": [f"{int(key[0])}.png"], "content": [encode(width, height, pdf[["r", "g", "b", "a"]].to_numpy("uint8").tobytes())]})
+
+    images = stored(px.groupBy("image_id").applyInPandas(encoded, "name string, content binary"), "encoded")
+    write_files(images, folder, F.lit("images"), F.col("name"), F.col("content"))

@@ -1,10 +1,12 @@
-"""Sinks: renditions as partitioned Parquet, texts as partitioned text files."""
+"""Sinks: renditions as partitioned Parquet, texts as files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.sources.files import write_files
+
 
 def write_renditions(renditions: DataFrame, path: str) -> None:
     """Partitioned by recipe; a rerun replaces the recipes it writes and leaves the others.
@@ -16,10 +18,8 @@ def write_renditions(renditions: DataFrame, path: str) -> None:
 
 
 def text_export(texts: DataFrame, path: str, archive: str = "album") -> None:
-    """One UTF-8 text document per row, in a folder named after the document; a rerun replaces it."""
-    texts.select(archive, "text_name", F.col("text").alias("value")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(archive, "text_name").text(path)
+    """One UTF-8 text file per row, in one folder per archive; a rerun replaces the files it writes."""
+    write_files(texts, path, F.col(archive), F.col("text_name"), F.col("text"))
 
 
 def text_archives(texts: DataFrame, archive: str = "album", prefix: str = "album") -> DataFrame:

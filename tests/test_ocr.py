@@ -84,14 +84,66 @@ def test_known_page(spark):
         assert [r.text for r in O.ocr_text(words, limit).collect()] == ["Hello world\nleft below tail"]
 
 
-def test_iou_pairs_any_size(spark):
+def plain_iou(a, b):
+    width, height = (max(0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+    return width * height / (a[2] * a[3] + b[2] * b[3] - width * height) if width * height else 0.0
+
+
+def test_best_rivals_of_any_size(spark):
     rng = random.Random(4)
     boxes = [(rng.randrange(-50, 400), rng.randrange(400), rng.randrange(0, 200), rng.randrange(0, 300)) for _ in range(250)]
-    rows = [(7, 0, i, "t", 50.0, *b) for i, b in enumerate(boxes)]
+    boxes += [(l + rng.randrange(-2, 3), t, w + rng.randrange(2), h) for l, t, w, h in boxes[:60]] + boxes[10:40]
+    rows = [(7, i % 2, i, "t", 50.0, *b) for i, b in enumerate(boxes)]
+    got = {r["seq"]: r for r in O.iou_pairs(spark.createDataFrame(rows, WORDS)).collect()}
+    first = {}
+    for name, box in sorted(((i % 2, i), b) for i, b in enumerate(boxes)):
+        first.setdefault(box, name)
+    assert len(got) == len(boxes)
+    for i, box in enumerate(boxes):
+        rivals = [(plain_iou(box, other), -name[0], -name[1]) for other, name in first.items() if other != box and clash(box, other)]
+        best = max(rivals, default=None)
+        r = got[i]
+        assert (r["class_pass"], r["class_seq"]) == first[box] and r["class_words"] == boxes.count(box)
+        assert (r["iou"], r["rival_pass"], r["rival_seq"]) == ((None, None, None) if best is None else (best[0], -best[1], -best[2]))
+    assert sum(r["iou"] is not None for r in got.values()) > 60
+
+
+def test_many_equal_boxes_do_not_pair_up(spark):
+    words = spark.range(50_000).selectExpr(
+        "1L as image_id", "0 as pass", "cast(id as int) as seq", "'t' as text", "50D as confidence", "5 as left_px", "6 as top_px", "20 as width_px", "9 as height_px")
+    row = O.iou_pairs(words.unionByName(words.limit(1).withColumns({"seq": F.lit(60_000), "left_px": F.lit(6)}))).groupBy(
+        "class_seq", "class_words", "rival_seq").count().collect()
+    assert sorted(map(tuple, row)) == [(0, 50_000, 60_000, 50_000), (60_000, 1, 0, 1)]
+
+
+@pytest.mark.parametrize("seed,limit", [(4, 10_000), (5, 12), (6, 0)])
+def test_page_in_one_pass(spark, seed, limit):
+    rows = [(i, p, s, t, c, l, tp, w, h) for i, ws in pages(seed).items() for c, (p, s), l, tp, w, h, t in ws]
     words = spark.createDataFrame(rows, WORDS)
-    got = sorted((r.seq_a, r.seq_b) for r in O.iou_pairs(words).collect())
-    want = [(i, j) for i in range(250) for j in range(i + 1, 250) if clash(boxes[i], boxes[j])]
-    assert got == want and len(want) > 10
+    page = O.ocr_page(words, limit)
+    assert sorted(map(tuple, page.collect())) == sorted(map(tuple, O.ocr_lines(O.ocr_dedup(words)).collect()))
+    assert sorted(map(tuple, O.page_text(page).collect())) == sorted(map(tuple, O.ocr_text(words).collect()))
+
+
+def test_line_edges():
+    rng = random.Random(1)
+    for _ in range(40):
+        edges, low = O.LineEdges(), []
+        for top in sorted(rng.randrange(500) for _ in range(300)):
+            height = rng.choice([0, 1, 5, 7, 40, 300])
+            hit = next((i for i, v in enumerate(low) if v * 2 >= top * 2 + height), len(low))
+            low[hit : hit + 1] = [max(top + height, *low[hit : hit + 1])] if hit < len(low) else [top + height]
+            assert edges.put(top, height) == hit
+
+
+def test_very_many_lines_in_a_band():
+    """A tall box keeps the band together while a hundred thousand lines open in it."""
+    import time
+
+    edges, began = O.LineEdges(), time.time()
+    assert edges.put(0, 10) == 0
+    lines = [edges.put(i * 12, 10) for i in range(1, 100_000)]
+    assert lines == list(range(1, 100_000)) and time.time() - began < 20
 
 
 def test_filter(spark):

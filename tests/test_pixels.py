@@ -188,6 +188,57 @@ def test_regions_against_flood_fill(spark):
     assert R.speckle_filter(px, 1).exceptAll(px).count() == 0
 
 
+@pytest.mark.parametrize("tile,least", [(256, 6), (8, 6), (5, 40), (3, 3)])
+def test_regions_over_tiles(spark, tile, least):
+    """Regions and speckles are the same however the image is cut."""
+    rng = np.random.default_rng(tile)
+    a = np.repeat(np.repeat(rng.integers(0, 3, (9, 7)), 3, 0), 4, 1)
+    a[rng.random(a.shape) < 0.08] = 3
+    image = np.stack([a * 80, a * 10, a * 0, 255 - a], -1)
+    px, label = make(spark, {4: image}), flood(image)
+    got = {(r.first_y * a.shape[1] + r.first_x): (r.area, r.left, r.top, r.right, r.bottom) for r in R.color_regions(px, tile).collect()}
+    want = {}
+    for first in np.unique(label):
+        y, x = np.nonzero(label == first)
+        want[int(first)] = (len(y), x.min(), y.min(), x.max(), y.max())
+    assert got == want
+    area, border = dict(zip(*np.unique(label, return_counts=True))), {}
+    for y, x in np.ndindex(*a.shape):
+        for v, u in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+            if 0 <= v < a.shape[0] and 0 <= u < a.shape[1] and label[v, u] != label[y, x] and area[label[y, x]] < least:
+                key = (label[y, x], label[v, u])
+                border[key] = border.get(key, 0) + 1
+    repainted = image.copy()
+    for small in {k[0] for k in border}:
+        other = max((n, -b) for (s, b), n in border.items() if s == small)
+        repainted[label == small] = image[np.unravel_index(-other[1], a.shape)]
+    assert same(back(R.speckle_filter(px, least, tile)), {4: repainted}) and (repainted != image).any()
+
+
+def test_regions_of_incomplete_images(spark):
+    """Missing pixels belong to no region and join none."""
+    px = make(spark, {1: np.zeros((6, 9, 4), int)}).filter("x <> 4 and not (y = 2 and x < 4)")
+    got = {(r.first_y, r.first_x): r.area for r in R.color_regions(px, 4).collect()}
+    assert got == {(0, 0): 8, (3, 0): 12, (0, 5): 24}
+    assert R.color_regions(px.filter("false")).isEmpty() and R.speckle_filter(px.filter("false"), 3).isEmpty()
+    assert R.speckle_filter(px, 100, 4).exceptAll(px).isEmpty()
+
+
+@pytest.mark.parametrize("tile", [3, 8, 128])
+def test_kernels_do_not_depend_on_tiles(spark, px, arrays, tile):
+    from rasterloom.operators import tile_kernels as K
+
+    wanted = {"mode": back(K.filtered(px, 2, K.mode5)), "median": back(K.filtered(px, 1, K.median3)), "large": back(K.enlarged(px, F.lit(3)))}
+    assert same(back(N.mode5(px, tile)), wanted["mode"]) and same(back(N.median3(px, tile)), wanted["median"])
+    assert same(back(K.enlarged(px, F.lit(3), tile)), wanted["large"])
+    for i, a in arrays.items():
+        for y, x in np.ndindex(*a.shape[:2]):
+            near = a[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3].reshape(-1, 4)
+            for c in range(3):
+                values, often = np.unique(near[:, c], return_counts=True)
+                assert wanted["mode"][i][y, x, c] == (values[often.argmax()] if often.max() > 2 else a[y, x, c])
+
+
 def test_quantize_limits_colours(px):
     counts = R.quantize(px).select("image_id", "r", "g", "b").distinct().groupBy("image_id").count().collect()
     assert all(r["count"] <= 16 for r in counts)

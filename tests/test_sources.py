@@ -1,5 +1,6 @@
 """Image files, metadata, stream and sinks."""
 
+import json
 import struct
 
 import numpy as np
@@ -10,6 +11,7 @@ from rasterloom import schemas
 from rasterloom.operators import exif as E
 from rasterloom.operators import tools as T
 from rasterloom.sources import exif as reader
+from rasterloom.sources import files
 from rasterloom.sources import fixtures as X
 from rasterloom.sources import images as S
 from rasterloom.sources import png
@@ -90,6 +92,41 @@ def test_plugins(spark):
     assert [r.id for r in T.chain_tools(spark.range(3), ("double", {}), ("double", {"by": 5})).collect()] == [0, 10, 20]
 
 
+def test_files_sink(spark, tmp_path):
+    odd = [("a b", "x.txt", b"1"), ("a b", ".hidden", b"2"), ("_c/d", "100% +.txt", b"3"), (None, "no folder", None), ("é", "n\u00fc.txt", b"4")]
+    df = spark.createDataFrame(odd, "f string, n string, c binary")
+    folder = str(tmp_path / "out")
+    write = lambda rows: files.write_files(rows, folder, F.col("f"), F.col("n"), F.col("c"), share=1)
+    write(df.withColumn("c", F.lit(b"older")))
+    write(df.filter("f is not null"))
+    got = {(r["folder"], r["name"]): r["text"] for r in files.read_texts(spark, folder).collect()}
+    assert got == {("a b", "x.txt"): "1", ("a b", ".hidden"): "2", ("_c/d", "100% +.txt"): "3", ("\0", "no folder"): "older", ("é", "n\u00fc.txt"): "4"}
+    assert json.loads((tmp_path / "out" / "_SUCCESS").read_text()) == {"files": 4, "bytes": 4}
+    assert not [p for p in (tmp_path / "out").rglob("*") if len(p.name) == 33 and p.name.startswith(".")]
+    write(df.filter("false"))
+    assert files.read_texts(spark, folder).count() == 5
+
+
+def test_failed_files_leave_nothing_half_written(spark, tmp_path):
+    bad = spark.createDataFrame([("a", "x", 1), ("a", "y", 0)], "f string, n string, k int")
+    content = F.when(F.col("k") == 0, F.raise_error(F.lit("no content"))).otherwise(F.lit("whole"))
+    with pytest.raises(Exception):  # noqa: B017 - Spark wraps it
+        files.write_files(bad.repartition(2, "n"), str(tmp_path / "out"), F.col("f"), F.col("n"), content)
+    assert not (tmp_path / "out" / "_SUCCESS").exists()
+    writer = files.FilesWriter(str(tmp_path / "again"))
+
+    class Broken:
+        def __iter__(self):
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_pydict({"folder": ["a", "a"], "name": ["x", "y"], "content": [b"whole", 5]})
+
+    with pytest.raises(TypeError):
+        writer.write(iter(Broken()))
+    writer.abort([])
+    assert sorted(p.name for p in (tmp_path / "again").rglob("*") if p.is_file()) in (["x"], [])
+
+
 def test_work_folder_must_be_shared():
     from rasterloom.functions.scale import refuse_local
 
