@@ -54,15 +54,16 @@ def memberships(told: DataFrame, links: DataFrame | None) -> DataFrame:
             "doc_id", F.xxhash64(F.lit(4), "key").alias("k1"), F.xxhash64(F.lit(5), "key").alias("k2")).distinct()
         keys = keys.unionByName(told.select("row", "doc_id").join(named, "doc_id").select("row", "k1", "k2"))
     keys = stored(keys, "keys")
-    several = keys.groupBy("k1", "k2").agg(F.count("*").alias("group")).filter(F.col("group") > 1)
+    # Written, so that the join's sides are plain shuffles, which may split a common key, or one is small.
+    several = stored(keys.groupBy("k1", "k2").agg(F.count("*").alias("group")).filter(F.col("group") > 1), "several")
     return stored(keys.join(several, ["k1", "k2"]), "memberships")
 
 
 def _votes(members: DataFrame, state: DataFrame, shards: int, closed: set[int]) -> DataFrame:
     """(row, wanted, group, k1): the shard of most neighbours, own ties by the key's hash; closed shards are not asked for."""
-    placed = members.join(state.select("row", "shard"), "row")
+    placed = stored(members.join(state.select("row", "shard"), "row"), "placed")
     here = [F.sum((F.col("shard") == s).cast("long")).alias(f"n{s}") for s in range(shards)]
-    sums = placed.groupBy("k1", "k2").agg(*here)
+    sums = stored(placed.groupBy("k1", "k2").agg(*here), "sums")
     met = placed.join(sums, ["k1", "k2"])
     # A document with several keys adds up the votes of all of them.
     votes = met.groupBy("row", "shard").agg(
@@ -75,18 +76,22 @@ def _votes(members: DataFrame, state: DataFrame, shards: int, closed: set[int])
 
 
 def allowed(demand: dict[tuple[int, int], int], load: list[int], room: float) -> dict[tuple[int, int], float]:
-    """Largest flows below ``demand`` that leave no shard above ``room`` (or above what it holds now)."""
-    flow, most = {k: float(v) for k, v in demand.items()}, [max(room, float(v)) for v in load]
+    """Large flows below ``demand`` that leave no shard above ``room`` (or above what it holds now).
+
+    Pairs of shards swap what both ask for; then every shard fills the room it has, which others make by leaving.
+    """
+    most = [max(room, float(v)) for v in load]
+    flow = {(a, b): float(min(v, demand.get((b, a), 0))) for (a, b), v in demand.items()}
     for _ in range(200):
-        worst = 0.0
+        moved = 0.0
         for j in range(len(load)):
-            in_, out = sum(v for (a, b), v in flow.items() if b == j), sum(v for (a, b), v in flow.items() if a == j)
-            over = load[j] + in_ - out - most[j]
-            if over > 0.5 and in_ > 0:
-                worst = max(worst, over)
-                share = max(0.0, 1 - over / in_)
-                flow = {k: v * share if k[1] == j else v for k, v in flow.items()}
-        if worst <= 0.5:
+            held = load[j] + sum(v for (_, b), v in flow.items() if b == j) - sum(v for (a, _), v in flow.items() if a == j)
+            wished = {k: demand[k] - flow[k] for k in demand if k[1] == j and demand[k] > flow[k]}
+            share = min(1.0, max(0.0, most[j] - held) / sum(wished.values())) if wished else 0.0
+            for k, v in wished.items():
+                flow[k] += v * share
+                moved += v * share
+        if moved < 0.5:
             break
     return flow
 
