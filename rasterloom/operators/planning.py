@@ -464,19 +464,18 @@ def budget_search_monotone(images: DataFrame, rungs: DataFrame, target: Column,
     return images.join(best, "image_id", "left")
 
 
+def measured(files: DataFrame) -> DataFrame:
+    """``crc`` and ``entry_bytes`` in place of ``content``: taken at the scan, so that contents travel no further."""
+    return files.withColumns({"crc": F.crc32("content"), "entry_bytes": F.octet_length("content")}).drop("content")
+
+
 def archive_entries(entries: DataFrame, archive: str = "album", rows_per_block: int = BLOCK_ROWS) -> DataFrame:
     """Archive table of contents: CRC-32, size and local header offset per entry, in order.
 
-    ``entries`` has ``unique_name``, ``content`` and ``pos``. The offset is the running sum of
-    ``30 + name bytes + content bytes`` of the entries before.
+    ``entries`` has ``unique_name``, ``pos`` and ``content``, or its measures (:func:`measured`). The offset is the running
+    sum of ``30 + name bytes + content bytes`` of the entries before.
     """
-    sized = entries.withColumns(
-        {
-            "crc": F.crc32("content"),
-            "name_bytes": F.octet_length("unique_name"),
-            "entry_bytes": F.octet_length("content"),
-        }
-    ).drop("content")
+    sized = (measured(entries) if "content" in entries.columns else entries).withColumn("name_bytes", F.octet_length("unique_name"))
     step = F.lit(30).cast("bigint") + F.col("name_bytes") + F.col("entry_bytes")
     return running(sized, [archive], ["pos"], pos_block("pos", rows_per_block), step, "header_offset")
 

@@ -14,6 +14,8 @@ from rasterloom.operators.pixels_point import alpha_extrema, color_histogram
 THUMB_SIDE, MAX_COLORS, TOP_COLORS, FLAT_COVERAGE = 128, 4096, 12, 0.85
 PALETTE_ROUNDS = 4
 PALETTE_SALTS = 8
+# Colours of an image up to which its palette is cut in windows.
+WINDOW_COLORS = 1 << 18
 
 
 def flat_art_flag(px: DataFrame, max_side: int = THUMB_SIDE) -> DataFrame:
@@ -32,13 +34,22 @@ def flat_art_flag(px: DataFrame, max_side: int = THUMB_SIDE) -> DataFrame:
     return stats.select("image_id", "n_colors", flat.alias("flat"))
 
 
-def median_cut(histogram: DataFrame, rounds: int = PALETTE_ROUNDS) -> DataFrame:
+def median_cut(histogram: DataFrame, rounds: int = PALETTE_ROUNDS, window_colors: int = WINDOW_COLORS) -> DataFrame:
     """Histogram rows with the palette ``box`` they fall in (2^rounds boxes at most).
 
     Each round splits every box of two or more colours at half its weight along its longest
-    channel. The input is a histogram, at most 2^24 rows per image however many pixels it has;
-    it is partitioned by image once, and all rounds run inside that partitioning.
+    channel. Images of up to ``window_colors`` colours are partitioned by image once, and all rounds run inside that
+    partitioning; those with more are split on marginal sums instead, with the same result and no image in one task.
     """
+    histogram = stored(histogram.select("image_id", "r", "g", "b", "n"), "histogram")
+    large = stored(histogram.groupBy("image_id").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > window_colors).select("image_id"), "many-colors")
+    if large.isEmpty():
+        return _cut_in_windows(histogram, rounds)
+    usual = _cut_in_windows(histogram.join(large, "image_id", "left_anti"), rounds)
+    return usual.unionByName(_cut_on_marginals(histogram.join(large, "image_id", "left_semi"), rounds))
+
+
+def _cut_in_windows(histogram: DataFrame, rounds: int) -> DataFrame:
     h = histogram.repartition("image_id").withColumn("box", F.lit(0))
     for _ in range(rounds):
         whole = Window.partitionBy("image_id", "box")
@@ -62,6 +73,39 @@ def median_cut(histogram: DataFrame, rounds: int = PALETTE_ROUNDS) -> DataFrame:
     return h
 
 
+def _cut_on_marginals(histogram: DataFrame, rounds: int) -> DataFrame:
+    """The same splits from sums per channel value: at most 256 rows per box and step, whatever the number of colours.
+
+    Colours are ordered by the longest channel, then by the other two. The value of the first channel at which the box reaches half its
+    weight is found on its sums, and only the colours of that value are summed by the second channel, then by the third.
+    """
+    key = ["image_id", "box"]
+    h = histogram.withColumn("box", F.lit(0))
+    for _ in range(rounds):
+        h = stored(h, "boxes")
+        spread = lambda c: F.max(c) - F.min(c)
+        sizes = h.groupBy(*key).agg(*[spread(c).alias(f"s{c}") for c in "rgb"], F.sum("n").alias("total"), F.count(F.lit(1)).alias("colors"))
+        axis = F.when((F.col("sr") >= F.col("sg")) & (F.col("sr") >= F.col("sb")), 0).when(F.col("sg") >= F.col("sb"), 1).otherwise(2)
+        sizes = stored(sizes.filter("colors > 1").select(*key, axis.alias("axis"), "total"), "box-sizes")
+        at = {"c1": F.when(F.col("axis") == 0, F.col("r")).when(F.col("axis") == 1, F.col("g")).otherwise(F.col("b")),
+              "c2": F.when(F.col("axis") == 0, F.col("g")).otherwise(F.col("r")), "c3": F.when(F.col("axis") == 2, F.col("g")).otherwise(F.col("b"))}
+        t = h.join(sizes, key).select(*key, *[v.alias(c) for c, v in at.items()], "n", "total")
+        last = t.groupBy(*key).agg(F.max(F.struct(*at)).alias("last"))
+        found, base, fixed = None, F.lit(0).cast("bigint"), []
+        for c in at:
+            rows = t if found is None else t.join(found, [*key, *fixed])
+            sums = rows.groupBy(*key, c, *fixed).agg(F.sum("n").alias("n"), F.first("total").alias("total"), *([F.first("base").alias("base")] if fixed else []))
+            up_to = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            below = sums.withColumn("base", up_to + (F.col("base") if fixed else base)).filter(F.col("base") * 2 < F.col("total"))
+            found = below.groupBy(*key).agg(F.max_by(F.struct(*fixed, c, "base"), c).alias("f")).select(*key, "f.*")
+            fixed = [*fixed, c]
+        cuts = stored(found.join(last, key).select(*key, F.struct(*at).alias("cut"), "last"), "cuts").join(sizes.select(*key, "axis"), key)
+        mine = F.struct(*[v.alias(c) for c, v in at.items()])
+        upper = (mine > F.col("cut")) | ((F.col("cut") == F.col("last")) & (mine == F.col("last")))
+        h = h.join(cuts, key, "left").withColumn("box", F.col("box") * 2 + F.when(upper, 1).otherwise(0)).drop("axis", "cut", "last")
+    return h
+
+
 def palette(boxes: DataFrame) -> DataFrame:
     mean = lambda c: F.bround(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 0).cast("int")
     return boxes.groupBy("image_id", "box").agg(
@@ -69,13 +113,10 @@ def palette(boxes: DataFrame) -> DataFrame:
     )
 
 
-def quantize(px: DataFrame, rounds: int = PALETTE_ROUNDS) -> DataFrame:
+def quantize(px: DataFrame, rounds: int = PALETTE_ROUNDS, window_colors: int = WINDOW_COLORS) -> DataFrame:
     """Every pixel takes its palette colour. A common colour is spread over several salts."""
-    box = Window.partitionBy("image_id", "box")  # inside the partitioning of the rounds
-    mean = lambda c: F.bround(F.sum(F.col(c) * F.col("n")).over(box) / F.sum("n").over(box), 0).cast("int")
-    mapping = median_cut(color_histogram(px), rounds).select(
-        "image_id", "r", "g", "b", *[mean(c).alias(f"p{c}") for c in "rgb"]
-    )
+    boxes = stored(median_cut(color_histogram(px), rounds, window_colors), "colors")
+    mapping = boxes.join(palette(boxes).drop("weight"), ["image_id", "box"]).select("image_id", "r", "g", "b", "pr", "pg", "pb")
     salted = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PALETTE_SALTS - 1))))
     spread = px.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(PALETTE_SALTS)).cast("int"))
     new = {"r": F.col("pr"), "g": F.col("pg"), "b": F.col("pb")}

@@ -202,7 +202,7 @@ select source as album, doc_id as image_id,
 
 
 def _entries(s, d):
-    content = X.documents(s, d).select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("content"))
+    content = P.measured(X.documents(s, d).select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("content")))
     return C.dedupe_names(X.images(s, d)).select("album", "image_id", "pos", "unique_name").join(content, "image_id")
 
 

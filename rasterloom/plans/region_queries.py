@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rasterloom.operators import pixels_point as P
 from rasterloom.operators import regions as R
 from rasterloom.plans import views as V
-from rasterloom.plans.pixel_queries import PX, SZ
+from rasterloom.plans.pixel_queries import MEDIAN, MODE, PX, SZ, _lanczos_sql
 from rasterloom.sources import fixtures as X
 
 FLAT = """h as (select image_id, r, g, b, count(*) as n from pixels group by all),
@@ -71,6 +73,26 @@ def _sizes(s, d):
     return P.image_dims(_px(s, d)).withColumns({"orig_width": F.col("width") * 2, "orig_height": F.col("height") * 2})
 
 
+def _renamed(sql: str, *names: str) -> str:
+    """The text with its own intermediate names set apart."""
+    for name in names:
+        sql = re.sub(rf"\b{name}\b", f"{name}_photo", sql)
+    return sql
+
+
+# All flat images of the fixture have the factor 4.
+TRACE = f"""drawn as (select s.* from sized s join flags using (image_id) where flat and factor=4),
+{_lanczos_sql(4).replace("from sized", "from drawn")},
+opaque as (select l.* from lanczos l join flags using (image_id) where not has_alpha), {MODE.replace("from pixels c", "from opaque c")},
+major as (select p.image_id, p.y, p.x, coalesce(mr,r) as r, coalesce(mg,g) as g, coalesce(mb,b) as b, a, p.width, p.height from opaque p join wide using (image_id, y, x)),
+{PALETTE.replace("from pixels group by", "from major group by")},
+photos as (select s.* from sized s join flags using (image_id) where not flat), {_renamed(MEDIAN, "c", "o", "nb").replace("from sized p", "from photos p")}
+select t.*, d.width as orig_width, d.height as orig_height from (
+  select p.image_id, p.y, p.x, pr as r, pg as g, pb as b, a, width, height from major p join h4 using (image_id, r, g, b) join pal using (image_id, box)
+  union all by name select l.* from lanczos l join flags using (image_id) where has_alpha
+  union all by name select m.*, d.width, d.height from (select image_id, y, x, {", ".join(f"list_sort(list({c}))[5] as {c}" for c in "rgb")}, 255 as a from nb_photo group by 1, 2, 3) m
+    join dims d using (image_id)) t join dims d using (image_id)"""
+
 REGION_SQL = V.recursive(V.PIXELS) + "," + REGIONS + """ select image_id, cast(label>>32 as int) as first_y, cast(label&4294967295 as int) as first_x, cast(sum(x1-x0+1) as bigint) as area,
     min(x0) as "left", min(y) as top, max(x1) as "right", max(y) as bottom, any_value(r) as r, any_value(g) as g, any_value(b) as b, any_value(a) as a
     from nodes join lab using (image_id, node) group by image_id, label"""
@@ -90,10 +112,15 @@ QUERIES = {
           case when flat then 16 else 28 end as layer_difference, case when factor>1 then 2 else 3 end as path_precision from flags"""),
     "median_cut": (
         lambda s, d: R.palette(R.median_cut(P.color_histogram(_px(s, d)))), PX + "," + PALETTE + " select * from pal"),
+    "median_cut_marginals": (
+        lambda s, d: R.palette(R.median_cut(P.color_histogram(_px(s, d)), window_colors=100)), PX + "," + PALETTE + " select * from pal"),
+    # One image of all pixels.
+    "median_cut_wide": (
+        lambda s, d: R.palette(R.median_cut(P.color_histogram(X.wide(s, d)), window_colors=1)), WIDE(PX) + "," + PALETTE + " select * from pal"),
     "quantize": (
         lambda s, d: R.quantize(_px(s, d)),
         PX + "," + PALETTE + " select p.image_id, p.y, p.x, pr as r, pg as g, pb as b, a from pixels p join h4 using (image_id, r, g, b) join pal using (image_id, box)"),
-    "trace_prepare": (lambda s, d: R.trace_prepare(_sized(s, d)), None),
+    "trace_prepare": (lambda s, d: R.trace_prepare(_sized(s, d)), SZ + "," + FLAGS + "," + TRACE),
     "color_runs": (lambda s, d: R.color_runs(_px(s, d)), PX + "," + RUNS + " select image_id, y, x0, x1, r, g, b, a from runs"),
     "color_regions": (lambda s, d: R.color_regions(_px(s, d)), REGION_SQL),
     "speckle_filter": (lambda s, d: R.speckle_filter(_px(s, d), 3), SPECKLE_SQL),

@@ -16,9 +16,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a source of few files, before rows are exploded; else leave it alone."""
+    """Use all cores on a source of few splits, before rows are exploded; else leave it alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

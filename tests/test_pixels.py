@@ -244,6 +244,21 @@ def test_quantize_limits_colours(px):
     assert all(r["count"] <= 16 for r in counts)
 
 
+def test_marginal_cuts_equal_window_cuts(spark):
+    """Palettes split on channel sums are those split in windows: hot colours, single colours, ties."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for image in range(12):
+        top = int(rng.choice([1, 2, 4, 40, 256]))
+        colors = {tuple(int(v) for v in rng.integers(0, top, 3)) for _ in range(int(rng.choice([1, 2, 5, 90])))}
+        rows += [(image, *c, int(rng.choice([1, 1, 3, 1000]))) for c in colors]
+    histogram = spark.createDataFrame(rows, "image_id bigint, r int, g int, b int, n bigint")
+    boxes = lambda limit: sorted(map(tuple, R.median_cut(histogram, 3, limit).collect()))
+    want = boxes(1000)
+    assert boxes(0) == want and boxes(4) == want and len(want) == len(rows)
+    assert R.median_cut(histogram.filter("false"), 2, 0).isEmpty()
+
+
 def test_trace_prepare_sizes(spark):
     logo = np.zeros((10, 12, 4), int) + [0, 0, 0, 255]
     logo[2:5, 3:8, 0] = 255
