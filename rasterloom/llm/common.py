@@ -32,6 +32,13 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the caller's table does not use."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def repeated_ids(df: DataFrame, key: str) -> bool:
     """True when two rows share a key; reads the key column only, one row comes back."""
     return not df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).isEmpty()

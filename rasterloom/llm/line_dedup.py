@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scale import stored
-from rasterloom.llm.common import binary, group_starts, one_row_per_id, shuffle_partitions, texts
+from rasterloom.llm.common import binary, free_name, group_starts, one_row_per_id, shuffle_partitions, texts
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -139,7 +139,8 @@ def kept_lines(raw: bytes, bitmap: bytes | None) -> tuple[list[bytes], int]:
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """All columns, with ``text`` reduced to the lines that stay and ``n_chars``, if there, counted anew."""
     docs = one_row_per_id(docs, "doc_id", "text")
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).withColumnRenamed("bitmap", "_keep_bitmap")
+    held = free_name(docs, "_keep_bitmap")
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs).withColumnRenamed("bitmap", held)
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
@@ -147,7 +148,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
             t if b is None else b"\n".join(kept_lines(t.encode("utf-8", "replace"), b)[0]).decode("utf-8", "replace")
             for t, b in zip(text, bitmap)], dtype=object)
 
-    out = docs.join(bitmaps, "doc_id", "left").withColumn("text", kept("text", "_keep_bitmap")).drop("_keep_bitmap")
+    out = docs.join(bitmaps, "doc_id", "left").withColumn("text", kept("text", held)).drop(held)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

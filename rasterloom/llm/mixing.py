@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scale import stored
-from rasterloom.llm.common import shuffle_partitions
+from rasterloom.llm.common import free_name, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 # Bits of one histogram, and how many of them a hash holds.
@@ -138,10 +138,11 @@ def mix_report(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights:
 def mix(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """All rows and columns, each row as often as the mix takes it; rows of no tokens once, as they cost nothing."""
     _, of = plan(docs, share, limit, weights)
-    of = of.select(F.col("source").alias("_mix_source"), F.col("fold").alias("_mix_fold"), F.col("threshold").alias("_mix_below"))
-    more = (hash60("doc_id") < F.col("_mix_below")).cast("int")
-    times = F.when(word_count() > 0, F.col("_mix_fold").cast("int") + more).otherwise(F.lit(1))
+    name, fold, below, again = (free_name(docs, f"_mix_{c}") for c in ("source", "fold", "below", "again"))
+    of = of.select(F.col("source").alias(name), F.col("fold").alias(fold), F.col("threshold").alias(below))
+    more = (hash60("doc_id") < F.col(below)).cast("int")
+    times = F.when(word_count() > 0, F.col(fold).cast("int") + more).otherwise(F.lit(1))
     return (
-        docs.join(of, F.col("source").eqNullSafe(F.col("_mix_source")))
-        .withColumn("_mix_again", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+        docs.join(of, F.col("source").eqNullSafe(F.col(name)))
+        .withColumn(again, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
     )
