@@ -10,7 +10,7 @@ Escaping adds a backslash to every ``<\\...\\|`` (any number of backslashes), wh
 
 Turns are rows. Null text or role is empty; a null turn comes first; rows that repeat a turn follow each other by
 role, then ids. Rows without a conversation number are one conversation of their own. Texts of any length are
-encoded whole, in slices of at most ``SLICE`` characters. A conversation may hold any number of turns:
+encoded whole; past ``SLICE`` characters they are cut where the pattern cuts anyway, which changes no id. A conversation may hold any number of turns:
 encoding is spread over all tasks, and a conversation is only streamed in order.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,29 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text)
 
 
+def one_line(role: str) -> str:
+    """A role without line breaks, since a break ends the role; reversible."""
+    return role.replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def as_given(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
+def slices(text: str, size: int | None = None) -> Iterator[str]:
+    """A long text in parts, cut only where the split pattern ends a piece: before a blank that a letter follows."""
+    at, size = 0, size or SLICE
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        while 0 <= end and not text[end + 1 : end + 2].isalpha():
+            end = text.find(" ", end + 1)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class Template:
     """Tokenizer and reserved ids; the ids follow those of the vocabulary."""
 
@@ -56,14 +80,12 @@ class Template:
         self.newline = self.coder.encode_ordinary("\n")
 
     def segment(self, text: str) -> list[int]:
-        """Ids of a text without marks."""
-        if len(text) <= SLICE:
-            return self.coder.encode_ordinary(text)
-        return [i for at in range(0, len(text), SLICE) for i in self.coder.encode_ordinary(text[at : at + SLICE])]
+        """Ids of a text without marks, the same as of the text encoded at once."""
+        return [i for part in slices(text) for i in self.coder.encode_ordinary(part)]
 
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and loss mask of a turn."""
-        segments = [[self.start], self.segment(escape(role)), self.newline, self.segment(escape(text)), [self.end], self.newline]
+        segments = [[self.start], self.segment(escape(one_line(role))), self.newline, self.segment(escape(text)), [self.end], self.newline]
         lengths = np.array([len(s) for s in segments])
         ends = np.cumsum(lengths)
         step = np.zeros(ends[-1] + 1, np.int8)
@@ -90,19 +112,19 @@ class Template:
         turns = []
         for a, b in zip(starts, ends):
             role, _, text = self.plain(ids[a + 1 : b]).partition("\n")
-            turns.append((unescape(role), unescape(text)))
+            turns.append((as_given(unescape(role)), unescape(text)))
         return turns
 
 
 def format_turns(conversations: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(conv_id, turn, role, ids, mask) per row; narrow. A role's line breaks become blanks, since a break ends the role."""
+    """(conv_id, turn, role, ids, mask) per row; narrow. Line breaks in a role are written as ``\\n``, its backslashes twice."""
 
     def run(batches):
         template = Template(ranks)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                roles = [(r or "").replace("\n", " ") for r in part.column("role").to_pylist()]
+                roles = [r or "" for r in part.column("role").to_pylist()]
                 turns = [template.turn(r, t or "") for r, t in zip(roles, part.column("text").to_pylist())]
                 lengths = [len(ids) for ids, _ in turns]
                 yield pa.RecordBatch.from_pydict({

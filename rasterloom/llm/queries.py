@@ -42,6 +42,20 @@ def op1_substring_dedup(s, d):
     return D.substring_report(table(s, d, "documents"))
 
 
+OP1_SQL = r"""with worded as materialized (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+windows as materialized (
+  select doc_id, i, md5(k) as k from (
+    select doc_id, i, array_to_string(w[i : i + 19], ' ') as k from (select doc_id, w, unnest(range(1, cast(len(w) as bigint) - 18)) as i from worded))),
+firsts as (select k, min({'d': doc_id, 'i': i}) as f from windows group by k having count(*) > 1),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 20)) as p from windows join firsts using (k) where {'d': doc_id, 'i': i} <> f),
+positions as (select doc_id, unnest(w) as word, unnest(range(1, cast(len(w) as bigint) + 1)) as p from worded),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n from positions anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from worded left join kept using (doc_id)"""
+
+
 def op2_chat(s, d):
     """All conversations and number -1, whose turns consist of control strings; read back from the formatted ids."""
     given = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
@@ -56,11 +70,12 @@ OP2_SQL = r"""with turns as (
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
-    regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as escaped from turns)
+    regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as escaped,
+    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') as escaped_role from turns)
 select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by n)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1) as bigint) as formatted_chars
+  cast(sum(length('<|im_start|>') + length(escaped_role) + 1 + length(escaped) + length('<|im_end|>') + 1) as bigint) as formatted_chars
 from ordered group by conv_id"""
 
 
@@ -122,6 +137,28 @@ def op7_jaccard_join(s, d):
     return J.jaccard_join(table(s, d, "documents"))
 
 
+OP7_SQL = r"""with recursive worded as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents),
+sets as materialized (
+  select doc_id, list_sort(list_distinct(list_transform(range(1, greatest(cast(len(w) as bigint) - 3, 2)), lambda i: md5(array_to_string(w[i : i + 4], ' '))))) as g
+  from worded where len(w) > 0),
+classes as materialized (select g, min(doc_id) as rep, count(*) as size from sets group by g),
+grams as materialized (select rep, len(g) as n, unnest(g) as k from classes),
+pairs as materialized (
+  select u, v from (
+    select a.rep as u, b.rep as v, any_value(a.n) + any_value(b.n) as together, count(*) as shared
+    from grams a join grams b on a.k = b.k and a.rep < b.rep and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) group by 1, 2)
+  where 5 * shared >= 4 * (together - shared)),
+links as materialized (select u, v from pairs union all select v, u from pairs),
+reached(rep, class_id) as (
+  select rep, rep from classes union select l.v, r.class_id from reached r join links l on l.u = r.rep where r.class_id < l.v),
+counted as (select l.u as rep, sum(c.size) as n from links l join classes c on c.rep = l.v group by 1),
+named as (
+  select c.g, r.class_id, c.size - 1 + coalesce(n, 0) as n_links
+  from classes c join (select rep, min(class_id) as class_id from reached group by 1) r using (rep) left join counted using (rep))
+select d.doc_id, coalesce(class_id, d.doc_id) as class_id, cast(coalesce(n_links, 0) as bigint) as n_links
+from documents d left join sets s using (doc_id) left join named using (g)"""
+
+
 def op8_line_dedup(s, d):
     return L.line_report(table(s, d, "documents"))
 
@@ -216,13 +253,13 @@ def op13_sharding(s, d):
 
 
 QUERIES = {
-    "op1_substring_dedup": (op1_substring_dedup, None),
+    "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op2_chat": (op2_chat, OP2_SQL),
     "op3_rp_forest": (op3_rp_forest, None),
     "op4_pivot_search": (op4_pivot_search, OP4_SQL),
     "op5_mixing": (op5_mixing, OP5_SQL),
     "op6_quality": (op6_quality, None),
-    "op7_jaccard_join": (op7_jaccard_join, None),
+    "op7_jaccard_join": (op7_jaccard_join, OP7_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_segmentation": (op9_segmentation, None),
     "op10_toxicity": (op10_toxicity, None),
