@@ -12,11 +12,14 @@ gives at most k rows per query, of which the k best are kept. Pivots are a fixed
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without a ``vec_id``. Rows that repeat a
 ``vec_id`` are one vector (the least). Vectors of different length are not compared. Ties go to the smaller
-``vec_id``. Components must stay below 2^26 after scaling, else the search fails rather than overflow.
+``vec_id``. Products are exact for components of any size: in doubles while sums stay below 2^53, in 64 bits below 2^62, in
+whole numbers of any length beyond. They are ranked in 38 digits; scores beyond a long are returned as the nearest long.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +31,10 @@ from rasterloom.llm.common import one_row_per_id, shuffle_partitions
 SCALE, K, PIVOTS = 256, 5, 32
 # Rows of a block of queries and of candidates; vectors among which the pivots are chosen.
 QUERY_BLOCK, CANDIDATE_BLOCK, PIVOT_SAMPLE = 512, 2048, 2048
-LARGEST = float(1 << 26)
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, vec_id long, score decimal(38,0)"
+LONG = (1 << 63) - 1
+# Products in a decimal; larger ones count as this.
+WIDEST = 10**38 - 1
 
 
 def finite(vector: str) -> Column:
@@ -37,16 +42,14 @@ def finite(vector: str) -> Column:
 
 
 def _integers(scale: float):
-    """(vec_id, dim, v): components as int32; too large ones fail."""
+    """(vec_id, dim, v): whole components, held in doubles."""
 
     def run(batches):
         for batch in batches:
             rows = [np.floor(x.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale) for x in batch.column("embedding")]
-            if any(len(r) and np.abs(r).max() >= LARGEST for r in rows):
-                raise ValueError("a component is too large for exact integer products")
             yield pa.RecordBatch.from_pydict({
                 "vec_id": batch.column("vec_id"), "dim": pa.array([len(r) for r in rows], pa.int32()),
-                "v": pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())})
+                "v": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     return run
 
@@ -75,15 +78,14 @@ def _packed(pivots: dict[int, np.ndarray], radius: dict[int, float], lifted: boo
             for dim, block, ids, vectors in zip(*(batch.column(c) for c in ("dim", "block", "ids", "vectors"))):
                 dim = dim.as_py()
                 ids = ids.values.to_numpy()
-                x = np.frombuffer(b"".join(vectors.as_py()), np.int32).reshape(len(ids), dim)
+                x = np.frombuffer(b"".join(vectors.as_py()), np.float64).reshape(len(ids), dim)
                 order = np.argsort(ids)
                 ids, x = ids[order], x[order]
-                f = x.astype(np.float64)
-                lift = np.sqrt(np.maximum(radius[dim] - (f**2).sum(1), 0)) if lifted else np.zeros(len(f))
+                lift = np.sqrt(np.maximum(radius[dim] - (x**2).sum(1), 0)) if lifted else np.zeros(len(x))
                 yield pa.RecordBatch.from_pydict({
                     "dim": pa.array([dim], pa.int32()), "block": pa.array([block.as_py()], pa.int32()),
                     "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()),
-                    "table": pa.array([distances(f, lift, pivots[dim]).astype(np.float64).tobytes()], pa.binary())})
+                    "table": pa.array([distances(x, lift, pivots[dim]).tobytes()], pa.binary())})
 
     return run
 
@@ -96,21 +98,32 @@ def best_of_block(q: np.ndarray, q_table: np.ndarray, x: np.ndarray, x_table: np
     bound = np.abs(x_table - q_table).max(1)
     order = np.argsort(bound, kind="stable")
     # Largest product that a bound leaves possible, with room for rounding.
-    possible = (float(q @ q) + radius - bound[order] ** 2) / 2
-    possible += 1e-6 * (1 + float(q @ q) + radius)
-    scores, numbers = np.empty(0, np.int64), np.empty(0, np.int64)
+    length = float((q * q).sum())
+    possible = (length + radius - bound[order] ** 2) / 2
+    possible += 1e-6 * (1 + length + radius)
+    scores, numbers = np.empty(0, object if x.dtype == object else np.int64), np.empty(0, np.int64)
     seen = 0
     while seen < len(order):
         if len(scores) == k and possible[seen] < scores[-1]:
             break
         at = order[seen : seen + step]
         at = at[ids[at] != own]
-        scores, numbers = np.concatenate([scores, x[at] @ q]), np.concatenate([numbers, ids[at]])
-        best = np.lexsort((numbers, -scores))[:k]
+        scores, numbers = np.concatenate([scores, (x[at] @ q).astype(scores.dtype)]), np.concatenate([numbers, ids[at]])
+        by_number = np.argsort(numbers, kind="stable")
+        best = by_number[np.argsort(-scores[by_number], kind="stable")][:k]
         scores, numbers, seen = scores[best], numbers[best], seen + step
     return scores, numbers, min(seen, len(order))
 
 
+def whole(x: np.ndarray, bound: float) -> np.ndarray:
+    """Whole numbers held in doubles, as a type in which sums below ``bound`` are exact; doubles are fastest."""
+    if bound < 2.0**53:
+        return x
+    if bound < 2.0**62:
+        return x.astype(np.int64)
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+
+
 def _visited(radius: dict[int, float], k: int):
     def run(batches):
         for batch in batches:
@@ -118,18 +131,16 @@ def _visited(radius: dict[int, float], k: int):
                 get = lambda c, kind: np.frombuffer(batch.column(c)[row].as_py(), kind)
                 dim = batch.column("dim")[row].as_py()
                 ids, q_ids = get("ids", np.int64), get("q_ids", np.int64)
-                x, q = (get(c, np.int32).astype(np.int64).reshape(-1, dim) if dim else np.zeros((n, 0), np.int64)
-                        for c, n in (("x", len(ids)), ("q_x", len(q_ids))))
-                # Below 2^53 floating products are exact, and fast.
-                if dim * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2.0**53:
-                    x, q = x.astype(np.float64), q.astype(np.float64)
+                x, q = (get(c, np.float64).reshape(n, dim) for c, n in (("x", len(ids)), ("q_x", len(q_ids))))
+                bound = dim * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
+                x, q = whole(x, bound), whole(q, bound)
                 table = get("table", np.float64).reshape(len(ids), -1)
                 q_table = get("q_table", np.float64).reshape(len(q_ids), -1)
                 out = [best_of_block(q[i], q_table[i], x, table, ids, q_ids[i], radius[dim], k)[:2] for i in range(len(q_ids))]
                 yield pa.RecordBatch.from_pydict({
                     "query_id": pa.array(np.repeat(q_ids, [len(s) for s, _ in out])),
                     "vec_id": pa.array(np.concatenate([n for _, n in out])),
-                    "score": pa.array(np.concatenate([s for s, _ in out]).astype(np.int64))})
+                    "score": pa.array([Decimal(max(-WIDEST, min(WIDEST, int(v)))) for s, _ in out for v in s], pa.decimal128(38, 0))})
 
     return run
 
@@ -143,7 +154,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, scale: float = S
     points, radius = {}, {}
     for dim, n in counts.items():  # as many as there are different lengths
         some = ints.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
-        sample = np.array([np.frombuffer(r["v"], np.int32) for r in some], np.float64).reshape(len(some), dim)
+        sample = np.array([np.frombuffer(r["v"], np.float64) for r in some]).reshape(len(some), dim)
         points[dim] = chosen_pivots(sample, pivots)
         radius[dim] = _longest(ints.filter(F.col("dim") == dim))
 
@@ -168,8 +179,9 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, scale: float = S
     met = visits.repartition(tasks, "dim", "block").join(candidates.repartition(tasks, "dim", "block"), ["dim", "block"])
     found = met.mapInArrow(_visited(radius, k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    score = F.greatest(F.lit(-LONG - 1).cast("decimal(38,0)"), F.least(F.lit(LONG).cast("decimal(38,0)"), F.col("score"))).cast("long")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        "query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _longest(ints: DataFrame) -> float:
@@ -177,7 +189,7 @@ def _longest(ints: DataFrame) -> float:
 
     def run(batches):
         for batch in batches:
-            squares = [float((np.frombuffer(v.as_py(), np.int32).astype(np.float64) ** 2).sum()) for v in batch.column("v")]
+            squares = [float((np.frombuffer(v.as_py(), np.float64) ** 2).sum()) for v in batch.column("v")]
             yield pa.RecordBatch.from_pydict({"square": pa.array([max(squares, default=0.0)], pa.float64())})
 
     return ints.select("v").mapInArrow(run, "square double").agg(F.max("square")).first()[0] or 0.0

@@ -73,6 +73,20 @@ def test_pivot_search(spark, vectors, monkeypatch):
     assert len(pivot_search.search(frame(spark, [(0, [1.0], 1), (1, [2.0], 1), (1, [2.0], 1), (None, [3.0], 1)]), F.lit(True)).collect()) == 2
 
 
+def test_pivot_search_of_large_components(spark):
+    """Products past 53 and 64 bits are exact, and end no search."""
+    rng = np.random.default_rng(7)
+    for scale in (1e5, 1e8, 1e13):
+        rows = [(i, [float(v) for v in np.float32(rng.standard_normal(6) * scale)], 1) for i in range(60)]
+        got = sorted(map(tuple, pivot_search.search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()))
+        whole = {i: [int(np.floor(256 * v)) for v in x] for i, x, _ in rows}
+        want = []
+        for q in (0, 20, 40):
+            best = sorted((-sum(a * b for a, b in zip(whole[q], x)), i) for i, x in whole.items() if i != q)[:5]
+            want += [(q, k + 1, i, min(-s, 2**63 - 1)) for k, (s, i) in enumerate(best)]
+        assert got == sorted(want)
+
+
 def test_pivots_eliminate():
     rng = np.random.default_rng(0)
     x = (rng.standard_normal((40, 8))[rng.integers(0, 40, 4000)] * 256 + rng.standard_normal((4000, 8))).astype(np.int64).astype(float)
