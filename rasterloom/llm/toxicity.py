@@ -12,6 +12,8 @@ handled one by one, so repeated rows and ties get equal scores; all other column
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -46,6 +48,8 @@ _ENDS = re.compile(r"^[^\w@$]+|\W+$")
 _INNER = re.compile(r"[\W_]+")
 _STRETCH = re.compile(r"(\D)\1{2,}")
 CACHE = 1 << 17
+# Least and most letters of an entry.
+LETTERS = (1, 32)
 
 
 def fold_word(word: bytes) -> str:
@@ -106,7 +110,12 @@ def hits(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, fl
             hidden.append((end - length, end - 1))
         elif text.find(" ", end + 1, end + rest + 2) >= 0:
             found.append((end - length + 1, end, weight))
-    return [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in hidden)] if hidden else found
+    if not hidden:
+        return found
+    # Of the exceptions that begin at or before an entry, the one that reaches furthest decides.
+    hidden.sort()
+    begins, reach = [a for a, _ in hidden], list(itertools.accumulate((b for _, b in hidden), max))
+    return [f for f in found if not (k := bisect.bisect_right(begins, f[0])) or reach[k - 1] < f[1]]
 
 
 def inputs(automaton: ahocorasick.Automaton, text: str, words: int) -> tuple[float, float]:
@@ -166,12 +175,13 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, usable: Column, label: str
 
 def fit(
     docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", rows: int = 6_000,
-    entries: int = 5_000, ratio: float = 6.0, evidence: float = 20.0, exceptions: tuple[str, ...] = (),
+    entries: int = 5_000, ratio: float = 6.0, evidence: float = 20.0, exceptions: tuple[str, ...] = (), letters: tuple[int, int] = LETTERS,
 ) -> Model:
     """Learn lexicon, exceptions and curve from at most ``rows`` labelled rows of each class.
 
     An entry must be ``ratio`` times as frequent in toxic as in clean text, with a log-likelihood
-    ratio of ``evidence`` at least; ``entries`` bounds the lexicon. A word counts once for each
+    ratio of ``evidence`` at least; ``entries`` bounds the lexicon, those with the least gain fall off. An entry is a word or the beginning
+    of words, of ``letters`` (least, most) letters; a longer word is known by its first ones. A word counts once for each
     word it follows, so that copies of one document count as one. Counting runs on Spark; the
     driver gets candidates (at most ten times ``entries``), exceptions and two numbers per sampled
     row. Without toxic rows nothing is ever found.
@@ -179,7 +189,7 @@ def fit(
     sample = sampled_texts(docs, labels, usable, label, rows)
     pairs = sample.mapInArrow(_pairs, "word string, before int, _label int").distinct()
     counted = pairs.select("word", "_label").mapInArrow(
-        _beginnings, "start string, whole long, toxic long, clean long"
+        _beginnings(letters), "start string, whole long, toxic long, clean long"
     ).groupBy("start").agg(*[F.sum(c).alias(c) for c in ("whole", "toxic", "clean")])
     counted = stored(counted, "toxicity")
     totals = counted.filter("start = ''").first()
@@ -210,9 +220,6 @@ def fit(
     return model
 
 
-SHORTEST, LONGEST = 4, 12
-
-
 def _pairs(batches):
     """Every word with the hash of the word before it, once per document."""
     folded = Folded()
@@ -228,20 +235,24 @@ def _pairs(batches):
             "word": pa.array(words, pa.string()), "before": pa.array(before, pa.int32()), "_label": pa.array(labels, pa.int32())})
 
 
-def _beginnings(batches):
+def _beginnings(letters: tuple[int, int]):
     """Partly counted word beginnings, all words under the empty one; ``whole``: it is a word of its own."""
-    for batch in batches:
-        words = Counter(zip(batch.column("word").to_pylist(), batch.column("_label").to_pylist()))
-        counts: dict[str, list[int]] = {}
-        for (word, label), n in words.items():
-            for length in (0, *range(SHORTEST, min(len(word), LONGEST) + 1)):
-                of = counts.setdefault(word[:length], [0, 0, 0])
-                of[2 - label] += n
-                of[0] += n * (length == len(word))
-        columns = list(zip(*counts.values())) or [(), (), ()]
-        yield pa.RecordBatch.from_pydict({
-            "start": pa.array(list(counts), pa.string()), "whole": pa.array(columns[0], pa.int64()),
-            "toxic": pa.array(columns[1], pa.int64()), "clean": pa.array(columns[2], pa.int64())})
+
+    def run(batches):
+        for batch in batches:
+            words = Counter(zip(batch.column("word").to_pylist(), batch.column("_label").to_pylist()))
+            counts: dict[str, list[int]] = {}
+            for (word, label), n in words.items():
+                for length in (0, *range(letters[0], min(len(word), letters[1]) + 1)):
+                    of = counts.setdefault(word[:length], [0, 0, 0])
+                    of[2 - label] += n
+                    of[0] += n * (length == len(word))
+            columns = list(zip(*counts.values())) or [(), (), ()]
+            yield pa.RecordBatch.from_pydict({
+                "start": pa.array(list(counts), pa.string()), "whole": pa.array(columns[0], pa.int64()),
+                "toxic": pa.array(columns[1], pa.int64()), "clean": pa.array(columns[2], pa.int64())})
+
+    return run
 
 
 def _chosen(found: list, entries: int) -> dict[str, tuple[float, int]]:
@@ -250,9 +261,9 @@ def _chosen(found: list, entries: int) -> dict[str, tuple[float, int]]:
     beginnings: set[str] = set()
     for row in found:
         start = row["start"]
-        if start in beginnings or any(start[:n] in kept for n in range(SHORTEST, len(start))):
+        if start in beginnings or any(start[:n] in kept for n in range(1, len(start))):
             continue
-        beginnings.update(start[:n] for n in range(SHORTEST, len(start) + 1))
+        beginnings.update(start[:n] for n in range(1, len(start) + 1))
         alone = row["whole"] >= 0.97 * (row["toxic"] + row["clean"])
         kept[start] = (row["weight"], 1 if alone else 64)
         if len(kept) == entries:
