@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from rasterloom.functions.scale import stored  # noqa: E402
 from rasterloom.llm import jaccard_join, line_dedup, mixing, segmentation, toxicity  # noqa: E402
-from rasterloom.llm.common import table  # noqa: E402
+from rasterloom.llm.common import free_name, table  # noqa: E402
 
 TOXIC = 0.7
 
@@ -25,8 +25,8 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; a third of the labels stays unseen, as in ``op10_toxicity``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    scored = docs.withColumn("_toxicity", toxicity.scored(F.col("text"), model))
-    return scored.filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    score = free_name(docs, "_toxicity")
+    return docs.withColumn(score, toxicity.scored(F.col("text"), model)).filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
