@@ -22,6 +22,7 @@ Documents without recurring anchors never leave the first join. Null and empty t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.scale import stored
 from rasterloom.llm.common import (
-    WordHashes, binary, gram_hashes, group_starts, one_row_per_id, shuffle_partitions, signed, texts, whole_groups,
+    WordHashes, binary, free_name, gram_hashes, group_starts, one_row_per_id, shuffle_partitions, signed, texts, whole_groups,
 )
 
 WIDTH, GRAM = 20, 8
@@ -71,23 +72,97 @@ def _anchors(width: int):
     return run
 
 
+class Range:
+    """One sorted range of (keys, doc_id, pos), streamed: rows of keys that occur again, with their earliest place.
+
+    A key's rows may be spread over many batches and ranges, so only its first place is remembered. The first row of a key waits
+    until a second one proves that it occurs again. Rows of the range's first key stay open, since the key may begin in
+    an earlier range, and so does a last row that is alone; the range's summary says which keys stand at its edges.
+    """
+
+    def __init__(self, keys: list[str], schema: list[str]):
+        self.keys, self.schema = keys, schema
+        self.now, self.first = None, None  # key, place of its first row, rows so far; the same of the first key
+        self.alone: pa.RecordBatch | None = None
+
+    def rows(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        starts = group_starts(batch, *self.keys)
+        lengths = np.diff([*starts, n])
+        head = np.repeat(starts, lengths)
+        doc, pos = (batch.column(c).to_numpy() for c in ("doc_id", "pos"))
+        first_doc, first_pos = doc[head], pos[head]
+        key = lambda row: tuple(batch.column(k)[int(row)].as_py() for k in self.keys)
+        again = np.repeat(lengths, lengths) > 1
+        open_ = np.zeros(n, bool)
+        goes_on = self.now is not None and self.now[0] == key(0)
+        if goes_on:
+            if self.alone is not None:
+                yield self.made(self.alone, [self.now[1][0]], [self.now[1][1]], [False])
+            first_doc[: lengths[0]], first_pos[: lengths[0]] = self.now[1]
+            again[: lengths[0]] = True
+        self.alone = None
+        if self.first is None or (goes_on and self.first[0] == self.now[0]):
+            open_[: lengths[0]] = True
+            again[: lengths[0]] = True
+            self.first = (key(0), (self.first or (None, (int(doc[0]), int(pos[0]))))[1], (self.first or (None, None, 0))[2] + int(lengths[0]))
+        if len(starts) == 1 and goes_on:
+            self.now = (self.now[0], self.now[1], self.now[2] + n)
+        else:
+            last = int(starts[-1])
+            self.now = (key(last), (int(doc[last]), int(pos[last])), n - last)
+            if n - last == 1 and not open_[last]:
+                self.alone = batch.slice(last, 1)
+        if again.any():
+            yield self.made(batch.filter(pa.array(again)), first_doc[again], first_pos[again], open_[again])
+
+    def made(self, rows, first, first_pos, open_) -> pa.RecordBatch:
+        extra = {"first": pa.array(first, pa.int64()), "first_pos": pa.array(first_pos, pa.int32()), "open": pa.array(open_, pa.bool_()), "n": pa.nulls(rows.num_rows, pa.int64())}
+        return pa.RecordBatch.from_pydict({c: extra[c] if c in extra else rows.column(c) for c in self.schema})
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """The waiting row, and the summary: first and last key with their earliest place and number of rows."""
+        if self.alone is not None:
+            yield self.made(self.alone, [self.now[1][0]], [self.now[1][1]], [True])
+        edges = {e[0]: e for e in (self.now, self.first) if e is not None}.values()
+        made = {k: [e[0][i] for e in edges] for i, k in enumerate(self.keys)}
+        made |= {"doc_id": [e[1][0] for e in edges], "pos": [e[1][1] for e in edges], "first": [None] * len(edges), "first_pos": [None] * len(edges),
+                 "open": [None] * len(edges), "n": [e[2] for e in edges]}
+        kinds = {"pos": pa.int32(), "first_pos": pa.int32(), "open": pa.bool_()}
+        yield pa.RecordBatch.from_pydict({c: pa.array(made[c], kinds.get(c, pa.int64())) for c in self.schema})
+
+
 def _recurring(keys: list[str], schema: list[str]):
-    """Rows of keys that occur again, with the first row's document and position; the edges of a batch stay open."""
+    def run(batches):
+        stream = Range(keys, schema)
+        for batch in batches:
+            if batch.num_rows:
+                yield from stream.rows(batch)
+        yield from stream.end()
+
+    return run
+
+
+def _settled(keys: list[str], edges: dict[tuple, tuple[int, int, int]], columns: list[str]):
+    """All rows; open ones get the earliest place of their key over all ranges, and go if the key occurs once."""
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            open_ = np.flatnonzero(batch.column("open").to_numpy(zero_copy_only=False))
+            rows = batch.select(columns)
+            if not len(open_):
+                yield rows
                 continue
-            starts = group_starts(batch, *keys)
-            lengths = np.diff([*starts, n])
-            head = np.repeat(starts, lengths)
-            is_open = (head == 0) | (head == starts[-1])
-            keep = is_open | (np.repeat(lengths, lengths) > 1)
-            out = batch.filter(pa.array(keep))
-            doc, pos = batch.column("doc_id").to_numpy()[head][keep], batch.column("pos").to_numpy()[head][keep]
-            extra = {"first": pa.array(doc), "first_pos": pa.array(pos), "open": pa.array(is_open[keep])}
-            yield pa.RecordBatch.from_pydict({c: extra[c] if c in extra else out.column(c) for c in schema})
+            some = rows.take(pa.array(open_))
+            starts = group_starts(some, *keys)
+            found = [edges[tuple(some.column(k)[int(i)].as_py() for k in keys)] for i in starts]
+            places = np.repeat(np.array(found, np.int64), np.diff([*starts, len(open_)]), axis=0)
+            first, first_pos = (rows.column(c).to_numpy(zero_copy_only=False).copy() for c in ("first", "first_pos"))
+            first[open_], first_pos[open_] = places[:, 0], places[:, 1]
+            keep = np.ones(batch.num_rows, bool)
+            keep[open_] = places[:, 2] > 1
+            extra = {"first": pa.array(first, pa.int64()), "first_pos": pa.array(first_pos, pa.int32())}
+            yield pa.RecordBatch.from_pydict({c: extra[c] if c in extra else rows.column(c) for c in columns}).filter(pa.array(keep))
 
     return run
 
@@ -95,20 +170,18 @@ def _recurring(keys: list[str], schema: list[str]):
 def recurring(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows (keys, doc_id, pos) whose key occurs again, with ``first`` and ``first_pos``: its earliest place.
 
-    Ranges of (keys, doc_id, pos) are sorted and streamed. Keys at the edges of a batch, which may go on
-    outside, are settled by a pre-aggregated table of such keys (two per batch at most).
+    Ranges of (keys, doc_id, pos) are sorted and streamed (see :class:`Range`). Every range reports the keys at its two
+    edges; these at most two rows per shuffle partition are added up by key and looked up in the pass that reads the rows again.
     """
     order = [*keys, "doc_id", "pos"]
-    columns = [*keys, "doc_id", "pos", "first", "first_pos", "open"]
-    schema = ", ".join([*[f"{k} long" for k in keys], "doc_id long, pos int, first long, first_pos int, open boolean"])
+    columns = [*order, "first", "first_pos"]
+    schema = ", ".join([*[f"{k} long" for k in keys], "doc_id long, pos int, first long, first_pos int"])
     ranges = rows.select(*order).repartitionByRange(shuffle_partitions(rows), *order).sortWithinPartitions(*order)
-    seen = stored(ranges.mapInArrow(_recurring(keys, columns), schema), name)
-    edge = seen.filter("open").select(*order)
-    # Written, so that its size is known before the join and a common key's rows need not be shuffled.
-    settled = stored(edge.groupBy(*keys).agg(
-        F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")).filter("n > 1"), name)
-    late = edge.join(settled, keys).select(*order, F.col("at.doc_id").alias("first"), F.col("at.pos").alias("first_pos"))
-    return seen.filter("not open").drop("open").unionByName(late)
+    seen = stored(ranges.mapInArrow(_recurring(keys, [*columns, "open", "n"]), f"{schema}, open boolean, n long"), name)
+    at = F.min(F.struct("doc_id", "pos")).alias("at")
+    summed = seen.filter("n is not null").groupBy(*keys).agg(at, F.sum("n").alias("n")).collect()
+    edges = {tuple(r[k] for k in keys): (r["at"]["doc_id"], r["at"]["pos"], r["n"]) for r in summed}
+    return seen.filter("n is null").select(*columns, "open").mapInArrow(_settled(keys, edges, columns), schema)
 
 
 def _squeezed(batches):
@@ -189,6 +262,26 @@ class Shard:
         # Windows around crowded phrases, each with its earliest place.
         self.windows: dict[str, tuple[int, int]] = {}
 
+    def pieces(self, start: int, raw: bytes, anchors: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """The passage in pieces of at most ``AUTOMATON_WORDS`` different words; every window lies in just one of them."""
+        words, at = raw.split(b" "), 0
+        if len(words) <= AUTOMATON_WORDS:
+            yield start, raw, anchors
+            return
+        while at + self.width <= len(words):
+            seen, end = set(), at
+            while end < len(words) and (len(seen) < AUTOMATON_WORDS or words[end] in seen or end < at + self.width):
+                seen.add(words[end])
+                end += 1
+            inside = anchors[(anchors >= at) & (anchors + GRAM <= end)]
+            yield start + at, b" ".join(words[at:end]), inside - at
+            at = end - self.width + 1
+
+    def holds(self, raw: bytes) -> bool:
+        """Whether there is room for the words of a passage (an empty shard has room for any piece)."""
+        most = AUTOMATON_WORDS - len(self.numbers)
+        return not self.numbers or raw.count(b" ") < most or len(set(raw.split(b" ")) - self.numbers.keys()) <= most
+
     def learn(self, doc: int, start: int, raw: bytes, anchors: np.ndarray) -> None:
         numbers = self.numbers
         text = "".join([numbers.setdefault(w, chr(_code(len(numbers)))) for w in raw.split(b" ")])
@@ -240,8 +333,9 @@ class Shard:
             of, begin, _, passage = self.passages[k]
             if of == doc and begin - shift >= start:
                 # Not earlier: the passage itself, or the mirror image of a repetition inside a document.
-                if shift == 0 and begin == start:
-                    np.maximum(known, 1, out=known)
+                if begin - shift == start:
+                    own = known[shift : shift + len(passage) - self.width + 1]
+                    np.maximum(own, 1, out=own)
                 continue
             a, b = max(0, shift), min(len(codes), len(passage) + shift)
             differs = np.flatnonzero(codes[a:b] != passage[a - shift : b - shift])
@@ -304,10 +398,12 @@ def _located(width: int):
                 mine = [(docs[i], at[i], raws[i], np.zeros(raws[i].count(b" ") + 2 - width, np.int8))
                         for i in range(len(raws)) if later[i] or part == 0]
                 for i in range(later.index(True) if True in later else len(later)):
-                    shard.learn(docs[i], at[i], raws[i], np.frombuffer(group.column("anchors")[i].as_py(), np.int32))
-                    if shard.full():
+                    anchors = np.frombuffer(group.column("anchors")[i].as_py(), np.int32)
+                    for piece in shard.pieces(at[i], raws[i], anchors):
                         # A large first document takes several automata, one after the other.
-                        settle(shard, [*runs, *mine])
+                        if shard.full() or not shard.holds(piece[1]):
+                            settle(shard, [*runs, *mine])
+                        shard.learn(docs[i], *piece)
                 runs += mine
                 waiting += sum(len(r[2]) for r in mine)
                 if shard.full() or waiting > AUTOMATON_BYTES:
@@ -401,7 +497,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """All columns; texts that lose words become their kept words joined by blanks, ``n_chars``, if there, is counted anew."""
     docs = one_row_per_id(docs, "doc_id", "text")
-    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias("_spans"))
+    spans_of = free_name(docs, "_spans")
+    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "last")).alias(spans_of))
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, stretches: pd.Series) -> pd.Series:
@@ -409,7 +506,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             t if s is None else b" ".join(kept_words((t or "").encode("utf-8", "replace").split(), [(x["pos"], x["last"]) for x in s])).decode("utf-8", "replace")
             for t, s in zip(text, stretches)], dtype=object)
 
-    out = docs.join(spans, "doc_id", "left").withColumn("text", kept("text", "_spans"))
+    out = docs.join(spans, "doc_id", "left").withColumn("text", kept("text", spans_of))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
