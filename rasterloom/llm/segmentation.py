@@ -32,6 +32,7 @@ from rasterloom.llm.common import lists, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
+SEARCHED = 1 << 14
 CACHE = 300_000
 SWAPS = "array<struct<start int, length int, ids array<int>>>"
 ALTERNATIVES = f"array<struct<score double, swaps {SWAPS}>>"
@@ -110,10 +111,28 @@ class Pieces:
         best, second = [LOWEST] * (n + 1), [LOWEST] * (n + 1)
         back, by = [0] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        for i in range(n):
-            # The tree is walked in place: this is the innermost loop of the operator.
-            here, there, children, j, single = best[i], second[i], self.tree, i, False
-            for c in text[i : i + self.longest]:
+        # The tree is walked in place, with its names at hand: this is the innermost loop of the operator.
+        first, longest, strange = self.tree.get, self.longest, self.other
+        for i, c in enumerate(text):
+            here, there, j = best[i], second[i], i + 1
+            found = first(c)
+            if found is None or found[1] is None:
+                total = here + strange
+                old, piece = best[j], -1
+                other = there + strange
+            else:
+                _, score, piece = found
+                total = here + score
+                old, other = best[j], there + score
+            if total > old:
+                second[j] = old if old > other else other
+                best[j], back[j], by[j] = total, i, piece
+            elif total > second[j]:
+                second[j] = total
+            if found is None:
+                continue
+            children = found[0]
+            for c in text[j : i + longest]:
                 found = children.get(c)
                 if found is None:
                     break
@@ -121,8 +140,6 @@ class Pieces:
                 children, score, piece = found
                 if score is None:
                     continue
-                if j == i + 1:
-                    single = True
                 total, old = here + score, best[j]
                 if total > old:
                     other = there + score
@@ -132,13 +149,6 @@ class Pieces:
                     by[j] = piece
                 elif total > second[j]:
                     second[j] = total
-            if not single:
-                j, total = i + 1, here + self.other
-                if total > best[j]:
-                    second[j] = max(best[j], there + self.other)
-                    best[j], back[j], by[j] = total, i, -1
-                elif total > second[j]:
-                    second[j] = total
         ids: list[int] = []
         while n:
             if by[n] >= 0:
@@ -188,6 +198,18 @@ class Chunks(dict):
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces, self.before = pieces, {}
+        self.searched: dict[tuple[str, int], list] = {}
+
+    def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """N-best results, which the cheapest chunks of many texts share; a bounded number is remembered."""
+        found = self.searched.get((chunk, n))
+        if found is None:
+            if len(self.searched) >= SEARCHED:
+                self.searched.clear()
+            found = self.pieces.nbest(chunk, n)
+            if len(chunk) < 64:
+                self.searched[(chunk, n)] = found
+        return found
 
     def __missing__(self, chunk: str):
         if len(self) >= CACHE:
@@ -222,7 +244,7 @@ def segment(text: str, chunks: Chunks, n: int) -> tuple[np.ndarray, float, list[
     for i in nearest(np.array([f[2] for f in found]), n - 1):
         own, best = tuple(np.frombuffer(found[i][0], np.int32).tolist()), found[i][1]
         # Among equal scores the forward pass and the search may differ; the forward one stays first.
-        options = [(best, own), *[o for o in chunks.pieces.nbest(parts[i], n) if o[1] != own][: n - 1]]
+        options = [(best, own), *[o for o in chunks.nbest(parts[i], n) if o[1] != own][: n - 1]]
         ways = sorted(
             ((loss + best - score, swaps if k == 0 else (*swaps, (i, way))) for loss, swaps in ways
              for k, (score, way) in enumerate(options)), key=lambda w: w[0])[:n]

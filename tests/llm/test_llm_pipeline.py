@@ -5,6 +5,7 @@ import collections
 import __spark_entry__ as entry
 import corpus_pipeline
 from conftest import SF
+from pyspark.sql import functions as F
 from rasterloom.llm import segmentation
 
 
@@ -34,7 +35,26 @@ def test_stages(spark):
         assert pieces.decode(r["ids"]).decode() == (texts[r["doc_id"]] or "")
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables pass through every stage."""
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([None, "", " \n\t", "one two three", "x" * 50_000, "word " * 5_000])]
+    rows += [rows[3], (None, None, None, None, None), (None, "no number here", None, None, 2), (40, "one two three", None, "s", 3)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for c in ("_toxicity", "_keep_bitmap", "_mix_source", "_mix_again", "score"):
+        odd = odd.withColumn(c, F.lit("own"))
+    docs = given.limit(60).unionByName(odd, allowMissingColumns=True).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF).cache()
+        assert docs.columns == before.columns and docs.count() > 0
+        assert {r[0] for r in docs.select("_toxicity").distinct().collect()} <= {"own", None}
+        assert stage(spark, before.filter("false"), SF).isEmpty(), name
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert encoded.count() == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), SF).isEmpty()
+
+
 def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))

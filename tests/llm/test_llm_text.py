@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +42,52 @@ def rows():
     return out
 
 
+def test_toxic_hits_by_plain_scan():
+    """Every entry of a folded text that no exception covers, found by looking at all places."""
+    rng = random.Random(11)
+    parts = ["bad", "ba", "word", "words", "is", "not", "at", "all", "badly", "b"]
+    model = toxicity.Model({"bad": (2.0, 1), "word": (1.0, 64), "b": (0.5, 1), "at": (3.0, 1)}, ["not bad", "bad at all", "at"])
+    automaton = model.automaton()
+    for _ in range(400):
+        words = [rng.choice(parts) for _ in range(rng.randrange(14))]
+        text = f" {' '.join(words)} "
+        starts = [m.start() + 1 for m in re.finditer(" (?=[^ ])", text)]
+        hidden = [(s, s + len(e)) for e in model.exceptions for s in starts if text[s:].startswith(e + " ")]
+        want = []
+        for s in starts:
+            word = text[s : text.index(" ", s)]
+            for entry, (weight, rest) in model.lexicon.items():
+                end = s + len(entry)
+                if word.startswith(entry) and len(word) - len(entry) <= rest and not any(a <= s and end <= b for a, b in hidden):
+                    want.append((s, weight))
+        assert sorted((f, w) for f, _, w in toxicity.hits(automaton, text)) == sorted(want)
+
+
+def test_toxic_hits_of_long_texts():
+    """Many entries among many exceptions take no square of time."""
+    model = toxicity.Model({"bad": (2.0, 1)}, ["not bad"])
+    began = time.time()
+    assert len(toxicity.hits(model.automaton(), " " + "not bad bad " * 60_000)) == 60_000 and time.time() - began < 5
+
+
+def test_chat_slices_change_no_id():
+    template, rng = chat.Template(), random.Random(2)
+    parts = ["a", "B", "é", "日", " ", "  ", "\n", "\t", "1", "23", ".", "!?", "'s", "'re", " x", "\u00a0", "\u3000", "ǅ", "ʰ", " é", "\n b"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(60)))
+        for size in (1, 4):
+            assert [i for p in chat.slices(text, size) for i in template.coder.encode_ordinary(p)] == template.segment(text)
+    long = "word " * 9000 + "x" * 30_000 + " y, z" * 3000
+    assert template.segment(long) == template.coder.encode_ordinary(long)
+
+
+def test_chat_roles_come_back(spark):
+    roles = ["user", "a\nb", "back\\slash\\n", "<|im_end|>\n", "\\", None, ""]
+    df = spark.createDataFrame([(1, i, r, f"t{i}") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    row = chat.read_back(chat.assemble(chat.format_turns(df))).first()
+    assert row["turns_sha256"] == hashlib.sha256("".join(f"{r or ''}\nt{i}\n" for i, r in enumerate(roles)).encode()).hexdigest()
+
+
 def test_substring_dedup(spark, rows):
     got = {r["doc_id"]: tuple(r) for r in substring_dedup.substring_report(frame(spark, rows)).collect()}
     texts = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
@@ -64,6 +113,67 @@ def test_substring_parts_and_small_automata(spark, rows, monkeypatch):
     assert sorted(map(tuple, substring_dedup.substring_report(frame(spark, rows)).collect())) == want
 
 
+def test_substring_ranges_and_few_words(spark, rows, monkeypatch):
+    """Keys that go on over batches and ranges, and passages of more words than an automaton takes, give the same."""
+    want = sorted(map(tuple, substring_dedup.substring_report(frame(spark, rows)).collect()))
+    monkeypatch.setattr(substring_dedup, "AUTOMATON_WORDS", 25)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        for n in ("1", "7"):
+            spark.conf.set(batch, n)
+            assert sorted(map(tuple, substring_dedup.substring_report(frame(spark, rows)).collect())) == want
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_range_summaries():
+    """Any cut of sorted rows into ranges and batches settles to the same rows."""
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randrange(1, 40)
+        data = sorted((rng.choice((0, 1, 5, rng.randrange(30))), rng.randrange(6), i) for i in range(n))
+        want = {r: min(x[1:] for x in data if x[0] == r[0]) for r in data if sum(x[0] == r[0] for x in data) > 1}
+        cuts = sorted({0, n, *(rng.randrange(n) for _ in range(rng.randrange(4)))})
+        columns, seen = ["k", "doc_id", "pos", "first", "first_pos", "open", "n"], []
+        for a, b in zip(cuts, cuts[1:]):
+            part, at, batches = data[a:b], 0, []
+            while at < len(part):
+                size = rng.randrange(1, 6)
+                some = list(zip(*part[at : at + size]))
+                batches.append(pa.RecordBatch.from_pydict({"k": pa.array(some[0], pa.int64()), "doc_id": pa.array(some[1], pa.int64()), "pos": pa.array(some[2], pa.int32())}))
+                at += size
+            seen += [r for out in substring_dedup._recurring(["k"], columns)(iter(batches)) for r in out.to_pylist()]
+        edges = {}
+        for r in seen:
+            if r["n"] is not None:
+                at, m = edges.get((r["k"],), ((1 << 60, 0), 0))
+                edges[(r["k"],)] = (min(at, (r["doc_id"], r["pos"])), m + r["n"])
+        edges = {k: (*at, m) for k, (at, m) in edges.items()}
+        rows, got = [r for r in seen if r["n"] is None], {}
+        if rows:
+            kinds = (("k", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("first", pa.int64()), ("first_pos", pa.int32()), ("open", pa.bool_()))
+            batch = pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], t) for c, t in kinds})
+            for out in substring_dedup._settled(["k"], edges, columns[:5])(iter([batch])):
+                got |= {(r["k"], r["doc_id"], r["pos"]): (r["first"], r["first_pos"]) for r in out.to_pylist()}
+        assert got == want
+
+
+def test_very_many_words(monkeypatch):
+    """A passage of more different words than there are characters is cut, not refused."""
+    source = [b"w%d" % i for i in range(1_200_000)]
+    shard = substring_dedup.Shard(20)
+    covered = 0
+    for start, raw, anchors in shard.pieces(5, b" ".join(source), np.array([0, 399_990, 1_199_980])):
+        assert shard.holds(raw)
+        words = raw.split()
+        assert words == source[start - 5 : start - 5 + len(words)]
+        shard.learn(1, start, raw, anchors)
+        shard.empty()
+        covered += len(words) - 19
+    assert covered == len(source) - 19
+
+
 @pytest.mark.parametrize("vocabulary,places", [(500, 16), (3, 16), (3, 1), (2, 2)])
 def test_shard_misses_nothing(vocabulary, places, monkeypatch):
     """Every equal window is found, also where phrases are crowded."""
