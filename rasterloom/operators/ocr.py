@@ -103,34 +103,64 @@ def in_cells(words: DataFrame) -> DataFrame:
 CELL = ["image_id", "_lx", "_ly", "_cx", "_cy"]
 
 
-def iou_pairs(words: DataFrame) -> DataFrame:
+ISLAND_LIMIT = 64
+
+
+def iou_pairs(words: DataFrame, limit: int = BAND_LIMIT, island_limit: int = ISLAND_LIMIT) -> DataFrame:
     """Every word with the class of words that share its box, and the class that overlaps it most, above one half.
 
-    A class is named by its first word (pass, seq) and has ``class_words`` members, so equal boxes never pair up. Boxes that
-    share more than half of their union hold each other's centres and differ by less than a factor of two in
-    each side. The index is therefore lopsided: a box looks for rivals on the level of its own size, in the at most four cells it
-    touches; a rival waits there with its centre, on its own level and those beside it. Each pair meets once. Ties between rivals
+    A class is named by its first word (pass, seq) and has ``class_words`` members, so equal boxes never pair up. Rivals touch, so
+    they share a band and an island of it (see :func:`with_islands`); islands of up to ``island_limit`` classes are compared as
+    they are, all other boxes through an index by size and place (:func:`_indexed_rivals`). Ties between rivals
     go to the first class. Boxes without an area have a class, but no rival.
     """
     first = F.min(F.struct("pass", "seq")).alias("rep")
     classes = stored(words.groupBy("image_id", *BOX).agg(first, F.count(F.lit(1)).alias("class_words")), "boxes")
-    solid = classes.filter("width_px > 0 and height_px > 0").select(
-        "image_id", *BOX, "rep", *[F.floor(F.log2(F.col(c).cast("double"))).cast("int").alias(k) for c, k in (("width_px", "_lx"), ("height_px", "_ly"))])
+    usual, huge = with_bands(classes.filter("width_px > 0 and height_px > 0").select("image_id", *BOX, "rep"), limit)
+    # A place in the order of an island, for boxes that start at the same column.
+    islands = with_islands(usual.withColumns({"pass": F.col("rep.pass"), "seq": F.col("rep.seq")}))
+    together = stored(islands.groupBy("image_id", "band", "island").agg(F.collect_list(F.struct(*BOX, "rep")).alias("boxes")).filter(
+        F.size("boxes") > 1).select("image_id", "boxes"), "islands")
+
+    def rival(me, boxes):
+        others = F.filter(boxes, lambda o: (o["rep"] != me["rep"]) & same_spot(lambda c: me[c], lambda c: o[c]))
+        return F.array_max(F.transform(others, lambda o: _rank_of(lambda c: me[c], lambda c: o[c], o["rep"])))
+
+    few = together.filter(F.size("boxes") <= island_limit)
+    best = few.select("image_id", F.explode(F.transform("boxes", lambda me: F.struct(
+        me["rep"].alias("rep"), rival(me, F.col("boxes")).alias("_r")))).alias("w")).select("image_id", "w.rep", "w._r").filter("_r is not null")
+    many = together.filter(F.size("boxes") > island_limit).select("image_id", F.explode("boxes").alias("b")).select("image_id", "b.*")
+    best = best.unionByName(_indexed_rivals(many if huge is None else many.unionByName(huge.select(many.columns))))
+    judged = classes.join(stored(best, "rivals"), ["image_id", "rep"], "left").select(
+        "image_id", *BOX, F.col("rep.pass").alias("class_pass"), F.col("rep.seq").alias("class_seq"), "class_words",
+        (-F.col("_r.p")).alias("rival_pass"), (-F.col("_r.s")).alias("rival_seq"), F.col("_r.iou").alias("iou"))
+    return words.select("image_id", "pass", "seq", *BOX).join(stored(judged, "judged"), ["image_id", *BOX]).drop(*BOX)
+
+
+def _rank_of(me, other, rep: Column) -> Column:
+    """A rival as a struct that sorts by overlap, then by the earlier class."""
+    inter, union = overlap(me, other)
+    return F.struct((inter / union).alias("iou"), (-rep["pass"]).alias("p"), (-rep["seq"]).alias("s"))
+
+
+def _indexed_rivals(boxes: DataFrame) -> DataFrame:
+    """(image_id, rep, _r): the best rival of every box of (image_id, box, rep) that has one.
+
+    Boxes that share more than half of their union hold each other's centres and differ by less than a factor of two in
+    each side. The index is therefore lopsided: a box looks for rivals on the level of its own size, in the at most four cells it
+    touches; a rival waits there with its centre, on its own level and those beside it. Each pair meets once.
+    """
+    levels = {k: F.floor(F.log2(F.col(c).cast("double"))).cast("int") for c, k in (("width_px", "_lx"), ("height_px", "_ly"))}
+    looks = boxes.withColumns(levels)
+    waits = looks.select("image_id", *[F.col(c).alias(f"{c}_b") for c in BOX], F.col("rep").alias("rival"), *levels)
     side = lambda level: F.pow(F.lit(2.0), F.col(level) + 1)
-    looks, waits = solid, solid.select("image_id", *[F.col(c).alias(f"{c}_b") for c in BOX], F.col("rep").alias("rival"), "_lx", "_ly")
     for low, size, level, cell in (("left_px", "width_px", "_lx", "_cx"), ("top_px", "height_px", "_ly", "_cy")):
         looks = looks.withColumn(cell, F.explode(F.sequence(F.floor(F.col(low) / side(level)), F.floor((F.col(low) + F.col(size) - 1) / side(level)))))
         waits = waits.withColumn(level, F.explode(F.array(*[F.col(level) + i for i in (-1, 0, 1)]))).withColumn(
             cell, F.floor((F.col(f"{low}_b") + F.col(f"{size}_b") / 2) / side(level)))
-    left, right = F.col, (lambda c: F.col(f"{c}_b"))
-    inter, union = overlap(left, right)
-    met = looks.join(waits, CELL).filter((F.col("rep") != F.col("rival")) & same_spot(left, right)).select(
-        "image_id", "rep", F.struct((inter / union).alias("iou"), (-F.col("rival.pass")).alias("p"), (-F.col("rival.seq")).alias("s")).alias("_r"))
-    best = stored(met.groupBy("image_id", "rep").agg(F.max("_r").alias("_r")), "rivals")
-    judged = classes.join(best, ["image_id", "rep"], "left").select(
-        "image_id", *BOX, F.col("rep.pass").alias("class_pass"), F.col("rep.seq").alias("class_seq"), "class_words",
-        (-F.col("_r.p")).alias("rival_pass"), (-F.col("_r.s")).alias("rival_seq"), F.col("_r.iou").alias("iou"))
-    return words.select("image_id", "pass", "seq", *BOX).join(stored(judged, "judged"), ["image_id", *BOX]).drop(*BOX)
+    other = lambda c: F.col(f"{c}_b")
+    met = looks.join(waits, CELL).filter((F.col("rep") != F.col("rival")) & same_spot(F.col, other))
+    return met.groupBy("image_id", "rep").agg(F.max(_rank_of(F.col, other, F.col("rival"))).alias("_r"))
 
 
 # ---- bands ------------------------------------------------------------------------------
@@ -400,7 +430,11 @@ def _banded_lines(words: DataFrame, limit: int) -> DataFrame:
 
 
 def _numbered_lines(lined: DataFrame) -> DataFrame:
-    """Line numbers continue over the bands of an image; there is at most one band per pixel line, so the list is short."""
+    """Line numbers continue over the bands of an image; there is at most one band per pixel line, so the list is short.
+
+    The words with their lines are written once: the numbers of lines are needed before the first word can go on.
+    """
+    lined = stored(lined, "lined")
     per_band = lined.groupBy("image_id", "band").agg((F.max("line_in_band") + 1).alias("_n"))
     before = Window.partitionBy("image_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_band.select("image_id", "band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

@@ -139,11 +139,15 @@ def target_settings(wanted: DataFrame, rungs: DataFrame, steps: int = SEARCH_STE
     ladders = wanted.join(rungs, on).groupBy("image_id", "recipe_id").agg(*bits)
     taken = lambda k: F.call_function(
         "shiftright", F.when(k < 64, F.col("w0")).otherwise(F.col("w1")) if words == 2 else F.col("w0"), (k % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    state = ladders.withColumns({"low": F.lit(0), "high": F.lit(1 << steps)})
-    for _ in range(steps):
-        state = state.withColumn("mid", F.shiftright(F.col("low") + F.col("high"), 1)).withColumn("fit", taken(F.col("mid")))
-        state = state.withColumns({"low": F.when(F.col("fit"), F.col("mid")).otherwise(F.col("low")), "high": F.when(F.col("fit"), F.col("high")).otherwise(F.col("mid"))})
-    return state.select("image_id", "recipe_id", F.col("low").alias("bit"), taken(F.col("low")).alias("met"))
+    start = F.struct(F.lit(0).alias("low"), F.lit(1 << steps).alias("high"))
+
+    def step(state: Column, _i: Column) -> Column:
+        mid = F.shiftright(state["low"] + state["high"], 1)
+        fit = taken(mid)
+        return F.struct(F.when(fit, mid).otherwise(state["low"]).alias("low"), F.when(fit, state["high"]).otherwise(mid).alias("high"))
+
+    ended = ladders.withColumn("bit", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["low"])
+    return ended.select("image_id", "recipe_id", "bit", taken(F.col("bit")).alias("met"))
 
 
 def search_setting(k: Column, shrinks: Column, steps: int = SEARCH_STEPS) -> Column:

@@ -66,6 +66,13 @@ def _result(s, d):
     return O.ocr_result(_ocr_images(s, d), page, O.page_text(page))
 
 
+RIVALS = V.cte(V.DETECTIONS, WORDS, BANDS) + f""", c as (select image_id, band, left_px as l, top_px as t, width_px as w, height_px as h, count(*) as n, min({{'p': pass, 's': seq}}) as rep from bw group by all),
+          m as (select a.image_id, a.rep, max({{'i': {INTER.format('a', 'b')}/(a.w*a.h+b.w*b.h-{INTER.format('a', 'b')})::double, 'p': -b.rep.p, 's': -b.rep.s}}) as r
+            from c a join c b on a.image_id=b.image_id and a.band=b.band and a.rep<>b.rep and 2*{INTER.format('a', 'b')}>a.w*a.h+b.w*b.h-{INTER.format('a', 'b')} group by 1, 2)
+          select bw.image_id, pass, seq, c.rep.p as class_pass, c.rep.s as class_seq, c.n as class_words, -m.r.p as rival_pass, -m.r.s as rival_seq, round(m.r.i, 6) as iou
+          from bw join c on bw.image_id=c.image_id and left_px=l and top_px=t and width_px=w and height_px=h left join m on m.image_id=c.image_id and m.rep=c.rep"""
+
+
 QUERIES = {
     "ocr_filter": (_words, DET + f"select {WCOLS} from words"),
     "ocr_union_passes": (
@@ -73,13 +80,9 @@ QUERIES = {
             O.ocr_filter(X.detections(s, d).filter("pass = 0")), O.ocr_filter(X.detections(s, d).filter("pass = 1"))
         ),
         DET + f"select {WCOLS} from words"),
-    "iou_pairs": (
-        lambda s, d: O.iou_pairs(_words(s, d)).withColumn("iou", F.round("iou", 6)),
-        V.cte(V.DETECTIONS, WORDS, BANDS) + f""", c as (select image_id, band, left_px as l, top_px as t, width_px as w, height_px as h, count(*) as n, min({{'p': pass, 's': seq}}) as rep from bw group by all),
-          m as (select a.image_id, a.rep, max({{'i': {INTER.format('a', 'b')}/(a.w*a.h+b.w*b.h-{INTER.format('a', 'b')})::double, 'p': -b.rep.p, 's': -b.rep.s}}) as r
-            from c a join c b on a.image_id=b.image_id and a.band=b.band and a.rep<>b.rep and 2*{INTER.format('a', 'b')}>a.w*a.h+b.w*b.h-{INTER.format('a', 'b')} group by 1, 2)
-          select bw.image_id, pass, seq, c.rep.p as class_pass, c.rep.s as class_seq, c.n as class_words, -m.r.p as rival_pass, -m.r.s as rival_seq, round(m.r.i, 6) as iou
-          from bw join c on bw.image_id=c.image_id and left_px=l and top_px=t and width_px=w and height_px=h left join m on m.image_id=c.image_id and m.rep=c.rep"""),
+    "iou_pairs": (lambda s, d: O.iou_pairs(_words(s, d)).withColumn("iou", F.round("iou", 6)), RIVALS),
+    # The index of boxes that touch too many others, forced for all.
+    "iou_pairs_indexed": (lambda s, d: O.iou_pairs(_words(s, d), 0).withColumn("iou", F.round("iou", 6)), RIVALS),
     "ocr_dedup": (_kept, V.cte(V.DETECTIONS, WORDS, BANDS, KEEP) + f"select {WCOLS} from kept"),
     "reading_order": (
         lambda s, d: O.reading_order(_words(s, d)).select("image_id", "pass", "seq", "reading_pos"),

@@ -89,12 +89,13 @@ def plain_iou(a, b):
     return width * height / (a[2] * a[3] + b[2] * b[3] - width * height) if width * height else 0.0
 
 
-def test_best_rivals_of_any_size(spark):
+@pytest.mark.parametrize("limits", [{}, {"limit": 0}, {"island_limit": 4}])
+def test_best_rivals_of_any_size(spark, limits):
     rng = random.Random(4)
     boxes = [(rng.randrange(-50, 400), rng.randrange(400), rng.randrange(0, 200), rng.randrange(0, 300)) for _ in range(250)]
     boxes += [(l + rng.randrange(-2, 3), t, w + rng.randrange(2), h) for l, t, w, h in boxes[:60]] + boxes[10:40]
     rows = [(7, i % 2, i, "t", 50.0, *b) for i, b in enumerate(boxes)]
-    got = {r["seq"]: r for r in O.iou_pairs(spark.createDataFrame(rows, WORDS)).collect()}
+    got = {r["seq"]: r for r in O.iou_pairs(spark.createDataFrame(rows, WORDS), **limits).collect()}
     first = {}
     for name, box in sorted(((i % 2, i), b) for i, b in enumerate(boxes)):
         first.setdefault(box, name)
